@@ -6,18 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import decision_list, mixing, secrets
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_query(documents(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decision_list.quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_secret_scan": op6_secret_scan,
+        "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
     }
 
