@@ -36,7 +36,7 @@ MARK = "▁"
 #: How far an unknown character is below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that one task remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 @dataclass(frozen=True)
@@ -82,8 +82,10 @@ class Automaton:
             self.ends[state] = i
             self.length[i], self.score[i] = len(piece), score
         queue = deque(self.go[0].values())
+        self.order = [0]
         while queue:
             state = queue.popleft()
+            self.order.append(state)
             for c, nxt in self.go[state].items():
                 back = self.fail[state]
                 while back and c not in self.go[back]:
@@ -92,35 +94,39 @@ class Automaton:
                 queue.append(nxt)
             back = self.fail[state]
             self.link[state] = back if self.ends[back] >= 0 else self.link[back]
+        self.outs = self.outputs()
+
+    def outputs(self) -> list[tuple[tuple[int, float, int], ...]]:
+        """For each state (length, score, id) of all pieces that end there, longest first, by its output links."""
+        out: list[tuple[tuple[int, float, int], ...] | None] = [None] * len(self.go)
+        for state in self.order:
+            own = ((self.length[self.ends[state]], self.score[self.ends[state]], self.ends[state]),) if self.ends[state] >= 0 else ()
+            out[state] = own + (out[self.link[state]] if self.link[state] else ())
+        return out
 
     def best_path(self, text: str, unknown_score: float) -> list[tuple[int, int, int]]:
         """(id or -1, start, end) of the best segmentation; of equal sums, the one with the earliest start."""
-        n = len(text)
-        best = [0.0] * (n + 1)
-        came: list[tuple[int, int]] = [(-1, 0)] * (n + 1)
-        state = 0
-        go, fail, ends, link, length, score = self.go, self.fail, self.ends, self.link, self.length, self.score
-        for end in range(1, n + 1):
-            c = text[end - 1]
-            while state and c not in go[state]:
+        go, fail, outs = self.go, self.fail, self.outs
+        best, came, state = [0.0], [(-1, 0)], 0
+        for end, c in enumerate(text, 1):
+            step = go[state].get(c)
+            while step is None and state:
                 state = fail[state]
-            state = go[state].get(c, 0)
-            top, how, single = None, (-1, end - 1), False
-            at = state if ends[state] >= 0 else link[state]
-            while at:  # longest piece first, so that of equal sums the earliest start wins
-                i = ends[at]
-                k = length[i]
-                single = single or k == 1
-                value = best[end - k] + score[i]
+                step = go[state].get(c)
+            state = step or 0
+            here = outs[state]
+            top = how = None
+            for k, score, i in here:
+                value = best[end - k] + score
                 if top is None or value > top:
                     top, how = value, (i, end - k)
-                at = link[at]
-            if not single:
+            if not here or here[-1][0] != 1:
                 value = best[end - 1] + unknown_score
                 if top is None or value > top:
                     top, how = value, (-1, end - 1)
-            best[end], came[end] = top, how
-        path, end = [], n
+            best.append(top)
+            came.append(how)
+        path, end = [], len(text)
         while end:
             i, start = came[end]
             path.append((i, start, end))

@@ -6,18 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, mixing, secrets
+from . import decision_list, mixing, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
 from .shared import documents
 
+#: Vocabulary of the SentencePiece queries; a public file that is not part of this repository.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.quality_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_codec.encoded(documents(spark, sf_dir, "doc_id", "text"), MODEL_FILE)
+
+
+def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.in_training_order(documents(spark, sf_dir, "doc_id", "text"), training_order.Settings(MODEL_FILE))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_query(documents(spark, sf_dir))
 
 
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonyms_query(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decision_list.quality_query(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return decision_list.quality_query(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +49,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_quality_classifier": op3_quality_classifier,
+        "op4_sentencepiece": op4_sentencepiece,
+        "op5_training_order": op5_training_order,
         "op6_secret_scan": op6_secret_scan,
+        "op7_pseudonyms": op7_pseudonyms,
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
     }
