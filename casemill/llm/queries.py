@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decision_list, mixing, near_duplicates, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
+from . import class_ngrams, decision_list, mixing, near_duplicates, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
 from .shared import documents
 
 #: Vocabulary of the SentencePiece queries; a public file that is not part of this repository.
@@ -19,6 +19,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.scores(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), near_duplicates.Settings(words=3, percent=85))
 
@@ -53,6 +57,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_class_ngrams": op1_class_ngrams,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_sentencepiece": op4_sentencepiece,
