@@ -58,7 +58,7 @@ class Settings:
     words: int = 5
     percent: int = 80
     hashes: int = 120
-    rows: int = 5
+    rows: int = 4
     seed: int = 1
     rounds: int = 2
     block: int = 512
@@ -329,7 +329,7 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     kept = docs.join(lost, "doc_id", "left_anti")
     repeated = written(found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return kept
+        return kept.select(*docs.columns)
     single = kept.join(repeated, "doc_id", "left_anti")
     first = kept.join(repeated, "doc_id", "left_semi").withColumn("nd_turn", F.row_number().over(once)).where("nd_turn = 1").drop("nd_turn")
-    return single.unionByName(first)
+    return single.unionByName(first).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import class_ngrams, decision_list, mixing, near_duplicates, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
+from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
 from .shared import documents
 
 #: Vocabulary of the SentencePiece queries; a public file that is not part of this repository.
@@ -24,7 +24,7 @@ def op1_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), near_duplicates.Settings(words=3, percent=85))
+    return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"), near_duplicates.Settings(words=3, percent=85, rows=5))
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_query(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_class_ngrams": op1_class_ngrams,
@@ -66,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op7_pseudonyms": op7_pseudonyms,
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
+        "op10_nearest": op10_nearest,
     }
 
 
