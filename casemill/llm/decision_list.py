@@ -220,7 +220,9 @@ def quality_query(docs: DataFrame, labels: DataFrame, s: Settings = Settings())
 def kept_documents(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
     out, p = judged(docs, fit(docs, labels, s))
-    return out.where(F.col(p + "kept")).select(*docs.columns)
+    # Filters are not pushed below a column that isn't deterministic; else every array would be computed anew for each use.
+    verdict = F.when(F.monotonically_increasing_id() >= 0, F.col(p + "kept"))
+    return out.withColumn(p + "kept", verdict).where(F.col(p + "kept")).select(*docs.columns)
 
 
 __all__ = ["COUNTS", "Condition", "DecisionList", "Rule", "Settings", "fit", "judged", "kept_documents", "learn", "quality_query"]

@@ -189,5 +189,7 @@ def redacted(docs: DataFrame, s: Settings = Settings(), instead: str = "[SECRET]
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     text = F.when(F.size("sec_all") > 0, F.aggregate("sec_all", start, step, end)).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.size("sec_all") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in columns else {})
-    return found.withColumns(changed).select(*columns)
+    found = found.withColumn("text", text)
+    if "n_chars" in columns:
+        found = found.withColumn("n_chars", F.when(F.size("sec_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return found.select(*columns)
