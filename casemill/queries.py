@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemill.functions import checksums, dates, paths, text
-from casemill.operators import evaluate, evidence, journal, redact, review, scoring, spans
+from casemill.operators import actions, evaluate, evidence, journal, letters, redact, review, scoring, spans
 from casemill.plans import decisions
 from casemill.plans.rules import filter_rule
+from casemill.sources import handover
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -623,6 +624,67 @@ def gates(t):
     return r.select(F.inline(rows))
 
 
+# --- actions, drafts, messages ---------------------------------------------------
+
+
+@query(
+    """with a as (select o_orderkey, o_custkey, case o_orderkey % 3 when 0 then 'confirm' when 1 then 'override' else 'escalate' end as action, case when o_orderkey % 4 = 0 then 'colour' when o_orderkey % 2 = 0 then 'unit' else 'tier' end as field,
+ case when o_orderkey % 5 > 0 then 'why' else ' ' end as reason, (o_orderkey % 3)::varchar as new from orders), c as (select c_custkey, (c_custkey % 3)::varchar as unit, (c_custkey % 4)::int as tier, c_acctbal < 0 as confirmed from customer),
+ j as (select *, confirmed or coalesce(max((action = 'confirm')::int) over (partition by o_custkey order by o_orderkey rows between unbounded preceding and 1 preceding), 0) = 1 as done, case when field = 'unit' then unit else tier::varchar end as cur from a join c on o_custkey = c_custkey)
+ select o_orderkey, case when done then 'already_confirmed' when action = 'override' and field = 'colour' then 'unknown_field' when action in ('override', 'escalate') and reason = ' ' then 'no_reason'
+ when action = 'override' and new = cur then 'no_change' when action = 'escalate' and tier >= 3 then 'already_highest' end as refusal from j"""
+)
+def review_actions(t):
+    k = F.col("o_orderkey")
+    a = t("orders").select(
+        "o_orderkey",
+        F.col("o_custkey").alias("case_id"),
+        F.when(k % 3 == 0, "confirm").when(k % 3 == 1, "override").otherwise("escalate").alias("action"),
+        F.when(k % 4 == 0, "colour").when(k % 2 == 0, "unit").otherwise("tier").alias("field"),
+        F.when(k % 5 > 0, "why").otherwise(" ").alias("reason"),
+        (k % 3).cast("string").alias("new"),
+    )
+    c = F.col("c_custkey")
+    cases = t("customer").select(c.alias("case_id"), (c % 3).cast("string").alias("unit"), (c % 4).cast("int").alias("tier"), (F.col("c_acctbal") < 0).alias("confirmed"))
+    return actions.judged(a, cases, "case_id", "o_orderkey").select("o_orderkey", "refusal")
+
+
+@query(
+    "select c_custkey, case when c_nationkey % 3 = 0 then 'decision' when c_nationkey % 3 = 1 and c_acctbal < 0 then 'request' end as kind,"
+    " case when c_mktsegment <> 'BUILDING' then 'To ' || c_name || ': ' || c_mktsegment end as letter from customer"
+)
+def draft_letters(t):
+    c = t("customer").withColumns({"segment": F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment"))})
+    kind = letters.draft_kind(F.col("c_nationkey") % 3 + 1, F.when(F.col("c_acctbal") < 0, 1).otherwise(0))
+    return letters.letters(c.withColumn("kind", kind), "To {name}: {segment}", ("name", "segment"), {"name": F.col("c_name"), "segment": F.col("segment")}).select("c_custkey", "kind", "letter")
+
+
+@query(GAPS + " select c_custkey, string_agg(case when failed = 'MISSING' then requirement_id || ' is missing' else requirement_id || ' failed ' || failed end, '; ' order by case requirement_id when 'name' then 1 when 'segment' then 2 when 'balance' then 3 else 4 end) as sentences from u where failed is not null group by 1")
+def gap_sentences(t):
+    templates = {"MISSING": "{requirement_id} is missing", "INVALID": "{requirement_id} failed {failed}"}
+    return evidence.completeness(_customers(t), REQUIRED).select("c_custkey", F.array_join(letters.gap_sentences(F.col("gaps"), templates), "; ").alias("sentences"))
+
+
+@query(
+    "select event_id, case event_type when 'signup' then 'Received case ' || user_id else 'Case ' || user_id || ' failed' end as message from events where event_type in ('signup', 'error') and event_id % 3 > 0"
+)
+def owed_notifications(t):
+    e = t("events").withColumnRenamed("event_type", "type")
+    done = e.where("event_id % 3 = 0").select(F.col("event_id").alias("source_event_id"))
+    return letters.notifications(e, done, {"signup": "Received case {id}", "error": "Case {id} failed"}, {"id": F.col("user_id")}).select("event_id", "message")
+
+
+@query("select conv_id, turn, s as start, substr(text, s + 1, 100) as chunk from conversations, lateral (select unnest(range(0, length(text)::int, 100))::int as s)")
+def text_chunks(t):
+    return t("conversations").select("conv_id", "turn", F.inline(letters.chunks(F.col("text"), 100)))
+
+
+@query("select s_suppkey, substr(sha256(s_suppkey || '|d'), 1, 16) || '.xml' as name, '<case><id>' || s_suppkey || '</id><name>' || s_name || ' &amp; co</name></case>' as xml from supplier")
+def handover_stubs(t):
+    k = F.col("s_suppkey")
+    return t("supplier").select(k, handover.stub_name(k, F.lit("d")).alias("name"), handover.stub_xml("case", {"id": k, "name": F.concat("s_name", F.lit(" & co"))}).alias("xml"))
+
+
 # --- streams --------------------------------------------------------------------
 
 
