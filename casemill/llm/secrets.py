@@ -9,8 +9,10 @@ Both models are trained from labelled samples: random strings are the values tha
 the base patterns find plus seeded random hex, base64 and alphanumeric strings;
 ordinary identifiers are words of the texts, alone and joined.  Texts for training
 are at most ``Settings.sample`` documents, chosen by a hash of their id.  The
-threshold leaves ``Settings.false_rate`` of the ordinary samples above it, and is
-never below 0.  The tables of the models hold |CHARS|^2 numbers at most, whatever
+threshold leaves ``Settings.false_rate`` of the ordinary samples above it, but no
+more than ``Settings.missed_rate`` of the random ones below it (texts may hold
+secrets that no pattern knows, so ordinary samples aren't all clean); it is never
+below 0.  The tables of the models hold |CHARS|^2 numbers at most, whatever
 the input.
 
 Cases: null text is empty text and has no spans; empty tables give an empty
@@ -50,6 +52,7 @@ class Settings:
     random_strings: int = 2_000
     smoothing: float = 0.5
     false_rate: float = 1e-4
+    missed_rate: float = 0.01
     seed: int = 11
 
     @property
@@ -139,9 +142,11 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
         logs[label] = [math.log(v / sum(row)) for row in table for v in row]
     ratio = tuple(a - b for a, b in zip(logs[True], logs[False], strict=True))
     score = Model(ratio, 0.0).mean_ratio(F.col("token"))
-    ordinary = samples.where(~F.col("random") & (F.length("token") >= s.min_length))
-    cut = ordinary.select(score.alias("x")).agg(F.expr(f"percentile(x, {1 - s.false_rate})")).first()[0]
-    return Model(ratio, max(0.0, cut or 0.0))
+    long = samples.where(F.length("token") >= s.min_length).select("random", score.alias("x"))
+    ordinary, random = long.agg(
+        F.expr(f"percentile(x, {1 - s.false_rate}) filter (where not random)"), F.expr(f"percentile(x, {s.missed_rate}) filter (where random)")
+    ).first()
+    return Model(ratio, max(0.0, min(0.0 if ordinary is None else ordinary, math.inf if random is None else random)))
 
 
 def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text") -> DataFrame:
