@@ -47,7 +47,9 @@ def with_counts(docs: DataFrame, prefix: str, text: str = "text") -> DataFrame:
     """
     col = lambda name: F.col(prefix + name)
     raw = F.coalesce(F.col(text), F.lit(""))
-    long = lambda c: c.cast("long")
+    # Spark pushes a filter on a result below projections by writing their expressions into it, over and over; it does
+    # not do so with expressions that aren't deterministic, so each count has a condition that always holds but isn't.
+    long = lambda c: F.when(F.monotonically_increasing_id() >= 0, c.cast("long"))
     matches = lambda pattern: long(F.regexp_count(raw, F.lit(pattern)))
     upto = lambda c, less: F.greatest(F.size(c) - less, F.lit(0))
 
