@@ -23,6 +23,7 @@ memory of the order of the text; only doc_id and text are read.
 from __future__ import annotations
 
 import re
+import struct
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: How far an unknown character is below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
-#: Stretches that one task remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Stretches that a worker remembers, twice: the newer, and the generation before it.
+REMEMBERED = 300_000
 
 
 @dataclass(frozen=True)
@@ -96,34 +97,36 @@ class Automaton:
             self.link[state] = back if self.ends[back] >= 0 else self.link[back]
         self.outs = self.outputs()
 
-    def outputs(self) -> list[tuple[tuple[int, float, int], ...]]:
-        """For each state (length, score, id) of all pieces that end there, longest first, by its output links."""
+    def outputs(self) -> list[tuple[bool, tuple[tuple[int, float, int], ...]]]:
+        """For each state, by its output links: whether a one-character piece ends there, and (length, score, id) of all
+        pieces that do, longest first."""
         out: list[tuple[tuple[int, float, int], ...] | None] = [None] * len(self.go)
         for state in self.order:
             own = ((self.length[self.ends[state]], self.score[self.ends[state]], self.ends[state]),) if self.ends[state] >= 0 else ()
             out[state] = own + (out[self.link[state]] if self.link[state] else ())
-        return out
+        return [(bool(x) and x[-1][0] == 1, x) for x in out]
 
     def best_path(self, text: str, unknown_score: float) -> list[tuple[int, int, int]]:
         """(id or -1, start, end) of the best segmentation; of equal sums, the one with the earliest start."""
         go, fail, outs = self.go, self.fail, self.outs
-        best, came, state = [0.0], [(-1, 0)], 0
+        best, came, state = [0.0], [None], 0
         for end, c in enumerate(text, 1):
             step = go[state].get(c)
-            while step is None and state:
+            while step is None:
+                if not state:
+                    step = 0
+                    break
                 state = fail[state]
                 step = go[state].get(c)
-            state = step or 0
-            here = outs[state]
-            top = how = None
+            state = step
+            single, here = outs[state]
+            top = -1e300 if single else best[end - 1] + unknown_score
+            how = (-1, end - 1)
+            # Longest piece first, so that of equal sums the earliest start wins.
             for k, score, i in here:
                 value = best[end - k] + score
-                if top is None or value > top:
+                if value > top or (value == top and how[0] < 0):
                     top, how = value, (i, end - k)
-            if not here or here[-1][0] != 1:
-                value = best[end - 1] + unknown_score
-                if top is None or value > top:
-                    top, how = value, (-1, end - 1)
             best.append(top)
             came.append(how)
         path, end = [], len(text)
@@ -145,6 +148,7 @@ class Codec:
         self.splits = not any(MARK in p.lstrip(MARK) for p, _, _ in usable)
         self.stretch = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.bytes_of = [p.encode() for p in v.pieces]
         special = [not ok for ok in v.usable]
         for b, i in enumerate(v.byte_ids):
@@ -162,7 +166,7 @@ class Codec:
                 ids.extend(self.vocabulary.byte_ids[b] for b in stretch[start:end].encode("utf-8", "replace"))
             else:
                 ids.append(self.vocabulary.unknown)
-        return np.array(ids, dtype="<i4").tobytes()
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode_bytes(self, text: str) -> bytes:
         """The ids as little-endian 32-bit numbers."""
@@ -175,10 +179,11 @@ class Codec:
         for stretch in self.stretch.findall(marked):
             ids = known.get(stretch)
             if ids is None:
-                ids = self._stretch_ids(stretch)
+                ids = self.older.get(stretch) or self._stretch_ids(stretch)
                 if len(stretch) <= 64:
                     if len(known) >= REMEMBERED:
-                        known.clear()
+                        self.older, self.known = known, {}
+                        known = self.known
                     known[stretch] = ids
             out.append(ids)
         return b"".join(out)

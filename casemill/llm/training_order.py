@@ -8,10 +8,9 @@ no power of four.  Sequences are then dealt out by ranges of slots, so that each
 shard is a run of slots with a fixed stride: slot s lies at byte
 (s - first slot of its shard) * stride, and a reader may stop and go on anywhere.
 
-Running numbers need no sort: a first pass counts sequences for each input
-partition, and a second adds the offset of its partition to a local counter.  Only
-one sum for each partition reaches the driver.  Both passes read the same files in
-the same splits, so the input must be a table scan (``written`` makes one).
+Running numbers need no sort: encoding numbers the sequences within each task and
+writes ids, task and number to the shared folder; the offset of a task is the sum
+of the tasks before it.  Only one sum for each task reaches the driver.
 
 Cases: null text is empty text, and an empty text is one sequence of end tokens
 with n_tokens 1; repeated rows get slots each; an empty table gives no rows; only
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces_codec import Vocabulary, _small_batches, codec_of
+from .shared import written
 
 
 @dataclass(frozen=True)
@@ -75,17 +75,27 @@ def permuted(index: np.ndarray, total: int, key: int, rounds: int = 6, inverse:
     return out.astype(np.int64)
 
 
-def _counted(ids: DataFrame, shared, s: Settings) -> list[tuple[int, int]]:  # noqa: ANN001
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, sums = codec_of(shared), {}
+def _encoded(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, ids, the task, and the number of sequences of the task before this text."""
+    vocabulary = Vocabulary.load(s.model_file)
+    if len(vocabulary.pieces) > 65536:
+        raise ValueError("ids of this vocabulary need more than 16 bits")
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("task"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    end = np.array([s.end_token], "<u2").tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec, before = codec_of(shared), 0
         for frame in frames:
             for part in _small_batches(frame, "text"):
-                n = sum(len(codec.encode_bytes(t or "")) // 4 // s.length + 1 for t in part["text"])
-                at = int(part["at"].iloc[0])
-                sums[at] = sums.get(at, 0) + n
-        yield pd.DataFrame({"at": list(sums), "n": list(sums.values())}, dtype="int64")
+                ids = [codec.encode(t or "").astype("<u2").tobytes() + end for t in part["text"]]
+                n = np.array([-(-len(x) // (2 * s.length)) for x in ids], np.int64)
+                first = before + np.cumsum(n) - n
+                before += int(n.sum())
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "task": part["task"].to_numpy(), "first": first, "n": n})
 
-    return sorted(tuple(r) for r in ids.mapInPandas(count, "at long, n long").collect())
+    return rows.mapInPandas(run, f"doc_id {kind}, ids binary, task int, first long, n long")
 
 
 def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -94,42 +104,32 @@ def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     Partition i of the result holds shard i, sorted by slot.
     """
     spark = docs.sparkSession
-    vocabulary = Vocabulary.load(s.model_file)
-    if len(vocabulary.pieces) > 65536:
-        raise ValueError("ids of this vocabulary need more than 16 bits")
-    shared = spark.sparkContext.broadcast(vocabulary)
-    ids = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("at"))
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    sums = _counted(ids, shared, s)
-    total = sum(n for _, n in sums)
-    offsets, running = {}, 0
-    for at, n in sums:
-        offsets[at], running = running, running + n
+    encoded = written(_encoded(docs, s), "token-ids", compression="zstd")
+    sums = sorted(tuple(r) for r in encoded.groupBy("task").agg(F.sum("n")).collect())
+    offsets, total = {}, 0
+    for task, n in sums:
+        offsets[task], total = total, total + n
     held = spark.sparkContext.broadcast(offsets)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
 
-    def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, next_ = codec_of(shared), {}
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = 2 * s.length
+        fill = np.array([s.end_token], "<u2").tobytes()
         for frame in frames:
-            for part in _small_batches(frame, "text", 1_000_000):
-                at = int(part["at"].iloc[0])
-                first = next_.get(at, held.value.get(at, 0))
-                owners, numbers, sizes, payloads = [], [], [], []
-                for row, text in enumerate(part["text"]):
-                    flat = np.append(codec.encode(text or "").astype("<u2"), np.array([s.end_token], "<u2"))
-                    n = -(-len(flat) // s.length)
-                    whole = np.full(n * s.length, s.end_token, "<u2")
-                    whole[: len(flat)] = flat
-                    raw = whole.tobytes()
-                    step = 2 * s.length
-                    payloads += [raw[i * step : (i + 1) * step] for i in range(n)]
-                    owners += [row] * n
-                    numbers += range(n)
-                    sizes += [s.length] * (n - 1) + [len(flat) - (n - 1) * s.length]
-                slots = permuted(np.arange(first, first + len(owners)), total, s.key, s.rounds)
-                next_[at] = first + len(owners)
-                yield pd.DataFrame({"slot": slots, "doc_id": part["doc_id"].array[owners], "part": np.array(numbers, "int32"), "n_tokens": np.array(sizes, "int32"), "payload": payloads})
-
-    rows = ids.mapInPandas(emit, f"slot long, doc_id {kind}, part int, n_tokens int, payload binary")
+            starts = frame["first"].to_numpy() + frame["task"].map(held.value).to_numpy()
+            owners, numbers, sizes, payloads = [], [], [], []
+            for row, (raw, n) in enumerate(zip(frame["ids"], frame["n"], strict=True)):
+                n_ids = len(raw) // 2
+                raw = raw + fill * (n * s.length - n_ids)
+                payloads += [raw[i * step : (i + 1) * step] for i in range(n)]
+                owners += [row] * n
+                numbers += range(n)
+                sizes += [s.length] * (n - 1) + [n_ids - (n - 1) * s.length]
+            owners, numbers = np.array(owners, np.int64), np.array(numbers, np.int64)
+            slots = permuted(starts[owners] + numbers, total, s.key, s.rounds)
+            yield pd.DataFrame({"slot": slots, "doc_id": frame["doc_id"].array[owners], "part": numbers.astype(np.int32), "n_tokens": np.array(sizes, np.int32), "payload": payloads})
+
+    rows = encoded.mapInPandas(cut, f"slot long, doc_id {kind}, part int, n_tokens int, payload binary")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * s.stride // s.shard_bytes))
     span = max(1, -(-total // shards))
     shard = F.floor(F.col("slot") / span).cast("int")
