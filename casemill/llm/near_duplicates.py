@@ -13,8 +13,8 @@
 4. Pairs are verified on the full sets; verified links join groups by union-find
    (hooking to smaller roots and pointer jumping, in Spark).
 5. Buckets that still hold several groups are worked off exactly: members outside
-   the bucket's largest group are compared with all members, in blocks, by
-   signature; pairs that may pass are verified.  No bucket is cut or capped.
+   the bucket's largest group are compared with all members, in blocks; one link
+   for each member and other group is verified.  No bucket is cut or capped.
 
 A pair at the threshold is missed only if no band agrees, with a chance below
 1e-6 at the defaults.  Nothing but counts reaches the driver.
@@ -61,7 +61,7 @@ class Settings:
     rows: int = 4
     seed: int = 1
     rounds: int = 2
-    block: int = 512
+    block: int = 256
 
     @property
     def bands(self) -> int:
@@ -145,9 +145,9 @@ def band_keys(signature: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (a hash of the set; null for an empty set), bands and signature.
+    """doc_id, text_hash, n_shingles, cls (a hash of the set; null for an empty set) and bands.
 
-    Copies have the same bands and signature as their class.
+    Copies have the same bands as their class.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -163,12 +163,11 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
                     "n_shingles": [len(x) for x in sets],
                     "set_key": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets],
                     "bands": [None if g is None else band_keys(g, s) for g in signs],
-                    "sign": [None if g is None else _mix(g).astype("<u2").tobytes() for g in signs],
                 }
             )
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = rows.mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bands array<long>, sign binary")
+    rows = rows.mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bands array<long>")
     return rows.withColumn("cls", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))).drop("set_key")
 
 
@@ -237,36 +236,60 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.col("cls").alias("a"), "b").distinct()
 
 
-def _rest_pairs(members: DataFrame, signs: DataFrame, s: Settings) -> DataFrame:
-    """Pairs across groups of one bucket that leaders left open and whose signatures may pass.
+def _sets(texts: DataFrame, s: Settings) -> DataFrame:
+    """cls, size of its set, and the upper 32 bits of its hashes: enough to bound an intersection from above."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingle = Shingler(s.words)
+        for frame in frames:
+            sets = [(shingle(t) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"cls": frame["cls"], "elements": sets})
+
+    return texts.select("cls", "text").mapInPandas(run, "cls long, elements binary")
+
+
+def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Links across groups of one bucket that leaders left open.
 
     Members outside the largest group of their bucket meet all members, in blocks of
     ``s.block``; a block pair is one task's work, whatever the size of the bucket.
+    Sets are compared inside the block, and for each member and other group one link
+    at most comes out, so the result is no larger than members and blocks.
     """
     groups = members.groupBy("band", "root").count()
     big = groups.groupBy("band").agg(
         F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_small"), F.max_by("root", F.struct("count", "root")).alias("big")
     )
     open_ = written(members.join(big.where("n_small > 0"), "band").withColumn("small", F.col("root") != F.col("big")), "open-buckets")
-    sides = open_.join(signs, "cls")
+    held = written(_sets(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), s), "sets")
+    sides = open_.join(held, "cls")
     of = lambda n: F.greatest(F.ceil(F.col(n) / s.block).cast("int"), F.lit(1))
     place = lambda n: F.pmod(F.xxhash64("cls", "band"), of(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), of(n) - 1))
-    columns = [F.col(c).alias(c) for c in ("cls", "root", "sign")]  # aliases, as both sides come from one table
+    columns = [F.col(c).alias(c) for c in ("cls", "root", "elements")]  # aliases, as both sides come from one table
     band = F.col("band").alias("band")
     left = sides.where("small").select(band, place("n_small").alias("i"), every("n").alias("j"), *columns)
     right = sides.select(band, every("n_small").alias("i"), place("n").alias("j"), *columns)
-    least = s.percent / 100 - 6 * (s.percent / 100 * (1 - s.percent / 100) / s.hashes) ** 0.5
 
     def run(_key, lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         out = []
         if len(lefts) and len(rights):
-            y = np.stack([np.frombuffer(g, "<u2") for g in rights["sign"]])
+            sets = [np.frombuffer(x, "<u4") for x in rights["elements"]]
+            sizes = np.array([len(x) for x in sets])
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
             other, root = rights["cls"].to_numpy(), rights["root"].to_numpy()
-            for cls, own, sign in zip(lefts["cls"], lefts["root"], lefts["sign"], strict=True):
-                may = (y == np.frombuffer(sign, "<u2")).mean(axis=1) >= least
-                may &= root != own
-                out += [(max(cls, x), min(cls, x)) for x in other[may]]
+            for cls, own, raw in zip(lefts["cls"], lefts["root"], lefts["elements"], strict=True):
+                x = np.frombuffer(raw, "<u4")
+                first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+                n = last - first
+                at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                common = np.bincount(owner[at], minlength=len(sets))
+                may = np.flatnonzero((100 * common >= s.percent * (len(x) + sizes - common)) & (root != own))
+                for group in np.unique(root[may]):
+                    y = other[may[root[may] == group][0]]
+                    out.append((max(cls, y), min(cls, y)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     keys = ("band", "i", "j")
@@ -283,7 +306,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = written(signed(docs, s), "signed")
     reps = written(
-        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(low.alias("low"), "text_hash")).alias("rep"), F.first("bands").alias("bands"), F.first("sign").alias("sign")),
+        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(low.alias("low"), "text_hash")).alias("rep"), F.first("bands").alias("bands")),
         "classes",
     )
     banded = reps.select("cls", F.explode("bands").alias("band"))
@@ -293,12 +316,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     wanted = reps.join(nodes, F.col("cls") == F.col("node"), "left_semi").select("cls", F.col("rep.low").alias("low"), F.col("rep.text_hash").alias("text_hash"))
     keyed = docs.select(low.alias("low"), F.xxhash64("text").alias("text_hash"), "text")
     texts = written(keyed.join(wanted, ["low", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text"), "candidate-texts")
-    signs = reps.join(nodes, F.col("cls") == F.col("node"), "left_semi").select("cls", "sign")
     roots = written(nodes.select("node", F.col("node").alias("root")), "roots")
     links: list[DataFrame] = []
     for turn in range(s.rounds + 1):
         grouped = members.join(roots.select(F.col("node").alias("cls"), "root"), "cls")
-        pairs = written(_leader_pairs(grouped, turn) if turn < s.rounds else _rest_pairs(grouped, signs, s), "pairs")
+        pairs = written(_leader_pairs(grouped, turn) if turn < s.rounds else _rest_pairs(grouped, texts, s), "pairs")
         if pairs.isEmpty():
             if turn < s.rounds:
                 break
