@@ -29,13 +29,13 @@ and text are read.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,11 +45,6 @@ from .shared import dropped, small, written
 #: Stands for a null id while the smallest id of a group is found.
 NO_ID = (1 << 63) - 1
 
-SPLIT = re.compile("[\x20\x09-\x0d]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
-#: Words whose hashes one task remembers before it starts afresh.
-REMEMBERED = 500_000
-
 
 @dataclass(frozen=True)
 class Settings:
@@ -75,30 +70,28 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """Texts to sorted arrays of distinct 64-bit shingle hashes."""
+    """Texts to sorted arrays of distinct 64-bit shingle hashes.
+
+    ``bytes.lower`` changes A-Z alone, and ``bytes.split`` parts at 0x20 and 0x09-0x0D alone.
+    """
 
     def __init__(self, words: int):
         self.n = words
-        self.known: dict[str, int] = {}
-
-    def _word(self, word: str) -> int:
-        value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[word] = value
-        return value
 
     def __call__(self, text: str | None) -> np.ndarray:
-        found = [w for w in SPLIT.split((text or "").translate(LOWER) if text and not text.islower() else text or "") if w]
+        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.empty(0, np.uint64)
-        get, new = self.known.get, self._word
-        hashes = np.fromiter((get(w) or new(w) for w in found), np.uint64, len(found))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
         k = min(self.n, len(found))
         out = np.zeros(len(found) - k + 1, np.uint64)
         for i in range(k):
             out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : len(found) - k + 1 + i])
-        return np.unique(out + np.uint64(k))
+        out += np.uint64(k)
+        out.sort()
+        first = np.ones(len(out), bool)
+        np.not_equal(out[1:], out[:-1], out=first[1:])
+        return out[first]
 
 
 def super_min_hash(elements: np.ndarray, m: int, seed: int = 1) -> np.ndarray:
