@@ -30,6 +30,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ MARK = "▁"
 #: How far an unknown character is below the lowest score of a piece.
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a worker remembers, twice: the newer, and the generation before it.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 @dataclass(frozen=True)
@@ -219,6 +221,14 @@ def _small_batches(frame: pd.DataFrame, column: str, chars: int = 4_000_000) ->
         yield part
 
 
+def _slices(batch: pa.RecordBatch, column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Views of a batch with about ``size`` bytes of text each (one row at least)."""
+    sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes) // size, prepend=-1))
+    for first, last in zip(starts, [*starts[1:], len(sizes)][: len(starts)], strict=True):
+        yield batch.slice(first, last - first)
+
+
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, token_ids, n_tokens, and whether decoding gives the text back.
 
@@ -226,19 +236,23 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     model file, whatever the corpus.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_file))
-    ids = docs.select(F.col("doc_id"), F.col("text"))
+    rows = docs.select("doc_id", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared)
-        for frame in frames:
-            for part in _small_batches(frame, "text"):
-                out = [None if t is None else codec.encode(t) for t in part["text"]]
-                ok = [None if t is None else codec.decode(x) == t.replace(MARK, " ") for t, x in zip(part["text"], out, strict=True)]
-                n = [0 if x is None else len(x) for x in out]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "token_ids": out, "n_tokens": n, "round_trip": pd.array(ok, dtype="boolean")})
-
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInPandas(run, f"doc_id {kind}, token_ids array<int>, n_tokens long, round_trip boolean")
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                texts = part.column("text").to_pylist()
+                ids = [codec.encode_bytes(t or "") for t in texts]
+                ok = [None if t is None else codec.decode(np.frombuffer(x, "<i4")) == t.replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                lists = pa.ListArray.from_arrays(ends, values, mask=pa.array([t is None for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(n), pa.array(ok, pa.bool_())], ["doc_id", "token_ids", "n_tokens", "round_trip"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, token_ids array<int>, n_tokens long, round_trip boolean")
 
 
 def decoded(frame: DataFrame, model_file: str, ids: str = "token_ids") -> DataFrame:
