@@ -148,6 +148,36 @@ def quoted(text: Column, quote: Column, start: Column) -> Column:
     return F.coalesce(inside & (F.substr(text, start + 1, F.length(quote)) == quote), F.lit(False))
 
 
+#: Words of a window that is a join key, and the smaller ones for short passages.
+WINDOWS = (8, 4, 2, 1)
+
+
+def passages(docs: DataFrame, quotes: DataFrame, text: str, quote: str) -> DataFrame:
+    """Each row of docs with each row of quotes whose whole quote stands in its text, and ``start``, the first offset.
+
+    Words are what stands between two spaces.  All but the first and the last word of a quote are whole words of every text that
+    holds it, so a hash of the first of them is the join key; the whole quote is then looked up in the whole text.
+    Only quotes of one or two words are compared with every text.
+    """
+    hashed = lambda words, i, k: F.xxhash64(F.lit(k), *[F.get(words, i + j) for j in range(k)])
+    words = F.split(F.col(quote), " ")
+    size = F.coalesce(*[F.when(F.size(words) - 2 >= k, k) for k in WINDOWS], F.lit(0))
+    key = F.coalesce(*[F.when(F.col("_size") == k, hashed(words, F.lit(1), k)) for k in WINDOWS])
+    asked = quotes.where(F.length(quote) > 0).withColumn("_size", size).withColumn("_key", key)
+    sizes = sorted(r[0] for r in asked.select("_size").distinct().collect())
+    found = docs.join(asked.where("_size = 0"), F.contains(text, quote))
+    if windows := [k for k in sizes if k]:
+
+        def of(k: int) -> Column:
+            last = F.size("_words") - k
+            return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: hashed(F.col("_words"), i, k))).otherwise(F.array().cast("array<bigint>"))
+
+        keys = docs.withColumn("_words", F.split(F.col(text), " ")).withColumn("_key", F.explode(F.array_distinct(F.concat(*[of(k) for k in windows])))).drop("_words")
+        met = keys.join(asked.where("_size > 0"), "_key").where(F.contains(text, quote))
+        found = met.select(*found.columns) if sizes[0] else met.select(*found.columns).unionByName(found)
+    return found.withColumn("start", F.instr(F.col(text), F.col(quote)) - 1).drop("_size", "_key")
+
+
 def verify_span(known_field: Column, text: Column, value: Column, quote: Column, start: Column, score: Column, least: Column) -> Column:
     """The first reason to refuse a proposal, or null: empty, unknown field, unknown part, offsets, quote, value."""
     bare = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""

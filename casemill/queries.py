@@ -581,9 +581,8 @@ def normalize_text(t):
 
 @query("select doc_id, item_id, true as found from documents d join benchmark b on substr(d.text, 1, 40) = substr(b.text, 1, 40)")
 def quote_at_offset(t):
-    b = t("benchmark").select("item_id", F.col("text").alias("quote"), F.substring("text", 1, 40).alias("q"))
-    d = t("documents").select("doc_id", "text", F.substring("text", 1, 40).alias("q"))
-    return d.join(b, "q").select("doc_id", "item_id", evidence.quoted(F.col("text"), F.substring("quote", 1, 40), F.lit(0)).alias("found"))
+    d, b = t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("quote"))
+    return evidence.passages(d, b, "text", "quote").select("doc_id", "item_id", evidence.quoted(F.col("text"), F.col("quote"), F.col("start")).alias("found"))
 
 
 @query()
