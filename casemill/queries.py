@@ -587,9 +587,9 @@ def quote_at_offset(t):
 
 @query()
 def fuzzy_quote(t):
-    c = t("conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 200).alias("a"))
-    n = t("conversations").where("turn = 1").select("conv_id", F.substring("text", 1, 200).alias("b"))
-    return c.join(n, "conv_id").select("conv_id", text.similarity("a", "b").alias("ratio"))
+    c = t("conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    n = t("conversations").select("conv_id", (F.col("turn") - 1).cast(c.schema["turn"].dataType).alias("turn"), F.col("text").alias("b"))
+    return c.join(n, ["conv_id", "turn"]).select("conv_id", "turn", text.similarity("a", "b").alias("ratio"))
 
 
 @query(

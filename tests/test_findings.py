@@ -17,3 +17,21 @@ def test_quotes_are_found_whole_and_anywhere(spark, tmp_path):
     at = tables(spark, tmp_path, documents=(docs, "doc_id long, text string"), benchmark=(quotes, "item_id long, text string"))
     got = sorted((str(r["doc_id"]), r["item_id"], r["found"]) for r in QUERIES["quote_at_offset"](spark, at).collect())
     assert got == sorted((str(d), i, True) for d, t in docs for i, q in quotes if t and q and q in t)
+
+
+def test_fuzzy_quote_compares_whole_texts_of_all_consecutive_turns(spark, tmp_path):
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return 2 * row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+    head = "the same beginning " * 12
+    turns = [(1, 0, head + "abc def"), (1, 1, head + "xyz " * 40), (1, 2, "something else"), (1, 3, "something more"), (2, 0, "alone"), (3, 0, ""), (3, 1, ""), (4, 0, None), (4, 1, "x"), (5, 2, "late"), (5, 3, "later")]
+    at = tables(spark, tmp_path, conversations=(turns, "conv_id long, turn int, text string"))
+    got = {(r["conv_id"], r["turn"]): r["ratio"] for r in QUERIES["fuzzy_quote"](spark, at).collect()}
+    text = {(c, t): x for c, t, x in turns}
+    expected = {(c, t): None if x is None or text[c, t + 1] is None else ratio(x, text[c, t + 1]) for (c, t), x in text.items() if (c, t + 1) in text}
+    assert got == expected and len(got) == 6
