@@ -164,7 +164,8 @@ def greedy_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarra
     starts = np.random.default_rng(s.seed).permutation(n)[: n if n <= s.beam else beam // 2]
     pool = np.tile(starts, (len(q), 1))
     pool[:, 0] = np.where((own >= 0) & ~(pool == own[:, None]).any(1), own, pool[:, 0])
-    seen = np.zeros((len(q), n), bool)
+    # A spare last column takes what padding (-1) marks.
+    seen = np.zeros((len(q), n + 1), bool)
     seen[rows, pool] = True
     score = np.einsum("qpd,qd->qp", x[pool], q)
     opened = np.zeros(pool.shape, bool)
@@ -182,7 +183,7 @@ def greedy_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarra
         new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
         new = np.where((new >= 0) & ~seen[rows, new], new, -1)
         new = -np.sort(-new, axis=1)[:, : max(1, int((new >= 0).sum(1).max()))]
-        seen[rows, new] |= new >= 0
+        seen[rows, new] = True
         value = np.where(new >= 0, np.einsum("qpd,qd->qp", x[new], q), -np.inf)
         pool, score = np.concatenate([pool, new], 1), np.concatenate([score, value], 1)
         opened = np.concatenate([opened, np.zeros(new.shape, bool)], 1)

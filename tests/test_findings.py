@@ -1,5 +1,9 @@
 """Whole results where a query once gave a part of them, against brute force."""
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from casemill.llm import nn_descent
 from casemill.queries import QUERIES
 
 
@@ -35,3 +39,10 @@ def test_fuzzy_quote_compares_whole_texts_of_all_consecutive_turns(spark, tmp_pa
     text = {(c, t): x for c, t, x in turns}
     expected = {(c, t): None if x is None or text[c, t + 1] is None else ratio(x, text[c, t + 1]) for (c, t), x in text.items() if (c, t + 1) in text}
     assert got == expected and len(got) == 6
+
+
+def test_nearest_rows_are_distinct(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nn_descent.nearest(df, 1, nn_descent.Settings(shard_size=1000, beam=64, sweeps=2, leaf=64)).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d")).collect()
+    assert len(got) == 600 and all(r["n"] == r["d"] == 20 for r in got)
