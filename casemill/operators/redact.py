@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from casemill.functions.text import PLACEHOLDER, placeholders
+from casemill.functions import recognizers
+from casemill.functions.text import placeholders
 
 #: Alphabet of placeholders: no vowels, so that no word arises.
 ALPHABET = "BCDFGHJKLMNPQRSTVWXZ2345679"
-#: Kinds of values that text is swept for, as plain patterns.
+#: Plain patterns that native queries use; sealing takes all recognizers.
 SWEEP: Mapping[str, str] = {
     "EMAIL": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "PHONE": r"\+[0-9]{1,3} \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
@@ -29,13 +32,29 @@ def token(kind: Column, case: Column, value: Column, salt: str) -> Column:
     return F.concat(F.lit("[[PII|"), kind, F.lit("|"), *letters, F.lit("]]"))
 
 
-def findings(text: Column) -> Column:
-    """array<struct<kind, value>> of the different values that the sweep finds."""
+SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("value", T.StringType()))
+
+
+@F.pandas_udf(SPANS)
+def detections(text: pd.Series) -> pd.Series:
+    """All that the REDACT profile finds, also where spans overlap."""
+    return text.map(lambda x: recognizers.scan(x or "", recognizers.REDACT))
+
 
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+@F.pandas_udf(SPANS)
+def seal_spans(text: pd.Series) -> pd.Series:
+    """What is sealed: spans in order that don't overlap."""
+    return text.map(lambda x: recognizers.merged(recognizers.scan(x or "", recognizers.REDACT), x or ""))
 
-    return F.array_distinct(F.concat(*[of(kind, pattern) for kind, pattern in SWEEP.items()]))
+
+@F.pandas_udf(T.BooleanType())
+def residue(text: pd.Series, n_sealed: pd.Series) -> pd.Series:
+    return pd.Series([recognizers.residue(x or "", n) for x, n in zip(text, n_sealed, strict=True)], dtype=bool)
+
+
+def findings(text: Column) -> Column:
+    """array<struct<kind, value>> of the different values that the recognizers find."""
+    return F.array_distinct(F.transform(detections(text), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
 
 
 def sealed(docs: DataFrame, case: str, text: str, salt: str) -> DataFrame:
@@ -43,13 +62,15 @@ def sealed(docs: DataFrame, case: str, text: str, salt: str) -> DataFrame:
 
     Raw text and entries stay in one row, so both can be dropped before anything is written.
     """
-    swept = F.transform(findings(F.coalesce(F.col(text), F.lit(""))), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), token(x["kind"], F.col(case), x["value"], salt).alias("token")))
-    df = docs.withColumn("entries", swept)
-    # Longer values first, so that a value inside another is not cut out of it.
-    longest = F.array_sort(F.transform("entries", lambda e: F.struct((-F.length(e["value"])).alias("k"), e["value"].alias("value"), e["token"].alias("token"))))
-    df = df.withColumn("sealed_text", F.aggregate(longest, F.col(text), lambda acc, e: F.replace(acc, e["value"], e["token"])))
-    residue = F.size(findings(F.regexp_replace(F.coalesce("sealed_text", F.lit("")), PLACEHOLDER, " "))) > 0
-    return df.withColumn("refused", residue)
+    df = docs.withColumn("_spans", seal_spans(F.col(text)))
+    minted = F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"), token(x["kind"], F.col(case), x["value"], salt).alias("token")))
+    df = df.withColumn("_spans", minted)
+    df = df.withColumn("entries", F.array_distinct(F.transform("_spans", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["token"].alias("token")))))
+    before = lambda i: F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(0)
+    parts = F.transform("_spans", lambda x, i: F.concat(F.substr(F.col(text), before(i) + 1, x["start"] - before(i)), x["token"]))
+    rest = F.substr(F.col(text), before(F.size("_spans")) + 1)
+    df = df.withColumn("sealed_text", F.when(F.size("_spans") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest)))
+    return df.drop("_spans").withColumn("refused", residue("sealed_text", F.size("entries")))
 
 
 def vault(sealed_docs: DataFrame, case: str) -> DataFrame:

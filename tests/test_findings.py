@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from casemill.llm import nn_descent
+from casemill.operators import redact
 from casemill.queries import QUERIES
 
 
@@ -46,3 +47,23 @@ def test_nearest_rows_are_distinct(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = nn_descent.nearest(df, 1, nn_descent.Settings(shard_size=1000, beam=64, sweeps=2, leaf=64)).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d")).collect()
     assert len(got) == 600 and all(r["n"] == r["d"] == 20 for r in got)
+
+
+def test_all_kinds_of_personal_data_are_sealed(spark, tmp_path):
+    values = {
+        "VSNR": "65170839J003", "STID": "86095742719", "IBAN": "DE89370400440532013000", "BNR": "12345678", "AKTZ": "S 12 R 3456/24", "EMAIL": "a@b.example", "PHONE": "0441 1234567",
+        "ADDR": "Lindenstraße 12", "GEBDAT": "1.2.1960", "ORG": "Meyer & Sohn GmbH", "NAME": "Dr. Erika Muster", "SSN": "123-45-6789", "IP": "10.0.0.1", "NUMBER": "4111111111111111",
+    }
+    before = {"BNR": "Betriebsnummer: ", "GEBDAT": "geboren am ", "NAME": "Frau "}
+    rows = [(i, f"größe 😀 ; {before.get(k, '')}{v} ; end") for i, (k, v) in enumerate(values.items())]
+    more = [(20, "GB82 WEST 1234 5698 7654 32 TIME x"), (21, "GB82WEST12345698765431"), (22, "26121 Oldenburg"), (23, "[[PII|forged]] text"), (24, "Az. 5 and 5 a@b.example"), (25, None), (26, "+1 (017) 555-7713"), (27, "call (555) 010-1234 or 555-010-1234")]
+    at = tables(spark, tmp_path, documents=([*rows, *more], "doc_id long, text string"))
+    s = redact.sealed(spark.read.parquet(at + "/documents.parquet"), "doc_id", "text", "k").cache()
+    out = {r["doc_id"]: r for r in s.collect()}
+    for i, (k, v) in enumerate(values.items()):
+        assert [(e["kind"], e["value"]) for e in out[i]["entries"]] == [(k, v)] and v not in out[i]["sealed_text"] and not out[i]["refused"], k
+    assert [e["value"] for e in out[20]["entries"]] == ["GB82 WEST 1234 5698 7654 32"] and not out[21]["entries"] and len(out[27]["entries"]) == 2
+    assert [i for i, r in out.items() if r["refused"]] == [23]
+    back = redact.rehydrated(s.select("doc_id", "sealed_text"), redact.vault(s, "doc_id"), "doc_id", "sealed_text")
+    assert {r["doc_id"]: r["plain"] for r in back.collect() if r["doc_id"] != 23} == {i: t for i, t in [*rows, *more] if i != 23}
+    assert {r["kind"] for r in QUERIES["pii_counts_by_kind"](spark, at).collect()} == set(values)
