@@ -467,7 +467,7 @@ def ablation(t):
     features = {"discount": rounded("l_discount"), "quantity": F.col("l_quantity").cast("long"), "tax": rounded("l_tax")}
     total = lambda f: f["discount"] + f["quantity"] + f["tax"]
     parts = scoring.ablation(features, {"discount": 5, "quantity": 25, "tax": 4}, total)
-    return t("lineitem").where("l_quantity > 45").select("l_orderkey", "l_linenumber", F.explode(parts).alias("p")).select("l_orderkey", "l_linenumber", "p.feature", F.col("p.contribution").cast("long").alias("contribution"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.explode(parts).alias("p")).select("l_orderkey", "l_linenumber", "p.feature", F.col("p.contribution").cast("long").alias("contribution"))
 
 
 @query()
@@ -477,7 +477,7 @@ def forest_score(t):
     features = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
     lines = t("lineitem")
     sample = lines.select(F.xxhash64("l_orderkey", "l_linenumber").alias("h"), *features).orderBy("h").limit(2000).collect()
-    forest = scoring.Forest.fit(np.array([[float(r[f]) for f in features] for r in sample]), trees=50)
+    forest = scoring.Forest.fit(np.array([[float(r[f]) for f in features] for r in sample]), trees=200)
     return scoring.forest_score(lines, features, forest).select("l_orderkey", "l_linenumber", "forest")
 
 

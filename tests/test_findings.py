@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from casemill.llm import nn_descent
-from casemill.operators import redact
+from casemill.operators import redact, scoring
 from casemill.queries import QUERIES
 
 
@@ -67,3 +67,13 @@ def test_all_kinds_of_personal_data_are_sealed(spark, tmp_path):
     back = redact.rehydrated(s.select("doc_id", "sealed_text"), redact.vault(s, "doc_id"), "doc_id", "sealed_text")
     assert {r["doc_id"]: r["plain"] for r in back.collect() if r["doc_id"] != 23} == {i: t for i, t in [*rows, *more] if i != 23}
     assert {r["kind"] for r in QUERIES["pii_counts_by_kind"](spark, at).collect()} == set(values)
+
+
+def test_ablation_takes_every_row_and_the_forest_has_200_trees(spark, tmp_path, monkeypatch):
+    lines = [(i, 1, float(1 + i % 50), 100.0 + i, (i % 11) / 100, (i % 9) / 100) for i in range(120)]
+    at = tables(spark, tmp_path, lineitem=(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"))
+    got = sorted((r["l_orderkey"], r["feature"], r["contribution"]) for r in QUERIES["ablation"](spark, at).collect())
+    assert got == sorted((i, f, v) for i in range(120) for f, v in (("discount", i % 11 - 5), ("quantity", 1 + i % 50 - 25), ("tax", i % 9 - 4)))
+    forests, fit = [], scoring.Forest.fit
+    monkeypatch.setattr(scoring.Forest, "fit", lambda *a, **k: forests.append(fit(*a, **k)) or forests[-1])
+    assert QUERIES["forest_score"](spark, at).count() == 120 and len(forests[0].trees) == 200
