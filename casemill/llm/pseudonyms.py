@@ -29,7 +29,22 @@ from .spans import pieces
 
 # What each kind looks like.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Characters of an IBAN by country (the registry of SWIFT); a match ends there, whatever follows.
+LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _bounded(length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{LENGTHS[length].replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: Countries that the table doesn't have, and other lengths.
+OTHER_IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+IBAN = "|".join([*map(_bounded, LENGTHS), OTHER_IBAN])
 DATES = {
     r"[0-9]{4}-[0-9]{2}-[0-9]{2}": "yyyy-MM-dd",
     r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}": "dd.MM.yyyy",
@@ -37,10 +52,12 @@ DATES = {
 }
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})"
+CARD = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
 PHONE = r"(?:\+[0-9]{1,3}[ -]?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|\+[0-9]{1,3}(?:[ -]?[0-9]{2,4}){3,5}|[0-9]{3}-[0-9]{3}-[0-9]{4}"
 KINDS = ("email", "iban", "date", "ip", "ssn", "card", "phone")
-ANY = rf"(?<![A-Za-z0-9@])(?:{EMAIL}|{IBAN}|{'|'.join(DATES)}|{IP}|{SSN}|{CARD}|{PHONE})(?![A-Za-z0-9@])"
+#: No letter or digit follows a value, but the time may follow a date.
+END = rf"(?:(?![A-Za-z0-9@])|(?<=[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})(?=T[0-9]{{2}}))"
+ANY = rf"(?<![A-Za-z0-9@])(?:{EMAIL}|{IBAN}|{'|'.join(DATES)}|{IP}|{SSN}|{CARD}|{PHONE}){END}"
 
 ROUNDS = 4
 #: Days of a block within which dates are permuted: 292 * 250, just under 200 years.
@@ -141,7 +158,8 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
         check = (10 - _luhn_sum(body, True) % 10) % 10
         gap = F.regexp_extract(value, "([ -])", 1)
         whole = F.concat(body, check.cast("string"))
-        return F.when(gap == "", whole).otherwise(F.concat(F.substring(whole, 1, 4), gap, F.substring(whole, 5, 4), gap, F.substring(whole, 9, 4), gap, F.substring(whole, 13, 4)))
+        short = F.concat(F.substring(whole, 1, 4), gap, F.substring(whole, 5, 6), gap, F.substring(whole, 11, 5))
+        return F.when(gap == "", whole).when(F.length(whole) == 15, short).otherwise(F.concat(F.substring(whole, 1, 4), gap, F.substring(whole, 5, 4), gap, F.substring(whole, 9, 4), gap, F.substring(whole, 13, 4)))
 
     def iban(account: Column) -> Column:
         country = F.substring(bare, 1, 2)
