@@ -7,9 +7,11 @@ segmentation with the highest sum of piece scores.  Characters that no piece
 covers become their UTF-8 bytes (byte fallback), or the unknown piece.
 
 As no usual piece holds a space mark behind another character, every path breaks
-before each run of space marks.  The encoder checks this of its vocabulary and
-then encodes such stretches one by one and remembers them; with a vocabulary that
-breaks the rule it runs over the whole text.  Both give the same result.
+before each run of space marks, and around each character that no piece holds.  The encoder checks this of its vocabulary and
+then encodes such stretches and remembers them: the new ones of a batch of texts
+walk the automaton together, character by character, as columns of an array
+(:class:`Lockstep`).  With a vocabulary that breaks the rule, and for very long
+stretches, it runs over the text by itself.  All ways give the same result.
 
 Decoding joins the pieces, turns bytes into text, and takes the added space mark
 off.  ``decode(encode(text)) == text`` for every text without the space mark
@@ -40,6 +42,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Stretches that a worker remembers, twice: the newer, and the generation before it.
 REMEMBERED = 150_000
+#: Longest stretch that is remembered, and how many walk the automaton together.
+KEPT_LENGTH, TOGETHER = 64, 16_384
 
 
 @dataclass(frozen=True)
@@ -139,6 +143,102 @@ class Automaton:
         return path[::-1]
 
 
+class Lockstep:
+    """The same automaton as arrays: many short stretches take each step of the walk and of the Viterbi pass together.
+
+    Edges lie in an open hash table, keyed by state and character.  Each state lists its outputs longest first and
+    then, if no one-character piece ends there, the unknown character; the first of equal sums wins, as in
+    :meth:`Automaton.best_path`.
+    """
+
+    def __init__(self, automaton: Automaton, unknown_score: float):
+        go = automaton.go
+        chars = sorted({c for edges in go for c in edges})
+        self.width = len(chars) + 1
+        #: Code point -> number of the character; the last number stands for all that no piece has.
+        self.number = np.full(0x110000, len(chars), np.int32)
+        self.number[[ord(c) for c in chars]] = np.arange(len(chars))
+        keys = np.array([s * self.width + int(self.number[ord(c)]) for s, edges in enumerate(go) for c in edges], np.int64)
+        targets = np.array([t for edges in go for t in edges.values()], np.int32)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.targets = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left = np.arange(len(keys))
+        place = self._place(keys)
+        while len(left):
+            free = self.keys[place[left]] < 0
+            self.keys[place[left[free]]] = keys[left[free]]  # of those that meet in a free place, one stays
+            done = self.keys[place[left]] == keys[left]
+            self.targets[place[left[done]]] = targets[left[done]]
+            left = left[~done]
+            place[left] = (place[left] + 1) & (len(self.keys) - 1)
+        self.fail = np.array(automaton.fail, np.int32)
+        each = [own if single else (*own, (1, unknown_score, -1)) for single, own in automaton.outs]
+        self.n_out = np.array([len(x) for x in each], np.int64)
+        self.first = np.cumsum(self.n_out) - self.n_out
+        flat = [o for x in each for o in x]
+        self.length, self.score, self.ids = (np.array([o[i] for o in flat], kind) for i, kind in enumerate((np.int32, np.float64, np.int32)))
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, states: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The state after each character: along an edge, or along failure links until there is one."""
+        out = np.zeros(len(states), np.int32)
+        rows, at = np.arange(len(states)), states.astype(np.int64)
+        while len(rows):
+            keys = at * self.width + chars[rows]
+            place = self._place(keys)
+            seen = self.keys[place]
+            while (other := (seen != keys) & (seen >= 0)).any():
+                place[other] = (place[other] + 1) & (len(self.keys) - 1)
+                seen[other] = self.keys[place[other]]
+            hit = seen == keys
+            out[rows[hit]] = self.targets[place[hit]]
+            more = ~hit & (at > 0)
+            rows, at = rows[more], self.fail[at[more]].astype(np.int64)
+        return out
+
+    def best_paths(self, stretches: Sequence[str]) -> list[bytes | None]:
+        """For each stretch its ids as little-endian 32-bit numbers, or None if it holds an unknown character."""
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        n, longest = len(order), int(sizes[0]) if len(order) else 0
+        points = self.number[np.frombuffer("".join([stretches[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")]
+        begin = np.cumsum(sizes) - sizes
+        best, came = np.zeros((longest + 1, n)), np.zeros((longest + 1, n), np.int64)
+        state = np.zeros(n, np.int32)
+        for end in range(1, longest + 1):
+            live = int(np.searchsorted(-sizes, -end, side="right"))
+            state = self.step(state[:live], points[begin[:live] + end - 1])
+            count = self.n_out[state]
+            head = np.cumsum(count) - count
+            row = np.repeat(np.arange(live), count)
+            out = np.arange(len(row)) + np.repeat(self.first[state] - head, count)
+            value = best[end - self.length[out], row] + self.score[out]
+            top = np.maximum.reduceat(value, head)
+            best[end, :live] = top
+            first = np.flatnonzero(value == top[row])[::-1]
+            came[end, row[first]] = out[first]  # backwards, so that the first of equal sums is written last
+        ids, end, rows = np.full((n, longest + 1), -2, np.int32), sizes.copy(), np.arange(n)
+        while len(rows):
+            out = came[end, rows]
+            ids[rows, end] = self.ids[out]
+            end = end - self.length[out]
+            rows, end = rows[end > 0], end[end > 0]
+        known = ~(ids == -1).any(axis=1)
+        given = ids >= 0
+        ends = np.cumsum(given.sum(axis=1)) * 4
+        raw = ids[given].astype("<i4").tobytes()
+        found: list[bytes | None] = [None] * n
+        start = 0
+        for i, stop, ok in zip(order.tolist(), ends.tolist(), known.tolist(), strict=True):
+            if ok:
+                found[i] = raw[start:stop]
+            start = stop
+        return found
+
+
 class Codec:
     """Encoder and decoder of one vocabulary; built once in each Python worker."""
 
@@ -147,8 +247,11 @@ class Codec:
         usable = [(p, i, s) for i, (p, s, ok) in enumerate(zip(v.pieces, v.scores, v.usable, strict=True)) if ok and p]
         self.automaton = Automaton(usable)
         self.unknown_score = min((s for _, _, s in usable), default=0.0) - UNKNOWN_PENALTY
+        self.together = Lockstep(self.automaton, self.unknown_score)
         self.splits = not any(MARK in p.lstrip(MARK) for p, _, _ in usable)
-        self.stretch = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        # A character that no piece holds is a stretch of its own: no path goes across it.
+        held = re.escape("".join(sorted({c for p, _, _ in usable for c in p} - {MARK})))
+        self.stretch = re.compile(f"{MARK}*[{held}]+|{MARK}+|(?s:.)" if held else f"{MARK}+|(?s:.)")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes_of = [p.encode() for p in v.pieces]
@@ -170,25 +273,41 @@ class Codec:
                 ids.append(self.vocabulary.unknown)
         return struct.pack(f"<{len(ids)}i", *ids)
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        marked = MARK + text.replace(" ", MARK)
+    def _learn(self, stretches: set[str]) -> None:
+        """Remembers the ids of those stretches that it doesn't know and that are not too long to be kept."""
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        fresh = []
+        for x in stretches.difference(known):
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+            elif len(x) <= KEPT_LENGTH:
+                fresh.append(x)
+        fresh.sort(key=len)
+        for at in range(0, len(fresh), TOGETHER):
+            part = fresh[at : at + TOGETHER]
+            for x, ids in zip(part, self.together.best_paths(part), strict=True):
+                known[x] = self._stretch_ids(x) if ids is None else ids
+
+    def encode_all(self, texts: Sequence[str]) -> list[bytes]:
+        """For each text the ids as little-endian 32-bit numbers; memory is of the order of all texts together."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
         if not self.splits:
-            return self._stretch_ids(marked)
-        known, out = self.known, []
-        for stretch in self.stretch.findall(marked):
-            ids = known.get(stretch)
-            if ids is None:
-                ids = self.older.get(stretch) or self._stretch_ids(stretch)
-                if len(stretch) <= 64:
-                    if len(known) >= REMEMBERED:
-                        self.older, self.known = known, {}
-                        known = self.known
-                    known[stretch] = ids
-            out.append(ids)
-        return b"".join(out)
+            return [self._stretch_ids(m) if m else b"" for m in marked]
+        parts = [self.stretch.findall(m) for m in marked]
+        self._learn(set().union(*parts))
+        known, own, out = self.known, self._stretch_ids, []
+        for p in parts:
+            try:
+                out.append(b"".join(map(known.__getitem__, p)))
+            except KeyError:  # a very long stretch
+                out.append(b"".join([known[x] if len(x) <= KEPT_LENGTH else own(x) for x in p]))
+        return out
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of one text as little-endian 32-bit numbers."""
+        return self.encode_all([text])[0]
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), dtype="<i4")
@@ -214,13 +333,6 @@ def codec_of(broadcast) -> Codec:  # noqa: ANN001
     return _codecs[key]
 
 
-def _small_batches(frame: pd.DataFrame, column: str, chars: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """Parts of a batch with a bounded number of characters each (one text at least)."""
-    sizes = frame[column].str.len().fillna(0).cumsum()
-    for _, part in frame.groupby((sizes // chars).astype(int), sort=False):
-        yield part
-
-
 def _slices(batch: pa.RecordBatch, column: str, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Views of a batch with about ``size`` bytes of text each (one row at least)."""
     sizes = np.array(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
@@ -243,7 +355,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
         for batch in batches:
             for part in _slices(batch, "text"):
                 texts = part.column("text").to_pylist()
-                ids = [codec.encode_bytes(t or "") for t in texts]
+                ids = codec.encode_all([t or "" for t in texts])
                 ok = [None if t is None else codec.decode(np.frombuffer(x, "<i4")) == t.replace(MARK, " ") for t, x in zip(texts, ids, strict=True)]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())

@@ -8,26 +8,30 @@ no power of four.  Sequences are then dealt out by ranges of slots, so that each
 shard is a run of slots with a fixed stride: slot s lies at byte
 (s - first slot of its shard) * stride, and a reader may stop and go on anywhere.
 
-Running numbers need no sort: encoding numbers the sequences within each task and
-writes ids, task and number to the shared folder; the offset of a task is the sum
-of the tasks before it.  Only one sum for each task reaches the driver.
+Running numbers follow a keyed hash of id and text, so that the order depends on
+the rows alone, not on files, tasks or settings: encoded texts are dealt out by
+ranges of that hash (of equal width, as hashes are uniform), sorted and numbered in
+each range, and written to the shared folder; a range starts at the sum of the
+ranges before it.  Only one sum for each range reaches the driver.
 
 Cases: null text is empty text, and an empty text is one sequence of end tokens
-with n_tokens 1; repeated rows get slots each; an empty table gives no rows; only
-doc_id and text are read; a very long text is many sequences.
+with n_tokens 1; repeated rows get slots each, rows of one id and different texts
+lie in different ranges; an empty table gives no rows; only doc_id and text are
+read; a very long text is many sequences.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces_codec import Vocabulary, _small_batches, codec_of
+from .pieces_codec import Vocabulary, _slices, codec_of
 from .shared import written
 
 
@@ -38,7 +42,7 @@ class Settings:
     end_token: int = 2
     key: int = 0x5EED
     rounds: int = 6
-    shard_bytes: int = 256 << 20
+    shard_bytes: int = 128 << 20
 
     @property
     def stride(self) -> int:
@@ -76,61 +80,79 @@ def permuted(index: np.ndarray, total: int, key: int, rounds: int = 6, inverse:
 
 
 def _encoded(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, ids, the task, and the number of sequences of the task before this text."""
+    """doc_id, ids (compressed), n (sequences), the key of the order, and the range in which it lies."""
     vocabulary = Vocabulary.load(s.model_file)
     if len(vocabulary.pieces) > 65536:
         raise ValueError("ids of this vocabulary need more than 16 bits")
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select("doc_id", "text", F.spark_partition_id().alias("task"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.lit(s.key), F.col("doc_id"), F.coalesce("text", F.lit(""))).alias("key"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     end = np.array([s.end_token], "<u2").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, before = codec_of(shared), 0
-        for frame in frames:
-            for part in _small_batches(frame, "text"):
-                ids = [codec.encode(t or "").astype("<u2").tobytes() + end for t in part["text"]]
-                n = np.array([-(-len(x) // (2 * s.length)) for x in ids], np.int64)
-                first = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "task": part["task"].to_numpy(), "first": first, "n": n})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared)
+        for batch in batches:
+            for part in _slices(batch, "text"):
+                ids = [np.frombuffer(x, "<i4").astype("<u2").tobytes() + end for x in codec.encode_all(part.column("text").to_pylist())]
+                n = pa.array([-(-len(x) // (2 * s.length)) for x in ids], pa.int64())
+                packed = pa.array([zlib.compress(x, 1) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), packed, n], ["doc_id", "key", "ids", "n"])
 
-    return rows.mapInPandas(run, f"doc_id {kind}, ids binary, task int, first long, n long")
+    return rows.mapInArrow(run, f"doc_id {kind}, key long, ids binary, n long")
+
+
+def _numbered(encoded: DataFrame, ranges: int) -> DataFrame:
+    """Adds the range of each row, and the number of sequences of its range before it."""
+    place = F.shiftright((F.shiftright("key", 33) + (1 << 30)) * ranges, 31)
+    dealt = encoded.withColumn("range", place.cast("int")).repartitionById(ranges, F.col("range")).sortWithinPartitions("key", "doc_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            n = np.asarray(batch.column("n"), np.int64)
+            first = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], [*batch.schema.names, "first"])
+
+    return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", first long")
 
 
 def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """shard, slot, byte_offset, doc_id, part, n_tokens and payload (ids as little-endian 16-bit numbers).
 
-    Partition i of the result holds shard i, sorted by slot.
+    Partition i of the result holds shard i, sorted by slot.  Neither slots nor shards depend on the session's settings.
     """
     spark = docs.sparkSession
-    encoded = written(_encoded(docs, s), "token-ids", compression="zstd")
-    sums = sorted(tuple(r) for r in encoded.groupBy("task").agg(F.sum("n")).collect())
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    encoded = written(_numbered(_encoded(docs, s), ranges), "token-ids")
+    sums = sorted(tuple(r) for r in encoded.groupBy("range").agg(F.sum("n")).collect())
     offsets, total = {}, 0
-    for task, n in sums:
-        offsets[task], total = total, total + n
+    for place, n in sums:
+        offsets[place], total = total, total + n
     held = spark.sparkContext.broadcast(offsets)
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 2 * s.length
         fill = np.array([s.end_token], "<u2").tobytes()
-        for frame in frames:
-            starts = frame["first"].to_numpy() + frame["task"].map(held.value).to_numpy()
-            owners, numbers, sizes, payloads = [], [], [], []
-            for row, (raw, n) in enumerate(zip(frame["ids"], frame["n"], strict=True)):
-                n_ids = len(raw) // 2
-                raw = raw + fill * (n * s.length - n_ids)
-                payloads += [raw[i * step : (i + 1) * step] for i in range(n)]
-                owners += [row] * n
-                numbers += range(n)
-                sizes += [s.length] * (n - 1) + [n_ids - (n - 1) * s.length]
-            owners, numbers = np.array(owners, np.int64), np.array(numbers, np.int64)
-            slots = permuted(starts[owners] + numbers, total, s.key, s.rounds)
-            yield pd.DataFrame({"slot": slots, "doc_id": frame["doc_id"].array[owners], "part": numbers.astype(np.int32), "n_tokens": np.array(sizes, np.int32), "payload": payloads})
-
-    rows = encoded.mapInPandas(cut, f"slot long, doc_id {kind}, part int, n_tokens int, payload binary")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * s.stride // s.shard_bytes))
+        for batch in batches:
+            for part in _slices(batch, "ids"):
+                n = np.asarray(part.column("n"), np.int64)
+                starts = np.asarray(part.column("first"), np.int64) + np.array([held.value[r] for r in part.column("range").to_pylist()], np.int64)
+                whole, sizes = [], []
+                for raw, k in zip(part.column("ids").to_pylist(), n.tolist(), strict=True):
+                    raw = zlib.decompress(raw)
+                    sizes += [s.length] * (k - 1) + [len(raw) // 2 - (k - 1) * s.length]
+                    whole += [raw, fill * (k * s.length - len(raw) // 2)]
+                owners = np.repeat(np.arange(len(n)), n)
+                numbers = np.arange(len(owners)) - np.repeat(np.cumsum(n) - n, n)
+                payload = pa.Array.from_buffers(pa.binary(step), len(owners), [None, pa.py_buffer(b"".join(whole))]).cast(pa.binary())
+                slots = permuted(starts[owners] + numbers, total, s.key, s.rounds)
+                columns = [pa.array(slots), part.column("doc_id").take(pa.array(owners)), pa.array(numbers.astype(np.int32)), pa.array(sizes, pa.int32()), payload]
+                yield pa.RecordBatch.from_arrays(columns, ["slot", "doc_id", "part", "n_tokens", "payload"])
+
+    rows = encoded.mapInArrow(cut, f"slot long, doc_id {kind}, part int, n_tokens int, payload binary")
+    shards = max(1, -(-total * s.stride // s.shard_bytes))
     span = max(1, -(-total // shards))
     shard = F.floor(F.col("slot") / span).cast("int")
     return (
