@@ -1,7 +1,8 @@
 """MinHash near-duplicates with SuperMinHash signatures.
 
 1. Every text becomes its set of 64-bit shingle hashes; texts with one and the same
-   set (128-bit digest) are one class, and only its smallest row is compared.
+   set (128-bit digest) are one class, with a number of its own, and only its smallest
+   row is compared.
 2. SuperMinHash: each element ranks the ``Settings.hashes`` positions by a random
    permutation of its own, drawn place by place; a position's value is the least
    place + uniform number over all elements.  Ranks are drawn level by level for
@@ -13,8 +14,9 @@
 4. Pairs are verified on the full sets; verified links join groups by union-find
    (hooking to smaller roots and pointer jumping, in Spark).
 5. Buckets that still hold several groups are worked off exactly: members outside
-   the bucket's largest group are compared with all members, in blocks; one link
-   for each member and other group is verified.  No bucket is cut or capped.
+   the bucket's largest group are compared with all members on full sets, in blocks;
+   of the links that hold, one for each member and other group comes out.  No bucket
+   is cut or capped; a bucket of n members that are all unlike costs n * n / 256 sets.
 
 A pair at the threshold is missed only if no band agrees, with a chance below
 1e-6 at the defaults.  Nothing but counts reaches the driver.
@@ -22,8 +24,9 @@ A pair at the threshold is missed only if no band agrees, with a chance below
 Cases: null, empty and blank texts have empty sets and are linked with nothing;
 texts with fewer words than a shingle have the whole sequence as one shingle;
 repeated rows and null ids are members of the same class (a null id is never a
-representative if another id is there); an empty table gives no rows; only doc_id
-and text are read.
+representative if another id is there; the largest long counts as null); one id with
+several texts is a row of its own for each; an empty table gives no rows; only doc_id
+and text are read, and further columns of :func:`deduplicated` may have any names.
 """
 
 from __future__ import annotations
@@ -36,11 +39,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, small, written
+from .shared import WORD, dropped, free_name, small, written
 
 #: Stands for a null id while the smallest id of a group is found.
 NO_ID = (1 << 63) - 1
@@ -137,8 +139,13 @@ def band_keys(signature: np.ndarray, s: Settings) -> np.ndarray:
     return out.view(np.int64)
 
 
+def row_key() -> tuple[Column, Column]:
+    """What tells rows apart: the id (null as ``NO_ID``), and a hash of 128 bits of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.md5("text")
+
+
 def signed(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id, text_hash, n_shingles, cls (a hash of the set; null for an empty set) and bands.
+    """doc_id, text_hash, n_shingles, set_key (a digest of the set; null for an empty set) and bands.
 
     Copies have the same bands as their class.
     """
@@ -159,9 +166,8 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
                 }
             )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = rows.mapInPandas(run, f"doc_id {kind}, text_hash long, n_shingles long, set_key binary, bands array<long>")
-    return rows.withColumn("cls", F.when(F.col("set_key").isNotNull(), F.xxhash64("set_key"))).drop("set_key")
+    rows = docs.select("doc_id", "text", row_key()[1].alias("text_hash"))
+    return rows.mapInPandas(run, f"doc_id {kind}, text_hash string, n_shingles long, set_key binary, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -224,36 +230,38 @@ def _leader_pairs(members: DataFrame, turn: int) -> DataFrame:
     lead = members.groupBy("band").agg(
         F.min_by(F.struct("cls", "root"), F.struct(order, "cls")).alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")
     )
-    mixed = lead.where("low != high").select("band", F.col("lead.cls").alias("b"), F.col("lead.root").alias("b_root"))
-    pairs = members.join(mixed, "band").where("root != b_root")
+    # Written, so that the join is planned by its own size, and a hot bucket can be split.
+    mixed = written(lead.where("low != high").select("band", F.col("lead.cls").alias("b"), F.col("lead.root").alias("b_root")), "leaders")
+    pairs = members.join(small(mixed), "band").where("root != b_root")
     return pairs.select(F.col("cls").alias("a"), "b").distinct()
 
 
 def _sets(texts: DataFrame, s: Settings) -> DataFrame:
-    """cls, size of its set, and the upper 32 bits of its hashes: enough to bound an intersection from above."""
+    """cls and the hashes of its set."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(s.words)
         for frame in frames:
-            sets = [(shingle(t) >> np.uint64(32)).astype("<u4").tobytes() for t in frame["text"]]
+            sets = [shingle(t).astype("<u8").tobytes() for t in frame["text"]]
             yield pd.DataFrame({"cls": frame["cls"], "elements": sets})
 
     return texts.select("cls", "text").mapInPandas(run, "cls long, elements binary")
 
 
 def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
-    """Links across groups of one bucket that leaders left open.
+    """Verified links across groups of one bucket that leaders left open.
 
     Members outside the largest group of their bucket meet all members, in blocks of
     ``s.block``; a block pair is one task's work, whatever the size of the bucket.
-    Sets are compared inside the block, and for each member and other group one link
+    Full sets are compared inside the block, and for each member and other group one link
     at most comes out, so the result is no larger than members and blocks.
     """
     groups = members.groupBy("band", "root").count()
     big = groups.groupBy("band").agg(
         F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_small"), F.max_by("root", F.struct("count", "root")).alias("big")
     )
-    open_ = written(members.join(big.where("n_small > 0"), "band").withColumn("small", F.col("root") != F.col("big")), "open-buckets")
+    big = small(written(big.where("n_small > 0"), "open"))
+    open_ = written(members.join(big, "band").withColumn("small", F.col("root") != F.col("big")), "open-buckets")
     held = written(_sets(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), s), "sets")
     sides = open_.join(held, "cls")
     of = lambda n: F.greatest(F.ceil(F.col(n) / s.block).cast("int"), F.lit(1))
@@ -267,21 +275,21 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     def run(_key, lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         out = []
         if len(lefts) and len(rights):
-            sets = [np.frombuffer(x, "<u4") for x in rights["elements"]]
+            sets = [np.frombuffer(x, "<u8") for x in rights["elements"]]
             sizes = np.array([len(x) for x in sets])
             values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
             other, root = rights["cls"].to_numpy(), rights["root"].to_numpy()
             for cls, own, raw in zip(lefts["cls"], lefts["root"], lefts["elements"], strict=True):
-                x = np.frombuffer(raw, "<u4")
+                x = np.frombuffer(raw, "<u8")
                 first, last = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
                 n = last - first
                 at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 common = np.bincount(owner[at], minlength=len(sets))
-                may = np.flatnonzero((100 * common >= s.percent * (len(x) + sizes - common)) & (root != own))
-                for group in np.unique(root[may]):
-                    y = other[may[root[may] == group][0]]
+                like = np.flatnonzero((100 * common >= s.percent * (len(x) + sizes - common)) & (root != own))
+                for group in np.unique(root[like]):
+                    y = other[like[root[like] == group][0]]
                     out.append((max(cls, y), min(cls, y)))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
@@ -290,24 +298,18 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.distinct()
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id of the group) and kept, for each row of ``docs``.
-
-    ``docs`` has integer doc_id and text, and is a table scan.  A null id stands
-    for itself: its component_id is null unless the group has an id.
-    """
-    low = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
+    """doc_id, low, text_hash, n_shingles and rep (low and text_hash of the first row of the group; null without words)."""
+    low = row_key()[0]
     rows = written(signed(docs, s), "signed")
-    reps = written(
-        rows.where("cls is not null").groupBy("cls").agg(F.min(F.struct(low.alias("low"), "text_hash")).alias("rep"), F.first("bands").alias("bands")),
-        "classes",
-    )
+    classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(low.alias("low"), "text_hash")).alias("rep"), F.first("bands").alias("bands"))
+    reps = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     banded = reps.select("cls", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").count().where("count > 1").select("band")
     members = written(banded.join(shared, "band", "left_semi").select("band", "cls"), "buckets")
     nodes = written(members.select(F.col("cls").alias("node")).distinct(), "nodes")
     wanted = reps.join(nodes, F.col("cls") == F.col("node"), "left_semi").select("cls", F.col("rep.low").alias("low"), F.col("rep.text_hash").alias("text_hash"))
-    keyed = docs.select(low.alias("low"), F.xxhash64("text").alias("text_hash"), "text")
+    keyed = docs.select(low.alias("low"), row_key()[1].alias("text_hash"), "text")
     texts = written(keyed.join(wanted, ["low", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text"), "candidate-texts")
     roots = written(nodes.select("node", F.col("node").alias("root")), "roots")
     links: list[DataFrame] = []
@@ -318,33 +320,54 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             if turn < s.rounds:
                 break
             continue
-        links.append(written(_verified(small(pairs), texts, s), "links"))
+        links.append(written(_verified(small(pairs), texts, s), "links") if turn < s.rounds else pairs)
         old = roots
         roots = components(reduce(DataFrame.unionAll, links), nodes)
         dropped(old)
-        dropped(pairs)
+        if turn < s.rounds:
+            dropped(pairs)
     for old in (texts, members):
         dropped(old)
-    grouped = reps.select("cls", F.col("rep.low").alias("low")).join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left")
-    grouped = grouped.withColumn("root", F.coalesce("root", "cls"))
-    named = grouped.select("cls", "root").join(grouped.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("cls", "component_id")
-    own = rows.where("cls is not null").join(named, "cls").select("doc_id", "n_shingles", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
-    empty = rows.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("component_id"))
-    return own.unionByName(empty).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    # Only classes that share a bucket can be in a group of several; a table of its own, so that a hot root can be split.
+    linked = reps.select("cls", "rep", "set_key").join(roots.select(F.col("node").alias("cls"), "root"), "cls")
+    first = written(linked.groupBy("root").agg(F.min("rep").alias("first")), "firsts")
+    named = written(linked.join(small(first), "root").select("set_key", F.col("first").alias("rep")), "named")
+    alone = reps.join(nodes, F.col("cls") == F.col("node"), "left_anti").select("set_key", "rep")
+    own = rows.where("set_key is not null").join(named.unionByName(alone), "set_key")
+    empty = rows.where("set_key is null").withColumn("rep", F.lit(None).cast(own.schema["rep"].dataType))
+    return own.select("doc_id", low.alias("low"), "text_hash", "n_shingles", "rep").unionByName(empty.select("doc_id", low.alias("low"), "text_hash", "n_shingles", "rep"))
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id of the group) and kept, for each row of ``docs``.
+
+    ``docs`` has integer doc_id and text, and is a table scan.  A null id stands
+    for itself: its component_id is null unless the group has an id.
+    """
+    found = _grouped(docs, s)
+    component = F.nullif(F.coalesce("rep.low", "low"), F.lit(NO_ID))
+    out = found.select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """One row of each group of near-duplicates, with the same columns; rows without words stay.
 
-    Of repeated rows with the representative's id, one stays.
+    It is the row with the smallest id (null last) and then the smallest hash of the text; of rows that repeat both,
+    any one stays.
     """
-    found = near_duplicates(docs, s)
-    lost = found.where(~F.col("kept")).select("doc_id").distinct()
-    once = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(lost, "doc_id", "left_anti")
-    repeated = written(found.where("kept and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    found = written(_grouped(docs, s).where("rep is not null"), "grouped")
+    first = (F.col("rep.low") == F.col("low")) & (F.col("rep.text_hash") == F.col("text_hash"))
+    lost = written(found.where(~first).select("low", "text_hash").distinct(), "lost")
+    repeated = written(found.where(first).groupBy("low", "text_hash").count().where("count > 1").select("low", "text_hash"), "repeated")
+    low, text_hash = free_name(docs, "nd_low"), free_name(docs, "nd_text_hash")
+    keyed = docs.withColumns(dict(zip((low, text_hash), row_key(), strict=True)))
+    named = lambda df: small(df).withColumnsRenamed({"low": low, "text_hash": text_hash})
+    worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    # A row without words can have the key of no other row, as its text is another.
+    kept = keyed.join(named(lost), [low, text_hash], "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti")
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("nd_turn", F.row_number().over(once)).where("nd_turn = 1").drop("nd_turn")
-    return single.unionByName(first).select(*docs.columns)
+    once = kept.where(worded).join(named(repeated), [low, text_hash], "left_semi").dropDuplicates([low, text_hash])
+    rest = kept.where(worded).join(named(repeated), [low, text_hash], "left_anti").unionByName(kept.where(~worded))
+    return rest.unionByName(once).select(*docs.columns)
