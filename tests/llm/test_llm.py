@@ -59,44 +59,83 @@ def test_counts(docs):
         assert expected == tuple(r["c_" + n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")), t[:80]
 
 
-def test_class_ngrams(docs, empty):
-    s = class_ngrams.Settings(head=4, units=3, groups=8, classes=4, sweeps=2)
+@pytest.mark.parametrize("head", [1000, 12, 0])
+def test_class_ngrams(docs, empty, head, monkeypatch):
+    """All columns against brute force, given the classes that were learned; probabilities sum to 1."""
+    s = class_ngrams.Settings(head=head, core=min(head, 5), classes=6, sweeps=3)
+    learned = {}
+    real = class_ngrams.word_classes
+
+    def kept(encoded, h, s):
+        named, core = real(encoded, h, s)
+        learned.update({bytes(r["word"]): r["cls"] for r in named.collect()} | dict(zip(h.words, core[1 : h.n_core + 1].tolist(), strict=False)))
+        return named, core
+
+    monkeypatch.setattr(class_ngrams, "word_classes", kept)
     rows = docs.collect()
+    got = class_ngrams.scores(docs, s).collect()
     held = lambda r: zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 7 == 2
-    tokens = lambda r: [*words_of(r["text"], True), None]
+    tokens = lambda r: [*(w.encode() for w in words_of(r["text"], True)), None]
     c = collections.Counter(t for r in rows if not held(r) for t in tokens(r))
     n, v = sum(c.values()), len(c)
-    expected = sorted((-1 if r["doc_id"] is None else r["doc_id"], held(r), len(tokens(r)), sum(t in c for t in tokens(r)), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(r)), 6)) for r in rows)
-    got = class_ngrams.scores(docs, s).collect()
-    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == expected
-    assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
-    assert class_ngrams.scores(empty, s).count() == 0
+    assert set(learned) == set(c) - {None} and set(learned.values()) <= set(range(2, 6))
+    cls = learned | {None: 0}
+    pairs, totals = collections.Counter(), collections.Counter()
+    for r in rows:
+        if not held(r):
+            t = [None, *tokens(r)]
+            pairs.update((cls[a], cls[b]) for a, b in zip(t, t[1:], strict=False))
+    for (a, _), k in pairs.items():
+        totals[a] += k
+    size = {k: sum(c[w] for w in c if cls[w] == k) for k in range(6)}
+    share = {k: (size[k] + 1) / sum(size[j] + 1 for j in range(6) if j != 1) for k in range(6) if k != 1}
+    move = lambda a, b: (pairs[a, b] + s.smoothing * share[b]) / (totals[a] + s.smoothing)
+    types = {k: sum(cls[w] == k for w in c) for k in range(6)}
+
+    def chance(before, word):
+        a = cls.get(before, 1)
+        if word is None:
+            return move(a, 0)
+        if word in c:
+            return move(a, cls[word]) * (c[word] + 1) / (size[cls[word]] + types[cls[word]] + 1)
+        return sum(move(a, k) / (size[k] + types[k] + 1) for k in range(2, 6))
+
+    for before in (None, b"the", b"unseen", b"x"):
+        assert sum(chance(before, w) for w in [*c, b"unseen"]) == pytest.approx(1)
+    expected = []
+    for r in rows:
+        t = tokens(r)
+        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
+        score = sum(math.log10(chance(a, b)) for a, b in zip([None, *t], t, strict=False))
+        expected.append((-1 if r["doc_id"] is None else r["doc_id"], held(r), len(t), sum(w in c for w in t), n, round(base, 6), round(score, 6)))
+    found = [(-1 if r["doc_id"] is None else r["doc_id"], *(r[k] for k in ("held_out", "n_tokens", "n_known", "train_tokens")), round(r["base_score"], 6), round(r["score"], 6)) for r in got]
+    assert sorted(found) == sorted(expected)
 
 
-def test_exchange_raises_the_likelihood():
+def test_class_ngrams_without_rows_or_training(spark, docs, empty):
+    assert class_ngrams.scores(empty).count() == 0
+    only_held = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    out = class_ngrams.scores(only_held).collect()
+    assert out and all(r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in out)
+
+
+def test_exchange_raises_the_likelihood_to_a_local_optimum():
     rng = np.random.default_rng(1)
-    s = class_ngrams.Settings(units=10, groups=1, classes=3)
-    group = np.array([0] + [1, 2] * 5 + [1])
-    text, at = [], 1
-    for _ in range(4000):
-        text.append(rng.choice(np.flatnonzero(group == at)))
-        at = 3 - at
-    whole = np.array(text)
-    classes = np.concatenate([[0], 1 + rng.integers(0, 2, s.all_units - 1)])
-
-    def counts(cls):
-        u, before, after = class_ngrams._neighbours(whole, np.array([len(whole)]), cls)
-        m = np.zeros((2, s.all_units, 3), np.int64)
-        np.add.at(m[0], (u, before), 1)
-        np.add.at(m[1], (u, after), 1)
-        return m
-
-    first = class_ngrams.likelihood(class_ngrams.class_bigrams(counts(classes)[0], classes, 3))
-    for turn in range(4):
-        m = counts(classes)
-        classes = class_ngrams.exchange(m[0], m[1], classes, s, turn)
-    last = class_ngrams.likelihood(class_ngrams.class_bigrams(counts(classes)[0], classes, 3))
-    assert last >= first
+    group = np.array([0] + [0] * 4 + [1] * 4 + [2] * 4 + [1])
+    text = [int(rng.choice(np.flatnonzero(group == k % 3))) or 1 for k in range(6000)]
+    bigrams = np.zeros((14, 14), np.int64)
+    np.add.at(bigrams, (np.array([0, *text]), np.array([*text, 0])), 1)
+    s = class_ngrams.Settings(classes=5, sweeps=1)
+    value = lambda classes: class_ngrams.likelihood(class_ngrams.class_bigrams(bigrams, classes, s.classes))
+    steps = [class_ngrams.exchange(bigrams, class_ngrams.Settings(classes=5, sweeps=k)) for k in (0, 1, 2, 20)]
+    values = [value(x) for x in steps]
+    assert values == sorted(values) and values[-1] > values[0]
+    last = steps[-1]
+    for u in range(1, 13):
+        for k in range(2, 5):
+            other = last.copy()
+            other[u] = k
+            assert value(other) <= values[-1] + 1e-6
 
 
 def brute_components(rows, k, percent):
@@ -145,6 +184,33 @@ def test_near_duplicates(spark, empty):
     assert near_duplicates.near_duplicates(empty, s).count() == 0
 
 
+def test_near_duplicates_in_one_large_bucket(spark):
+    """Hundreds of texts share bands; with the query's bands, and with all pairs left to the exact blocks."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(640):
+        c = list(base)
+        for at in rng.sample(range(60), rng.choice((0, 1, 1, 2, 5))):
+            c[at] = f"z{rng.randrange(400)}"
+        rows.append((i * 7 % 640, " ".join(c)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    _, low = brute_components(df.collect(), 3, 85)
+    expected = sorted((d[0], c) for d, c in zip(rows, low, strict=True))
+    for s in (near_duplicates.Settings(words=3, percent=85, rows=5), near_duplicates.Settings(words=3, percent=85, rows=1, hashes=4, rounds=0, block=64)):
+        assert sorted((r["doc_id"], r["component_id"]) for r in near_duplicates.near_duplicates(df, s).collect()) == expected
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "y"), (None, b, "x"), (None, a, "x"), (3, c, "x"), (3, c, "x"), (None, c + " c", "x"), (4, None, "x"), (4, None, "x"), (5, "", "x"), (2, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, nd_turn string").withColumns({"nd_low": F.lit(1), "nd_text_hash": F.lit("t"), "ND_LOW_": F.lit(2)})
+    kept = near_duplicates.deduplicated(df)
+    assert kept.columns == df.columns
+    listed = sorted((r["doc_id"], r["text"] or "", r["nd_turn"]) for r in kept.collect())
+    assert listed == sorted([(1, a, "x"), (2, b, "x"), (3, c, "x"), (4, "", "x"), (4, "", "x"), (5, "", "x"), (2, "", "z")])
+    assert near_duplicates.deduplicated(df.limit(0)).count() == 0
+
+
 def test_super_min_hash_estimates_and_stops_early():
     u = np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64)
     a, b = near_duplicates.super_min_hash(u[:900], 128), near_duplicates.super_min_hash(u[100:], 128)
@@ -198,6 +264,25 @@ def test_codec_against_brute_force():
         assert codec.decode(codec.encode(text)) == text
 
 
+def test_codec_alone_and_together():
+    """Unknown characters with and without byte pieces, pieces that hold a space mark inside, ties, and long stretches."""
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "abab", "c", "xc", "▁▁"]
+    scores = [-2.0, -1.0, -1.5, -2.5, -3.0, -2.0, -4.0, -3.0, -1.0, -2.5]
+    for more, bytes_of in (([], ()), ([f"<0x{i:02X}>" for i in range(256)], tuple(range(10, 266))), (["a▁b"], ())):
+        every = [*pieces, *more]
+        v = pieces_codec.Vocabulary(tuple(every), tuple([*scores, *[-9.0] * len(more)]), tuple(not p.startswith("<") for p in every), bytes_of, 7)
+        codec = pieces_codec.Codec(v)
+        made = ["".join(RANDOM.choices("abcx \né", k=n)) for n in [*range(40), 300]]
+        for text, ids in zip(made, codec.encode_all(made), strict=True):
+            whole = codec._stretch_ids("▁" + text.replace(" ", "▁")) if text else b""
+            value = lambda raw: sum(v.scores[i] for i in np.frombuffer(raw, "<i4"))
+            assert value(ids) == pytest.approx(value(whole)) and codec.encode_bytes(text) == ids
+            stretches = codec.stretch.findall(" " + text) if text and codec.splits else []
+            assert not stretches or ids == b"".join(map(codec._stretch_ids, stretches))
+        if bytes_of:
+            assert [codec.decode(np.frombuffer(x, "<i4")) for x in codec.encode_all(made)] == made
+
+
 def test_codec_round_trip(docs, empty):
     out = {r["doc_id"]: r for r in pieces_codec.encoded(docs, MODEL_FILE).collect()}
     assert all(r["round_trip"] is (None if r["token_ids"] is None else True) for r in out.values())
@@ -228,6 +313,21 @@ def test_training_order(docs, empty):
     assert training_order.in_training_order(empty, s).count() == 0
 
 
+def test_training_order_follows_the_rows_alone(spark, docs):
+    s = training_order.Settings(MODEL_FILE, length=16, shard_bytes=4096)
+    listed = lambda df: [tuple(r) for r in training_order.in_training_order(df, s).collect()]
+    one = listed(docs.coalesce(1))
+    shuffled = docs.repartition(7, F.rand(3)).cache()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        other = listed(shuffled)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert one == other and len({r[0] for r in one}) > 3
+    # Each shard is a run of slots, in order, with a fixed stride.
+    assert [r[1] for r in one] == list(range(len(one)))
+
+
 def test_shards_are_fixed_stride(docs, tmp_path):
     s = training_order.Settings(MODEL_FILE, length=16)
     ordered = training_order.in_training_order(docs, s).cache()
