@@ -1,15 +1,22 @@
 """Approximate nearest neighbours with NN-descent graphs and greedy search.
 
-Vectors are dealt by a hash of their id into shards of at most about
-``Settings.shard_size``; a shard's graph and vectors fit into one task, whatever
-the table.  In each shard, a graph of the nearest neighbours found so far starts
-from random projections and is refined by NN-descent: Spark joins bring every
+Vectors are dealt into cells by their nearest centre; centres come from k-means on a
+bounded sample (``Settings.sample``).  Cells are parted by a hash into shards of at
+most about ``Settings.shard_size``; a shard's graph and vectors fit into one task,
+whatever the table.  In each shard, a graph of the nearest neighbours found so far
+starts from random projections and is refined by NN-descent: Spark joins bring every
 node the neighbours of its neighbours (out-going and in-coming ones), the best of
-them stay.  A query walks the graph of every shard greedily: it opens the best
+them stay.  A query walks the graphs of some shards greedily: it opens the best
 nodes that are not open yet, until the best ``Settings.beam`` are all open.  The
-best of all shards are ranked by the inner product in double precision.
+best of all these shards are ranked by the inner product in double precision.
 
-The query set is dealt in blocks against all shards; every row is indexed.
+A query goes to the cells whose centres have the largest inner products with it.  How
+many cells that takes is measured: the true neighbours of ``Settings.probe`` queries
+are found by brute force over all rows, and enough cells are taken that
+``Settings.covered`` of them lie inside (with few cells, or vectors without any
+structure, that may be all cells).  Every row is indexed; work grows with the number
+of queries times the cells taken, not with queries times shards, as long as there are
+no more than ``Settings.cells`` shards; beyond that, the shards of a cell grow.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do those with another dimension than most (of equally common
@@ -21,6 +28,7 @@ is always searched in full); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import dropped, small, written
 
 
 @dataclass(frozen=True)
@@ -45,6 +53,10 @@ class Settings:
     beam: int = 256
     opened: int = 12
     block: int = 1_024
+    sample: int = 32_768
+    cells: int = 2_048
+    probe: int = 64
+    covered: float = 0.97
     seed: int = 17
 
 
@@ -55,16 +67,69 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.forall("vec", finite) & F.exists("vec", lambda x: x != 0))
 
 
-def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, int]:
+def centres(x: np.ndarray, k: int, seed: int, turns: int = 12) -> np.ndarray:
+    """k-means: the centres of k cells of the rows of ``x`` (fewer if rows repeat)."""
+    rng = np.random.default_rng(seed)
+    found = np.unique(x[rng.choice(len(x), min(k, len(x)), replace=False)], axis=0)
+    for _ in range(turns):
+        cell = nearest_centre(x, found)
+        sums, n = np.zeros(found.shape), np.bincount(cell, minlength=len(found))
+        np.add.at(sums, cell, x)
+        found = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], found)
+    return found
+
+
+def nearest_centre(x: np.ndarray, found: np.ndarray) -> np.ndarray:
+    return np.argmin((found * found).sum(1) - 2 * (x @ found.T), axis=1)
+
+
+def _stacked(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Centres, and the first shard and the number of shards of each."""
+
+    centres: np.ndarray
+    first: np.ndarray
+    shards: np.ndarray
+
+
+def _celled(rows: DataFrame, n: int, s: Settings) -> tuple[DataFrame, np.ndarray]:
+    """Adds the cell of each row."""
+    order = F.xxhash64("vec_id", "vec", F.lit(s.seed))
+    sample = rows.orderBy(order, "vec_id").limit(s.sample).select("vec").collect()
+    found = centres(np.array([r["vec"] for r in sample], np.float64), min(s.cells, -(-n // s.shard_size)), s.seed)
+    held = rows.sparkSession.sparkContext.broadcast(found)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(cell=nearest_centre(_stacked(frame["vec"]), held.value).astype(np.int32) if len(frame) else [])
+
+    return written(rows.mapInPandas(run, "vec_id long, vec array<double>, cell int"), "cells"), found
+
+
+def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, Cells | None]:
     """(shard, node, vec_id, vec): node numbers run from 0 in each shard."""
     rows = usable(vectors)
     sizes = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.col("count").desc(), F.col("d").desc()).first()
     if sizes is None:
-        return rows.select(F.lit(0).alias("shard"), F.lit(0).alias("node"), "vec_id", "vec").limit(0), 0
-    shards = -(-sizes["count"] // s.shard_size)
-    dealt = rows.where(F.size("vec") == sizes["d"]).withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(shards)).cast("int"))
+        return rows.select(F.lit(0).alias("shard"), F.lit(0).alias("node"), "vec_id", "vec").limit(0), None
+    celled, found = _celled(rows.where(F.size("vec") == sizes["d"]), sizes["count"], s)
+    counts = np.zeros(len(found), np.int64)
+    for cell, n in celled.groupBy("cell").count().collect():
+        counts[cell] = n
+    shards = -(-counts // s.shard_size)
+    cells = Cells(found, np.cumsum(shards) - shards, shards)
+    table = F.broadcast(rows.sparkSession.createDataFrame([(i, int(f), int(k)) for i, (f, k) in enumerate(zip(cells.first, shards, strict=True)) if k], "cell int, first int, shards int"))
+    # The place in the written table parts rows that repeat an id.
+    dealt = celled.withColumn("place", F.monotonically_increasing_id()).join(table, "cell")
+    dealt = dealt.withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id", "place", F.lit(s.seed)), F.col("shards")).cast("int"))
     order = W.partitionBy("shard").orderBy("vec_id", F.xxhash64("vec"))
-    return written(dealt.select("shard", (F.row_number().over(order) - 1).alias("node"), "vec_id", "vec"), "vectors"), shards
+    nodes = written(dealt.select("shard", (F.row_number().over(order) - 1).alias("node"), "vec_id", "vec"), "vectors")
+    dropped(celled)
+    return nodes, cells
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -189,18 +254,64 @@ def greedy_search(x: np.ndarray, near: np.ndarray, q: np.ndarray, own: np.ndarra
         opened = np.concatenate([opened, np.zeros(new.shape, bool)], 1)
 
 
+def _cells_taken(nodes: DataFrame, queries: DataFrame, cells: Cells, s: Settings) -> int:
+    """How many cells a query goes to, by the true neighbours of a few queries."""
+    probe = queries.orderBy(F.xxhash64("vec_id", "shard", "node", F.lit(s.seed)), "vec_id").limit(s.probe).select("vec_id", "shard", "node", "vec").collect()
+    x = np.array([r["vec"] for r in probe], np.float64)
+    own = [(r["shard"], r["node"]) for r in probe]
+    held = nodes.sparkSession.sparkContext.broadcast((x, own, cells.centres))
+    k = s.nearest
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked, own, found = held.value
+        for frame in frames:
+            if not len(frame):
+                continue
+            v = _stacked(frame["vec"])
+            score, cell = asked @ v.T, nearest_centre(v, found)
+            at = {key: i for i, key in enumerate(zip(frame["shard"], frame["node"], strict=True))}
+            for i, key in enumerate(own):
+                if key in at:
+                    score[i, at[key]] = -np.inf
+            top = np.argpartition(-score, min(k, len(v)) - 1, axis=1)[:, :k]
+            yield pd.DataFrame({"query": np.repeat(np.arange(len(asked)), top.shape[1]), "score": np.take_along_axis(score, top, 1).ravel(), "cell": cell[top].ravel()})
+
+    near = nodes.mapInPandas(run, "query int, score double, cell int")
+    best = near.where(F.col("score") > float("-inf")).groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "cell")), False), 1, k).alias("best")).collect()
+    rank = np.argsort(np.argsort(-(x @ cells.centres.T), axis=1, kind="stable"), axis=1)
+    needed = np.sort([rank[r["query"], b["cell"]] for r in best for b in r["best"]])
+    return int(needed[min(len(needed) - 1, int(np.ceil(s.covered * len(needed))) - 1)]) + 1 if len(needed) else 1
+
+
+def _routed(queries: DataFrame, cells: Cells, taken: int) -> DataFrame:
+    """A row for each query and shard of the cells that it goes to."""
+    held = queries.sparkSession.sparkContext.broadcast(cells)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = held.value
+        for frame in frames:
+            if len(frame):
+                cell = _best(_stacked(frame["vec"]) @ c.centres.T, taken)
+                yield frame.assign(shards=[np.concatenate([c.first[i] + np.arange(c.shards[i]) for i in row]).astype(np.int32) for row in cell])
+
+    routed = queries.mapInPandas(run, "vec_id long, home int, node int, vec array<double>, shards array<int>")
+    return routed.select("vec_id", "home", "node", "vec", F.explode("shards").alias("shard"))
+
+
 def nearest(vectors: DataFrame, every: int = 20, s: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id and score of each query's nearest rows; queries have an id divisible by ``every``."""
-    nodes, shards = _nodes(vectors, s)
+    nodes, cells = _nodes(vectors, s)
     result = "query_id long, rank int, vec_id long, score double"
-    if not shards:
+    if cells is None:
         return vectors.sparkSession.createDataFrame([], result)
     graph = neighbour_graph(nodes, s)
-    queries = nodes.where(F.col("vec_id") % every == 0).select(*[F.col(c).alias(n) for c, n in (("vec_id", "vec_id"), ("shard", "home"), ("node", "node"), ("vec", "vec"))])
-    blocks = max(1, -(-queries.count() // s.block))
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "node"), F.lit(blocks)).cast("int"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = nodes.join(graph, ["shard", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = nodes.where(F.col("vec_id") % every == 0)
+    taken = len(cells.centres) if len(cells.centres) <= 2 else _cells_taken(nodes, queries, cells, s)
+    asked = written(_routed(queries.select("vec_id", F.col("shard").alias("home"), "node", "vec"), cells, taken), "routed")
+    # As many blocks of queries meet a shard as it has queries for; its vectors are copied to each.
+    blocks = written(asked.groupBy("shard").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "blocks")
+    asked = asked.join(small(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("vec_id", "home", "node"), F.col("blocks")).cast("int")).drop("blocks")
+    held = nodes.join(graph, ["shard", "node"]).join(small(blocks), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:  # noqa: ANN001
         out = []

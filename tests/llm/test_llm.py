@@ -432,3 +432,27 @@ def test_nearest(spark):
     assert nn_descent.nearest(df.limit(0)).count() == 0
     few = nn_descent.nearest(df.where("vec_id < 5")).collect()
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
+
+
+def test_nearest_over_many_cells(spark):
+    """Clustered vectors in many shards: recall against brute force, and queries that go to few cells."""
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16)) * 3
+    x = (middle[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 16)) * 0.5).astype(np.float32)
+    x[:700] = x[0]  # a hot vector, more than a shard
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(0, x[1].tolist())] * 2, "vec_id long, embedding array<float>").repartition(4)
+    s = nn_descent.Settings(shard_size=150, beam=64, sweeps=2, leaf=64, block=64)
+    nodes, cells = nn_descent._nodes(df, s)
+    assert nodes.count() == 3002 and nodes.select("shard").distinct().count() == cells.shards.sum() >= 20
+    assert nn_descent._cells_taken(nodes, nodes.where("vec_id % 20 = 0"), cells, s) < len(cells.centres) / 2
+    got = collections.defaultdict(list)
+    for r in nn_descent.nearest(df, 20, s).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    exact, share = x.astype(float), []
+    for q in range(20, 3000, 20):
+        score = exact @ exact[q]
+        score[q] = -np.inf
+        least = np.sort(score)[-20]
+        assert len(got[q]) == 20
+        share.append(np.mean([v >= least - 1e-9 for _, v in got[q]]))
+    assert np.mean(share) >= 0.9
