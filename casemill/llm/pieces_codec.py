@@ -145,6 +145,7 @@ class Automaton:
 
 class Lockstep:
     """The same automaton as arrays: many short stretches take each step of the walk and of the Viterbi pass together.
+    A space counts as the space mark.
 
     Edges lie in an open hash table, keyed by state and character.  Each state lists its outputs longest first and
     then, if no one-character piece ends there, the unknown character; the first of equal sums wins, as in
@@ -158,6 +159,7 @@ class Lockstep:
         #: Code point -> number of the character; the last number stands for all that no piece has.
         self.number = np.full(0x110000, len(chars), np.int32)
         self.number[[ord(c) for c in chars]] = np.arange(len(chars))
+        self.number[ord(" ")] = self.number[ord(MARK)]
         keys = np.array([s * self.width + int(self.number[ord(c)]) for s, edges in enumerate(go) for c in edges], np.int64)
         targets = np.array([t for edges in go for t in edges.values()], np.int32)
         self.bits = max(4, (4 * len(keys)).bit_length())
@@ -248,10 +250,11 @@ class Codec:
         self.automaton = Automaton(usable)
         self.unknown_score = min((s for _, _, s in usable), default=0.0) - UNKNOWN_PENALTY
         self.together = Lockstep(self.automaton, self.unknown_score)
-        self.splits = not any(MARK in p.lstrip(MARK) for p, _, _ in usable)
-        # A character that no piece holds is a stretch of its own: no path goes across it.
-        held = re.escape("".join(sorted({c for p, _, _ in usable for c in p} - {MARK})))
-        self.stretch = re.compile(f"{MARK}*[{held}]+|{MARK}+|(?s:.)" if held else f"{MARK}+|(?s:.)")
+        self.splits = not any(MARK in p.lstrip(MARK) or " " in p for p, _, _ in usable)
+        # Stretches are cut from plain text, where spaces stand for space marks.  A character that no piece holds is a
+        # stretch of its own: no path goes across it.
+        held = re.escape("".join(sorted({c for p, _, _ in usable for c in p} - {MARK, " "})))
+        self.stretch = re.compile(f" *[{held}]+| +|(?s:.)" if held else " +|(?s:.)")
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.bytes_of = [p.encode() for p in v.pieces]
@@ -264,6 +267,7 @@ class Codec:
 
     def _stretch_ids(self, stretch: str) -> bytes:
         ids: list[int] = []
+        stretch = stretch.replace(" ", MARK)
         for i, start, end in self.automaton.best_path(stretch, self.unknown_score):
             if i >= 0:
                 ids.append(i)
@@ -292,10 +296,11 @@ class Codec:
 
     def encode_all(self, texts: Sequence[str]) -> list[bytes]:
         """For each text the ids as little-endian 32-bit numbers; memory is of the order of all texts together."""
-        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        # The space mark itself counts as a space, and one is added at the start.
+        begun = [" " + t.replace(MARK, " ") if t else "" for t in texts]
         if not self.splits:
-            return [self._stretch_ids(m) if m else b"" for m in marked]
-        parts = [self.stretch.findall(m) for m in marked]
+            return [self._stretch_ids(t) if t else b"" for t in begun]
+        parts = [self.stretch.findall(t) for t in begun]
         self._learn(set().union(*parts))
         known, own, out = self.known, self._stretch_ids, []
         for p in parts:

@@ -22,12 +22,12 @@ read; a very long text is many sequences.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ class Settings:
     end_token: int = 2
     key: int = 0x5EED
     rounds: int = 6
-    shard_bytes: int = 128 << 20
+    shard_bytes: int = 64 << 20
 
     @property
     def stride(self) -> int:
@@ -90,12 +90,12 @@ def _encoded(docs: DataFrame, s: Settings) -> DataFrame:
     end = np.array([s.end_token], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared)
+        codec, pack = codec_of(shared), zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in _slices(batch, "text"):
                 ids = [np.frombuffer(x, "<i4").astype("<u2").tobytes() + end for x in codec.encode_all(part.column("text").to_pylist())]
                 n = pa.array([-(-len(x) // (2 * s.length)) for x in ids], pa.int64())
-                packed = pa.array([zlib.compress(x, 1) for x in ids], pa.binary())
+                packed = pa.array([pack(x) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), packed, n], ["doc_id", "key", "ids", "n"])
 
     return rows.mapInArrow(run, f"doc_id {kind}, key long, ids binary, n long")
@@ -133,7 +133,7 @@ def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = 2 * s.length
+        step, unpack = 2 * s.length, zstandard.ZstdDecompressor().decompress
         fill = np.array([s.end_token], "<u2").tobytes()
         for batch in batches:
             for part in _slices(batch, "ids"):
@@ -141,7 +141,7 @@ def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 starts = np.asarray(part.column("first"), np.int64) + np.array([held.value[r] for r in part.column("range").to_pylist()], np.int64)
                 whole, sizes = [], []
                 for raw, k in zip(part.column("ids").to_pylist(), n.tolist(), strict=True):
-                    raw = zlib.decompress(raw)
+                    raw = unpack(raw)
                     sizes += [s.length] * (k - 1) + [len(raw) // 2 - (k - 1) * s.length]
                     whole += [raw, fill * (k * s.length - len(raw) // 2)]
                 owners = np.repeat(np.arange(len(n)), n)
