@@ -1,13 +1,18 @@
 """Quality rules as a learned decision list (native).
 
-Sequential covering: while a rule can be found, grow a conjunction of thresholds
-on half-open statistics that holds rows of one class, prune its last conditions
-on rows that the growing did not see, keep it if it is precise enough there, and
-take the rows that it covers away.  The list becomes one ordered
-``CASE WHEN`` column, so that applying it needs no Python on the executors.
-
-Learning takes at most ``Settings.sample`` labelled rows, chosen by a hash of
-their id; this bound is a parameter.  Statistics are computed for every row.
+Sequential covering: grow a conjunction of thresholds on half-open statistics for
+rows of either class, prune its last conditions on rows that the growing did not
+see, put the better of both rules on the list if it is precise enough, take the
+rows that it covers away, and go on while a rule can be found.  A rule is as good
+as the share of its class that it covers, against the share of the other class; a
+rule that rejects must also be right for most of the rows that it covers.  Rules to
+keep stand where they shield good rows from a wider rule to reject behind them.
+The list becomes one ordered ``CASE WHEN`` column, so that applying it needs no
+Python on the executors.
+
+The list judges what the base rules leave, so it learns from labelled rows that
+they leave.  Learning takes at most ``Settings.sample`` labelled rows, chosen by a
+hash of their id; this bound is a parameter.  Statistics are computed for every row.
 
 Cases: null text is empty text; an empty or unlabelled table gives an empty list,
 whose verdict is ``True``; null labels and null ids are left out of learning;
@@ -17,13 +22,14 @@ the statistics have a prefix that no column of the caller has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name
+from .shared import free_prefix
 from .text_stats import COUNTS, with_counts
 
 #: Ratios that conditions may use: name -> (count, count that it is divided by).
@@ -44,9 +50,13 @@ class Settings:
     sample: int = 12_000
     cuts: int = 48
     max_conditions: int = 3
-    max_rules: int = 16
-    min_cover: int = 12
-    min_precision: float = 0.8
+    max_rules: int = 24
+    #: Share of the learning rows that a rule covers at least (two rows in any case).
+    min_share: float = 0.004
+    #: Share of a rejecting rule's rows that are bad, at least.
+    min_precision: float = 0.7
+    #: Share of its class against both shares, at least.
+    min_balance: float = 0.9
     seed: int = 7
 
 
@@ -89,7 +99,7 @@ class DecisionList:
         out = np.full(len(x), self.default)
         open_ = np.ones(len(x), bool)
         for rule in self.rules:
-            hit = open_ & np.logical_and.reduce([c.holds(x) for c in rule.conditions])
+            hit = open_ & _hits(rule.conditions, x)
             out[hit] = rule.verdict
             open_ &= ~hit
         return out
@@ -108,7 +118,7 @@ def ratios(prefix: str) -> dict[str, Column]:
     return found
 
 
-def _grow(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], s: Settings) -> list[Condition]:
+def _grow(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], cover: int, s: Settings) -> list[Condition]:
     """Adds the condition with the largest information gain on the target class, again and again."""
     rows, conditions = np.arange(len(x)), []
     while len(conditions) < s.max_conditions:
@@ -125,7 +135,7 @@ def _grow(x: np.ndarray, target: np.ndarray, cuts: list[np.ndarray], s: Settings
                 p = p0 - positives if above else positives
                 n = (len(now) - at if above else at) - p
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where((p + n >= s.min_cover) & (p > 0), p * (np.log2(p / np.maximum(p + n, 1)) - base), -1)
+                    gain = np.where((p + n >= cover) & (p > 0), p * (np.log2(p / np.maximum(p + n, 1)) - base), -1)
                 if len(gain) and gain.max() > best[0]:
                     best = (gain.max(), Condition(FEATURES[f], above, float(values[gain.argmax()])))
         if best[1] is None:
@@ -147,39 +157,84 @@ def _widened(conditions: list[Condition], x: np.ndarray) -> list[Condition]:
     return out
 
 
-def _pruned(conditions: list[Condition], x: np.ndarray, target: np.ndarray) -> tuple[list[Condition], float, int]:
-    """The prefix with the best (p - n) / (p + n) on rows kept back; its precision and cover there."""
-    best: tuple[float, list[Condition], float, int] = (-2.0, [], 0.0, 0)
-    for k in range(len(conditions), 0, -1):
-        hit = np.logical_and.reduce([c.holds(x) for c in conditions[:k]])
-        n, p = int(hit.sum()), int(target[hit].sum())
-        worth = (2 * p - n) / n if n else -1.0
-        if worth >= best[0]:
-            best = (worth, conditions[:k], (p + 1) / (n + 2), n)
-    return best[1], best[2], best[3]
+def _tightest(conditions: list[Condition]) -> tuple[Condition, ...]:
+    """One condition for each feature and side: the tightest."""
+    held: dict[tuple[str, bool], Condition] = {}
+    for c in conditions:
+        old = held.get((c.feature, c.above))
+        if old is None or (c.cut > old.cut if c.above else c.cut < old.cut):
+            held[c.feature, c.above] = c
+    return tuple(held.values())
+
+
+def _hits(conditions: Sequence[Condition], x: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([np.ones(len(x), bool), *[c.holds(x) for c in conditions]])
+
+
+def _pruned(conditions: list[Condition], x: np.ndarray, target: np.ndarray) -> list[Condition]:
+    """The shortest prefix with the best share of its class less the share of the other, on rows kept back."""
+    best: tuple[float, int] = (-np.inf, len(conditions))
+    p, n = max(target.sum(), 1), max((~target).sum(), 1)
+    for k in range(1, len(conditions) + 1):
+        hit = _hits(conditions[:k], x)
+        worth = (hit & target).sum() / p - (hit & ~target).sum() / n
+        if worth > best[0] + 1e-12:
+            best = (worth, k)
+    return conditions[: best[1]]
+
+
+def _split(target: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """True for about a third of each class."""
+    back = np.zeros(len(target), bool)
+    for value in (False, True):
+        at = rng.permutation(np.flatnonzero(target == value))
+        back[at[: len(at) // 3]] = True
+    return back
 
 
 def learn(x: np.ndarray, good: np.ndarray, s: Settings = Settings()) -> DecisionList:
-    """A decision list that finds the rows that are not good; the default keeps a row."""
-    if not len(x) or good.all():
+    """A decision list that parts good rows from others; without rows of both kinds it keeps everything."""
+    if not len(x) or good.all() or not good.any():
         return DecisionList(trained_on=len(x))
-    kept_back = np.random.default_rng(s.seed).random(len(x)) < 1 / 3
-    gx, gt, px, pt = x[~kept_back], ~good[~kept_back], x[kept_back], ~good[kept_back]
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, s.cuts + 2)[1:-1])) for f in range(x.shape[1])]
-    bad = x[~good]
-    cuts = [np.unique(np.concatenate([c, np.quantile(bad[:, f], np.linspace(0, 1, s.cuts + 2)[1:-1])])) for f, c in enumerate(cuts)]
+    rng = np.random.default_rng(s.seed)
+    cover = max(2, int(np.ceil(s.min_share * len(x))))
+    n_good, n_bad = good.sum(), (~good).sum()
+    cuts = []
+    for f in range(x.shape[1]):
+        found = [np.quantile(x[side, f], np.linspace(0, 1, s.cuts + 2)[1:-1]) for side in (good, ~good)]
+        cuts.append(np.unique(np.concatenate(found)))
     rules: list[Rule] = []
-    while len(rules) < s.max_rules and gt.sum() >= s.min_cover:
-        conditions, precision, cover = _pruned(_grow(gx, gt, cuts, s), px, pt)
-        if not conditions or precision < s.min_precision or cover < s.min_cover / 3:
+    left = np.ones(len(x), bool)
+    while len(rules) < s.max_rules and (~good[left]).any() and good[left].any():
+        lx, lg = x[left], good[left]
+        back = _split(lg, rng)
+        best: tuple[tuple[float, float], Rule] | None = None
+        for verdict in (False, True):
+            target = lg == verdict
+            grown = _grow(lx[~back], target[~back], cuts, cover, s)
+            if not grown:
+                continue
+            # Pruning on few rows says little, so the whole rule is tried as well.
+            for conditions in (_pruned(grown, lx[back], target[back]), grown):
+                conditions = _tightest(_widened(conditions, lx))
+                hit = _hits(conditions, lx)
+                p, n = (hit & target).sum(), (hit & ~target).sum()
+                mine, other = (n_good, n_bad) if verdict else (n_bad, n_good)
+                balance = (p + 0.5) / mine / ((p + 0.5) / mine + (n + 0.5) / other)
+                precise = verdict or (p + 0.5) / (p + n + 1) >= s.min_precision
+                if p + n < cover or not precise or balance < s.min_balance:
+                    continue
+                worth = (p / mine - n / other, balance)
+                if best is None or worth > best[0]:
+                    best = (worth, Rule(conditions, verdict))
+        if best is None:
             break
-        conditions = _widened(conditions, np.concatenate([gx, px]))
-        rules.append(Rule(tuple(conditions), False))
-        out = np.logical_and.reduce([c.holds(gx) for c in conditions])
-        gx, gt = gx[~out], gt[~out]
-        out = np.logical_and.reduce([c.holds(px) for c in conditions])
-        px, pt = px[~out], pt[~out]
-    return DecisionList(tuple(rules), True, len(x))
+        rules.append(best[1])
+        left[np.flatnonzero(left)[_hits(best[1].conditions, lx)]] = False
+    default = bool(good[left].mean() >= 0.5) if left.any() else True
+    while rules and rules[-1].verdict == default:
+        rules.pop()  # it says what the default says
+    return DecisionList(tuple(rules), default, len(x))
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DecisionList:
@@ -189,23 +244,25 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Decisio
     texts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")).join(F.broadcast(chosen), "id")
     counted = with_counts(texts, "c_", "t")
     values = ratios("c_")
-    rows = counted.select("id", "q", *[values[f].alias(f) for f in FEATURES]).collect()
+    rows = counted.where(~base_failed("c_")).select("id", "q", *[values[f].alias(f) for f in FEATURES]).collect()
     rows.sort()
     table = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), len(FEATURES) + 2)
     return learn(table[:, 2:], table[:, 1] == 1, s)
 
 
+def base_failed(prefix: str) -> Column:
+    """Fewer than 50 words, or more than half of the words in repeated windows."""
+    return (F.col(prefix + "n_words") < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
+
+
 def judged(docs: DataFrame, model: DecisionList) -> tuple[DataFrame, str]:
     """``docs`` with all counts, base_failed and kept, and the prefix of their names.
 
-    base_failed: fewer than 50 words, or more than half of the words in repeated
-    windows.  kept: not base_failed, and the list's verdict.
+    kept: not base_failed, and the list's verdict.
     """
-    prefix = free_name(docs, "dl_")
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
+    prefix = free_prefix(docs, "dl_")
     counted = with_counts(docs, prefix)
-    failed = (F.col(prefix + "n_words") < 50) | (100 * F.col(prefix + "n_repeat_words") > 50 * F.col(prefix + "n_words"))
+    failed = base_failed(prefix)
     out = counted.withColumns({prefix + "base_failed": failed, prefix + "kept": ~failed & model.column(ratios(prefix))})
     return out, prefix
 

@@ -99,3 +99,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix`` with enough underscores before it that no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
