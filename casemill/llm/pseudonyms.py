@@ -15,8 +15,10 @@ Each permutation is a Feistel network: two halves, a keyed round function from
 SHA-2, addition modulo the size of the half, four rounds.  Halves of different
 size (mixed radix) fit any domain that is a product, so no value is walked twice.
 
-Cases: null text stays null; text without values stays as it is; invalid values
-stay; control character 1 in a text becomes 2; repeated rows are treated each;
+The key is the caller's: who has it can undo every pseudonym, so it has no default.
+
+Cases: null text stays null; text without values stays as it is, and nothing
+outside values changes; invalid values stay; repeated rows are treated each;
 only ``text`` changes, and columns of the caller stay.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import pieces
+from .spans import MARK, OTHER, pieces
 
 # What each kind looks like.
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -204,20 +206,34 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     )
 
 
-def with_pseudonyms(docs: DataFrame, prefix: str, key: str = "casemill", text: str = "text") -> DataFrame:
+def _escaped(text: Column) -> Column:
+    """``text`` without ``MARK``; no pattern sees a letter or digit that was not there."""
+    pair = F.replace(F.replace(text, F.lit(OTHER), F.lit(OTHER + "\x04")), F.lit(MARK), F.lit(OTHER + "\x03"))
+    return F.when(text.rlike(f"[{MARK}{OTHER}]"), pair).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    pair = F.replace(F.replace(text, F.lit(OTHER + "\x03"), F.lit(MARK)), F.lit(OTHER + "\x04"), F.lit(OTHER))
+    return F.when(F.contains(text, F.lit(OTHER)), pair).otherwise(text)
+
+
+def with_pseudonyms(docs: DataFrame, prefix: str, key: str, text: str = "text") -> DataFrame:
     """Adds prefix + text (values replaced) and prefix + n_<kind> for each kind."""
-    raw = F.coalesce(F.col(text), F.lit(""))
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    raw = _escaped(F.coalesce(F.col(text), F.lit("")))
     cut, valued = prefix + "cut", prefix + "valued"
     df = docs.withColumn(cut, F.when(raw.rlike(ANY), pieces(raw, ANY)))
     named = F.transform(cut, lambda p, i: F.struct(p.alias("p"), F.when(i % 2 == 1, kind_of(p)).alias("kind")))
     df = df.withColumn(valued, named)
     replaced = F.array_join(F.transform(valued, lambda x: F.when(x["kind"].isNull(), x["p"]).otherwise(pseudonym(x["p"], x["kind"], key))), "")
+    replaced = _restored(replaced)
     of = lambda k: F.coalesce(F.size(F.filter(valued, lambda x: x["kind"] == k)), F.lit(0))
     counts = {f"{prefix}n_{k}": F.greatest(of(k), F.lit(0)).cast("long") for k in KINDS}
     return df.withColumns({prefix + "text": F.when(F.col(cut).isNull(), F.col(text)).otherwise(replaced)} | counts).drop(cut, valued)
 
 
-def pseudonyms_query(docs: DataFrame, key: str = "casemill") -> DataFrame:
+def pseudonyms_query(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, and the number of values of each kind."""
     out = with_pseudonyms(docs.select("doc_id", "text"), "ps_", key)
     return out.select("doc_id", F.col("ps_text").alias("text"), *[F.col(f"ps_n_{k}").alias(f"n_{k}") for k in KINDS])
