@@ -18,7 +18,8 @@ the input.
 Cases: null text is empty text and has no spans; empty tables give an empty
 result (the models then rest on the seeded strings alone); repeated rows are
 scanned each; only doc_id and text are read by the query, and :func:`redacted`
-adds nothing that stays, so no column can clash.
+works in columns with a prefix that no column of the caller has, and keeps all of the
+caller's.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, written
+from .shared import SPACE, free_prefix, written
 from .spans import matches
 
 # The base patterns and the shortest value of each.
@@ -149,21 +150,22 @@ def train(docs: DataFrame, s: Settings = Settings()) -> Model:
     return Model(ratio, max(0.0, min(0.0 if ordinary is None else ordinary, math.inf if random is None else random)))
 
 
-def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text") -> DataFrame:
-    """``docs`` with sec_base (kind number, start, end by start and kind) and sec_all; sec_n_* are counts."""
-    raw = F.coalesce(F.col(text), F.lit(""))
+def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), text: str = "text", prefix: str = "sec_") -> DataFrame:
+    """``docs`` with, after a prefix, base (kind number, start, end by start and kind) and all; n_* are counts."""
+    raw, p = F.coalesce(F.col(text), F.lit("")), prefix
     base = base_spans(raw)
-    df = docs.withColumns({f"sec_{k}": c for k, c in base.items()} | {"sec_runs": matches(raw, s.candidate)})
-    listed = lambda name, k: F.transform(F.col(name), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
-    df = df.withColumn("sec_base", F.sort_array(F.concat(*[listed(f"sec_{k}", i) for i, k in enumerate(base)])))
-    apart = lambda x: ~F.exists("sec_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter("sec_runs", lambda x: apart(x) & (model.mean_ratio(x["value"]) > model.threshold))
-    df = df.withColumn("sec_runs", added)
-    df = df.withColumn("sec_all", F.sort_array(F.concat("sec_base", listed("sec_runs", 3))))
-    return df.withColumns({f"sec_n_{k}": F.size(f"sec_{k}").cast("long") for k in base}).drop("sec_runs", *[f"sec_{k}" for k in base])
-
-
-def _joined(spans: str) -> Column:
+    df = docs.withColumns({p + k: c for k, c in base.items()} | {p + "runs": matches(raw, s.candidate)})
+    listed = lambda name, k: F.transform(F.col(p + name), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
+    df = df.withColumn(p + "base", F.sort_array(F.concat(*[listed(k, i) for i, k in enumerate(base)])))
+    apart = lambda x: ~F.exists(p + "base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    added = F.filter(p + "runs", lambda x: (model.mean_ratio(x["value"]) > model.threshold) & apart(x))
+    df = df.withColumn(p + "runs", added)
+    df = df.withColumn(p + "all", F.sort_array(F.concat(p + "base", listed("runs", 3))))
+    return df.withColumns({f"{p}n_{k}": F.size(p + k).cast("long") for k in base}).drop(p + "runs", *[p + k for k in base])
+
+
+def joined(spans: str) -> Column:
+    """kind:start:end of each span, joined by commas."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -176,15 +178,16 @@ def secrets_query(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.col("sec_n_assign").alias("n_assign"),
         F.col("sec_n_access").alias("n_access"),
         F.col("sec_n_hex").alias("n_hex"),
-        F.sha2(_joined("sec_base"), 256).alias("base_sha256"),
-        _joined("sec_all").alias("spans"),
+        F.sha2(joined("sec_base"), 256).alias("base_sha256"),
+        joined("sec_all").alias("spans"),
     )
 
 
 def redacted(docs: DataFrame, s: Settings = Settings(), instead: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced; same columns, all rows (columns sec_* are dropped)."""
-    columns = [c for c in docs.columns if not c.startswith("sec_")]
-    found = scanned(docs.select(*columns), train(docs, s), s)
+    """``docs`` with every span of ``text`` replaced; same columns, all rows (n_chars, if there, follows the text)."""
+    p = free_prefix(docs, "sec_")
+    every = F.col(p + "all")
+    found = scanned(docs, train(docs, s), s, prefix=p)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -193,8 +196,7 @@ def redacted(docs: DataFrame, s: Settings = Settings(), instead: str = "[SECRET]
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, out).otherwise(acc["out"]).alias("out"))
 
     end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    text = F.when(F.size("sec_all") > 0, F.aggregate("sec_all", start, step, end)).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    if "n_chars" in columns:
-        found = found.withColumn("n_chars", F.when(F.size("sec_all") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*columns)
+    found = found.withColumn("text", F.when(F.size(every) > 0, F.aggregate(every, start, step, end)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size(every) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
