@@ -6,30 +6,32 @@ take is shared among the others by weight, until none is above its cap.  A
 source's target is then met by whole repetitions of all its documents plus one
 seeded partial repetition.
 
-The partial repetition orders a source's documents by a seeded hash and takes
-them until the target is reached.  Hashes fall into ``BINS`` bins; sums per
-(source, bin) tell in which bin a source's target is reached, so that only the
-documents of that one bin are ordered by a window.  No task ever sees a whole
-source, and a hot source costs no more than its bins.
+The partial repetition orders a source's rows by a seeded hash of id and text and
+takes them until the target is reached.  Hashes fall into 4096 bins, in the order
+of the hashes; sums per (source, bin) tell in which bin a source's target is reached,
+so that only the rows of that one bin are ordered by a window.  There, rows that repeat
+id, text and size count as one entry, so no task ever sees a whole source, nor all
+repetitions of a row.
 
 Cases: null text has size 0; null source is a source of its own, last in order;
-null ids and repeated rows are kept, each on its own; an empty table gives an
-empty result; a source of size 0 has target 0.  Only the columns ``doc_id``,
-``text`` and ``source`` are read, so other columns cannot clash.
+null ids are told apart by their texts; rows that repeat id and text are kept, each on
+its own; an empty table gives an empty result; a source of size 0 has target 0.  Only
+the columns ``doc_id``, ``text`` and ``source`` are read; the operator's own columns have
+a prefix that no column of the caller has, and all of the caller's stay.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, n_words, small, written
+from .shared import WORD, free_prefix, n_words, small, written
 
-#: Bins of the seeded hash; a source's crossing bin holds about 1/BINS of its rows.
-BINS = 4096
+#: Bins of the seeded hash of 60 bits are its upper bits; a source's crossing bin holds about 1/4096 of its different rows.
+BIN_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -75,26 +77,25 @@ def water_fill(sources: DataFrame, plan: MixPlan) -> DataFrame:
     )
 
 
-def _keyed(docs: DataFrame, plan: MixPlan) -> DataFrame:
-    """Adds mix_size, mix_hash and mix_bin; the hash takes in only the id and the seed."""
-    return docs.withColumns(
-        {
-            "mix_size": F.col("mix_size") if "mix_size" in docs.columns else n_words(F.col("text")),
-            "mix_hash": F.xxhash64(F.col("doc_id"), F.lit(plan.seed)),
-        }
-    ).withColumn("mix_bin", F.pmod(F.col("mix_hash"), F.lit(BINS)).cast("int"))
+def row_hash(plan: MixPlan) -> Column:
+    """60 bits of a hash of seed, id and text (null as empty)."""
+    text = F.concat(F.lit(f"{plan.seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def source_plan(keyed: DataFrame, plan: MixPlan) -> DataFrame:
+def _keyed(docs: DataFrame, plan: MixPlan, p: str) -> DataFrame:
+    """Adds size, hash and bin, after a prefix."""
+    return docs.withColumns({p + "size": n_words(F.col("text")), p + "hash": row_hash(plan)}).withColumn(p + "bin", F.shiftright(p + "hash", 60 - BIN_BITS).cast("int"))
+
+
+def source_plan(keyed: DataFrame, plan: MixPlan, p: str) -> DataFrame:
     """A row for each source: size, target, whole repetitions, and where the partial one ends."""
-    bins = written(
-        keyed.groupBy("source", "mix_bin").agg(F.sum("mix_size").alias("bin_size")), "mix-bins"
-    )
+    bins = written(keyed.groupBy("source", F.col(p + "bin").alias("bin")).agg(F.sum(p + "size").alias("bin_size")), "mix-bins")
     targets = water_fill(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), plan)
     targets = targets.withColumn(
         "whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     ).withColumn("part", F.col("target") - F.col("whole") * F.col("source_size"))
-    running = W.partitionBy("source").orderBy("mix_bin")
+    running = W.partitionBy("source").orderBy("bin")
     cut = (
         bins.withColumn("upto", F.sum("bin_size").over(running))
         .alias("b")
@@ -105,62 +106,70 @@ def source_plan(keyed: DataFrame, plan: MixPlan) -> DataFrame:
             F.first("t.target").alias("target"),
             F.first("t.whole").alias("whole"),
             F.first("t.part").alias("part"),
-            F.min(F.when(F.col("b.upto") > F.col("t.part"), F.col("b.mix_bin"))).alias("cut_bin"),
+            F.min(F.when(F.col("b.upto") > F.col("t.part"), F.col("b.bin"))).alias("cut_bin"),
             F.coalesce(F.max(F.when(F.col("b.upto") <= F.col("t.part"), F.col("b.upto"))), F.lit(0)).alias("before"),
         )
     )
     return written(cut, "mix-sources")
 
 
-def mix(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """``docs`` with mix_size, mix_source_size, mix_target, mix_taken and mix_times.
+def _at_cut(rows: DataFrame, p: str) -> DataFrame:
+    """The rows of the cut bins with extra: the words of the partial repetition that each takes.
 
-    ``docs`` needs doc_id, source and text (or a ready mix_size).  mix_taken is
-    the number of words taken, with the one document at a source's cut taken in
-    part; mix_times takes that document whole if at least half of it fits.
+    Equal rows (source, hash, size) are one entry of the ordered window.  Of the one entry of a source in which its
+    part ends, rows are numbered within the tasks that hold them, after the rows of the tasks before.
     """
-    keyed = _keyed(docs, plan)
-    sources = source_plan(keyed, plan).select(*[F.col(c).alias(f"mix_p_{c}") for c in ("source", "source_size", "target", "whole", "part", "cut_bin", "before")])
-    joined = keyed.join(small(sources), F.col("source").eqNullSafe(F.col("mix_p_source")))
-    at_cut = F.coalesce(F.col("mix_bin") == F.col("mix_p_cut_bin"), F.lit(False))
-    inside = F.coalesce(F.col("mix_bin") < F.col("mix_p_cut_bin"), F.col("mix_p_part") > 0)
-    rest = joined.where(~at_cut).withColumns(
-        {
-            "mix_extra": F.when(inside, F.col("mix_size")).otherwise(F.lit(0)),
-            "mix_times": F.col("mix_p_whole") + F.when(inside, 1).otherwise(0),
-        }
-    )
-    order = W.partitionBy("mix_p_source").orderBy("mix_hash", "doc_id", "mix_size").rowsBetween(W.unboundedPreceding, -1)
-    left = F.floor(F.col("mix_p_part") - F.col("mix_p_before") - F.coalesce(F.sum("mix_size").over(order), F.lit(0)))
-    some = F.greatest(F.lit(0), F.least(F.col("mix_size"), left)).cast("long")
-    half = F.col("mix_extra") * 2 >= F.col("mix_size")
-    cut = joined.where(at_cut).withColumn("mix_extra", some).withColumn("mix_times", F.col("mix_p_whole") + F.when(half, 1).otherwise(0))
-    taken = rest.unionByName(cut).withColumn("mix_taken", (F.col("mix_p_whole") * F.col("mix_size") + F.col("mix_extra")).cast("long"))
-    return taken.withColumnsRenamed({"mix_p_source_size": "mix_source_size", "mix_p_target": "mix_target"}).drop(
-        "mix_hash", "mix_bin", "mix_p_source", "mix_p_whole", "mix_p_part", "mix_p_cut_bin", "mix_p_before", "mix_extra"
-    )
+    entry = [p + "p_source", p + "hash", p + "size"]
+    apart = lambda df, names: df.withColumnsRenamed({c: c + "_" for c in names})
+    same = lambda names: [F.col(c).eqNullSafe(F.col(c + "_")) for c in names]
+    entries = rows.groupBy(*entry).agg(F.count("*").alias(p + "n"), F.first(p + "room").alias(p + "room"))
+    order = W.partitionBy(entry[0]).orderBy(*entry[1:]).rowsBetween(W.unboundedPreceding, -1)
+    left = F.floor(F.col(p + "room") - F.coalesce(F.sum(F.col(p + "n") * F.col(p + "size")).over(order), F.lit(0)))
+    entries = written(entries.select(*entry, p + "n", F.greatest(F.lit(0), left).cast("long").alias(p + "left")), "mix-entries")
+    joined = written(rows.join(small(apart(entries.drop(p + "n"), entry)), same(entry)).drop(*[c + "_" for c in entry]).withColumn(p + "task", F.spark_partition_id()), "mix-cut")
+    tasks = joined.groupBy(*entry, p + "task").agg(F.count("*").alias(p + "k"))
+    earlier = W.partitionBy(*entry).orderBy(p + "task").rowsBetween(W.unboundedPreceding, -1)
+    tasks = tasks.select(*entry, p + "task", F.coalesce(F.sum(p + "k").over(earlier), F.lit(0)).alias(p + "earlier"))
+    named = [*entry, p + "task"]
+    numbered = joined.join(apart(tasks, named), same(named)).drop(*[c + "_" for c in named])
+    number = F.col(p + "earlier") + F.row_number().over(W.partitionBy(*named).orderBy(F.lit(0))) - 1
+    extra = F.greatest(F.lit(0), F.least(F.col(p + "size"), F.col(p + "left") - number * F.col(p + "size"))).cast("long")
+    return numbered.withColumn(p + "extra", extra).drop(p + "left", p + "task", p + "earlier")
+
+
+def mixed(keyed: DataFrame, plan: MixPlan, p: str) -> DataFrame:
+    """``keyed`` with source_size, target, taken and times after the prefix.
+
+    taken is the number of words taken, with the one row at a source's cut taken in
+    part; times takes that row whole if at least half of it fits.
+    """
+    sources = source_plan(keyed, plan, p).select(*[F.col(c).alias(f"{p}p_{c}") for c in ("source", "source_size", "target", "whole", "part", "cut_bin", "before")])
+    joined = keyed.join(small(sources), F.col("source").eqNullSafe(F.col(p + "p_source")))
+    of = lambda c: F.col(p + c)
+    at_cut = F.coalesce(of("bin") == of("p_cut_bin"), F.lit(False))
+    inside = F.coalesce(of("bin") < of("p_cut_bin"), of("p_part") > 0)
+    rest = joined.where(~at_cut).withColumn(p + "extra", F.when(inside, of("size")).otherwise(F.lit(0)).cast("long")).withColumn(p + "more", F.when(inside, 1).otherwise(0))
+    cut = _at_cut(joined.where(at_cut).withColumn(p + "room", of("p_part") - of("p_before")), p).drop(p + "room")
+    cut = cut.withColumn(p + "more", F.when(of("extra") * 2 >= of("size"), 1).otherwise(0))
+    both = rest.unionByName(cut)
+    return both.withColumns({p + "taken": (of("p_whole") * of("size") + of("extra")).cast("long"), p + "times": of("p_whole") + of("more")})
 
 
 def mixture(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
-    """The mixed corpus itself: each document as often as the mix takes it, same columns
-    (columns named mix_* are the operator's own and are not carried on).
+    """The mixed corpus itself: each document as often as the mix takes it, with the same columns.
 
     A document without words has no part in the word budget; it stays once.
     """
-    columns = [c for c in docs.columns if not c.startswith("mix_")]
+    p = free_prefix(docs, "mix_")
     has_words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    times = F.when(has_words, F.col("mix_times")).otherwise(F.lit(1)).cast("int")
-    mixed = mix(docs.drop(*(c for c in docs.columns if c.startswith("mix_"))), plan).where(times > 0)
-    return mixed.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    times = F.when(has_words, F.col(p + "times")).otherwise(F.lit(1)).cast("int")
+    taken = mixed(_keyed(docs, plan, p), plan, p).where(times > 0)
+    return taken.withColumn(p + "copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def mix_query(docs: DataFrame, plan: MixPlan = MixPlan()) -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of ``docs``."""
-    sized = written(docs.select("doc_id", "source", n_words(F.col("text")).alias("mix_size")), "mix-sizes")
-    return mix(sized, plan).select(
-        "doc_id",
-        F.col("mix_size").alias("size"),
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        F.col("mix_taken").alias("taken"),
-    )
+    keyed = written(_keyed(docs.select("doc_id", "text", "source"), plan, "mix_").drop("text"), "mix-sizes")
+    out = mixed(keyed, plan, "mix_")
+    names = {"mix_size": "size", "mix_p_source_size": "source_size", "mix_p_target": "target", "mix_taken": "taken"}
+    return out.select("doc_id", *[F.col(c).alias(n) for c, n in names.items()])
