@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
 from .shared import documents
+from .text_stats import with_counts
 
-#: Vocabulary of the SentencePiece queries; a public file that is not part of this repository.
+#: Vocabulary of the SentencePiece queries, a public file that is not part of this repository, where the session's
+#: setting ``spark.casemill.pieceModel`` names no other.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def model_file(spark: SparkSession) -> str:
+    return spark.conf.get("spark.casemill.pieceModel", MODEL_FILE)
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    """The setting ``spark.casemill.pseudonymKey``; without it a random key of this process, which nobody can use later."""
+    return spark.conf.get("spark.casemill.pseudonymKey", _RANDOM_KEY)
+
+
+_RANDOM_KEY = os.urandom(16).hex()
+
+
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
@@ -32,11 +48,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces_codec.encoded(documents(spark, sf_dir, "doc_id", "text"), MODEL_FILE)
+    return pieces_codec.encoded(documents(spark, sf_dir, "doc_id", "text"), model_file(spark))
 
 
 def op5_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.in_training_order(documents(spark, sf_dir, "doc_id", "text"), training_order.Settings(MODEL_FILE))
+    return training_order.in_training_order(documents(spark, sf_dir, "doc_id", "text"), training_order.Settings(model_file(spark)))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +60,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonyms.pseudonyms_query(documents(spark, sf_dir))
+    return pseudonyms.pseudonyms_query(documents(spark, sf_dir), pseudonym_key(spark))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +68,71 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_query(documents(spark, sf_dir, "doc_id", "text", "source"))
+    return mixing.mix_query(documents(spark, sf_dir))
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6_secret_scan that fixed patterns give, for comparison with SQL."""
+    return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8_quality_rules that no learning enters, for comparison with SQL."""
+    counted = with_counts(documents(spark, sf_dir, "doc_id", "text"), "c_")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return counted.select("doc_id", *[F.col("c_" + n).alias(n) for n in names], decision_list.base_failed("c_").alias("base_failed"))
+
+
+WORDS = r"[^\x20\x09-\x0D]+"
+
+MIX_SQL = rf"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) as size,
+    ('0x' || substr(md5('20231|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 15))::bigint as h
+  from documents),
+s as (select source, sum(size)::bigint as n from d group by 1),
+w as (select *, [3, 1, 2][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, 1.5::double * sum(n) over () as budget from s),
+-- By cap over weight: the level that is left for this source and all later ones, if all earlier ones take their caps.
+l as (select *, (budget - coalesce(sum(2 * n) over (o rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (o rows between current row and unbounded following) as level
+  from w window o as (order by n / w, source nulls last)),
+f as (select *, 2 * n <= w * level as clamped from l),
+t as (select source, n, case when clamped then 2.0::double * n else least(w * (budget - coalesce(sum(2 * n) filter (clamped) over (), 0)) / (sum(w) filter (not clamped) over ()), 2.0::double * n) end as target from f),
+p as (select d.*, t.n, t.target, case when t.n > 0 then floor(t.target / t.n)::bigint else 0 end as whole from d join t on d.source is not distinct from t.source),
+r as (select *, target - whole * n as part, coalesce(sum(size) over (partition by source order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0) as upto from p)
+select doc_id, size::bigint as size, n as source_size, target, (whole * size + greatest(0, least(size, floor(part - upto))))::bigint as taken from r
+"""
+
+MARKED = lambda kind, pattern: f"""select doc_id, '{kind}' as kind, {['assign', 'access', 'hex'].index(kind)} as k, unnest(string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1))) as piece, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '({pattern})', chr(1) || '\\1' || chr(1), 'g'), chr(1)), 1) as i from (select doc_id, replace(text, chr(1), chr(2)) as text from documents)"""
+ASSIGN_SQL = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?"""
+SECRET_SQL = f"""
+with pieces as ({MARKED("assign", ASSIGN_SQL + "[A-Za-z0-9+/_.=-]+")} union all {MARKED("access", "AKIA[A-Z0-9]+")} union all {MARKED("hex", "[0-9a-f]+")}),
+placed as (select *, sum(length(piece)) over (partition by doc_id, kind order by i) as stop from pieces),
+spans as (
+  select doc_id, kind, k, stop - length(piece) as start, stop from placed
+  where i % 2 = 0 and length(case kind when 'assign' then regexp_extract(piece, '^{ASSIGN_SQL}([A-Za-z0-9+/_.=-]+)$', 1) else piece end) >= case kind when 'assign' then 6 when 'access' then 20 else 24 end)
+select d.doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start::bigint || ':' || stop::bigint, ',' order by start, k), '')) as base_sha256
+from documents d left join spans s on d.doc_id = s.doc_id group by d.doc_id
+"""
+
+QUALITY_SQL = rf"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORDS}') as w from documents),
+g as (select doc_id, i, row(w[i], w[i + 1], w[i + 2]) as gram from d, lateral (select unnest(range(1, len(w) - 1)) as i)),
+r as (select doc_id, i from (select *, count(*) over (partition by doc_id, gram) as n from g) where n > 1),
+c as (select doc_id, count(distinct i + k) as covered from r, (select unnest([0, 1, 2]) as k) group by 1),
+l as (select doc_id, count(*) - count(distinct line) as dup from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+n as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+    coalesce(dup, 0)::bigint as n_dup_lines, coalesce(covered, 0)::bigint as n_repeat_words
+  from d left join l on d.doc_id = l.doc_id left join c on d.doc_id = c.doc_id)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from n
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_class_ngrams": op1_class_ngrams,
@@ -71,8 +145,11 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_nearest": op10_nearest,
+        "secret_base_spans": secret_base_spans,
+        "quality_base_counts": quality_base_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can tell: mixing whole, and the parts of operators 6 and 8 that no model enters."""
+    return {"op9_mix_sources": MIX_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL}

@@ -37,7 +37,7 @@ from .shared import written
 
 @dataclass(frozen=True)
 class Settings:
-    model_file: str = "/opt/tokenizers/piece_bpe_32k.model"
+    model_file: str
     length: int = 256
     end_token: int = 2
     key: int = 0x5EED
@@ -117,7 +117,7 @@ def _numbered(encoded: DataFrame, ranges: int) -> DataFrame:
     return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", first long")
 
 
-def in_training_order(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def in_training_order(docs: DataFrame, s: Settings) -> DataFrame:
     """shard, slot, byte_offset, doc_id, part, n_tokens and payload (ids as little-endian 16-bit numbers).
 
     Partition i of the result holds shard i, sorted by slot.  Neither slots nor shards depend on the session's settings.
@@ -168,7 +168,7 @@ def write_shards(ordered: DataFrame, path: str) -> None:
     ordered.select(F.col("payload").cast("string").alias("value")).write.mode("errorifexists").text(path)
 
 
-def read_slots(shard: bytes, first: int, n: int, s: Settings = Settings()) -> np.ndarray:
+def read_slots(shard: bytes, first: int, n: int, s: Settings) -> np.ndarray:
     """n sequences from the first-th of a shard's bytes."""
     raw = np.frombuffer(shard[first * s.stride : (first + n) * s.stride], np.uint8).reshape(n, s.stride)
     return raw[:, :-1].copy().view("<u2")

@@ -1,6 +1,7 @@
 """Each operator against brute force on small tables, with nulls, ties, repeats and empty tables."""
 
 import collections
+import datetime
 import hashlib
 import math
 import random
@@ -363,7 +364,7 @@ def test_secrets(spark, docs, empty):
 def test_pseudonyms(spark, docs, empty):
     text = "a.b34@mail7.example.com 4111 1111 1111 1111 4111111111111112 GB82WEST12345698765432 2024-02-29 31.12.1999 2024-02-30 172.242.194.228 300.1.1.1 123-45-6789 +1 (017) 555-7713"
     df = spark.createDataFrame([(1, text), (2, "4111111111111111 " + text), (3, None), (4, "")], "doc_id long, text string")
-    rows = {r["doc_id"]: r for r in pseudonyms.pseudonyms_query(df).collect()}
+    rows = {r["doc_id"]: r for r in pseudonyms.pseudonyms_query(df, "k").collect()}
     out = rows[1]["text"].split(" ")
     assert tuple(rows[1][f"n_{k}"] for k in pseudonyms.KINDS) == (1, 1, 2, 1, 1, 1, 1)
     assert rows[2]["text"].split(" ")[0] == "".join(out[1:5]) and rows[2]["text"].endswith(rows[1]["text"])
@@ -372,7 +373,7 @@ def test_pseudonyms(spark, docs, empty):
     bare = out[6]
     assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and re.fullmatch(r"\d{4}-\d\d-\d\d", out[7])
     assert not set(out) & {"172.242.194.228", "123-45-6789", "GB82WEST12345698765432", "2024-02-29"} and rows[3]["text"] is None and rows[4]["text"] == ""
-    assert pseudonyms.pseudonyms_query(empty).count() == 0
+    assert pseudonyms.pseudonyms_query(empty, "k").count() == 0
 
 
 def test_permutations_are_one_to_one(spark):
@@ -456,3 +457,169 @@ def test_nearest_over_many_cells(spark):
         assert len(got[q]) == 20
         share.append(np.mean([v >= least - 1e-9 for _, v in got[q]]))
     assert np.mean(share) >= 0.9
+
+
+def test_nearest_rows_are_distinct(spark):
+    x = np.random.default_rng(4).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = nn_descent.nearest(df, 1, nn_descent.Settings(shard_size=1000, beam=64, sweeps=2, leaf=64)).groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("d")).collect()
+    assert len(got) == 600 and all(r["n"] == r["d"] == 20 for r in got)
+
+
+def test_values_before_words_digits_and_times_get_pseudonyms(spark):
+    cases = [
+        ("BE68539007547034 I think", "iban", " I think"), ("AT611904300234573201 BANK", "iban", " BANK"), ("ES91 2100 0418 4502 0005 1332 5 times", "iban", " 5 times"),
+        ("GB82 WEST 1234 5698 7654 32 NOW", "iban", " NOW"), ("2024-01-02T10:00:00Z", "date", "T10:00:00Z"), ("3782 822463 10005 x", "card", " x"), ("3782-822463-10005", "card", ""),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)] + [(90, "2024-01-02Tuesday 3782 822463 10006 BE68539007547035 I")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pseudonyms.pseudonyms_query(df, "k").collect()}
+    for i, (t, kind, rest) in enumerate(cases):
+        new = out[i]["text"]
+        value, made = t[: len(t) - len(rest)], new[: len(new) - len(rest)]
+        assert out[i][f"n_{kind}"] == 1 and new.endswith(rest) and made != value and len(made) == len(value), t
+        assert [c for c in made if c in " -"] == [c for c in value if c in " -"] and (made[2:4].isdigit() or kind != "iban")
+        if kind == "iban":
+            bare = made.replace(" ", "")
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1 and bare[:2] == value[:2]
+        if kind == "card":
+            assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(made.replace(" ", "").replace("-", "")))) % 10 == 0
+    assert out[90]["text"] == "2024-01-02Tuesday 3782 822463 10006 BE68539007547035 I"
+
+
+def feistel_number(key, tag, turn, half):
+    return int(hashlib.sha256(f"{key}|{tag}|{turn}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def feistel_pair(left, right, a, b, key, tag):
+    for turn in range(1, 5):
+        left = (left + feistel_number(key, tag + "l", turn, right)) % a
+        right = (right + feistel_number(key, tag + "r", turn, left)) % b
+    return left, right
+
+
+def feistel_text(value, key, tag):
+    left, right = value[: len(value) // 2], value[len(value) // 2 :]
+    for turn in range(1, 5):
+        digest = hashlib.sha512(f"{key}|{tag}|{turn}|{right}".encode()).hexdigest()
+        out = ""
+        for i, c in enumerate(left):
+            by = int(digest[i % 32 * 4 : i % 32 * 4 + 4], 16)
+            for low, n in (("0", 10), ("a", 26), ("A", 26)):
+                if 0 <= ord(c) - ord(low) < n:
+                    c = chr(ord(low) + (ord(c) - ord(low) + by) % n)
+                    break
+            out += c
+        left, right = right, out
+    return left + right
+
+
+def test_pseudonyms_against_brute_force(spark):
+    """Each kind's Feistel network in plain Python; another key gives other values; nothing outside values changes."""
+    luhn = lambda d: sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d)))
+    rows, expected = [], []
+    for i in range(30):
+        a, b, c, d = (RANDOM.randrange(256) for _ in range(4))
+        left, right = feistel_pair(a * 256 + b, c * 256 + d, 65536, 65536, "k", "ip")
+        rows.append(f"{a}.{b}.{c}.{d}")
+        expected.append(".".join(map(str, (left // 256, left % 256, right // 256, right % 256))))
+        area, group, serial = RANDOM.choice([1, 665, 667, 899, RANDOM.randrange(1, 666)]), RANDOM.randrange(1, 100), RANDOM.randrange(1, 10000)
+        left, right = feistel_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, "k", "ssn")
+        new = left // 99 + 1
+        rows.append(f"{area:03}-{group:02}-{serial:04}")
+        expected.append(f"{new + (new >= 666):03}-{left % 99 + 1:02}-{right + 1:04}")
+        body = "4" + "".join(RANDOM.choices("0123456789", k=14))
+        new = feistel_text(body, "k", "card")
+        rows.append(body + str(-luhn(body) % 10))
+        expected.append(new + str(-luhn(new) % 10))
+        name = f"ab{i}.C@mail{i}.example"
+        rows.append(name + ".org")
+        expected.append(feistel_text(name, "k", "email") + ".org")
+        day = datetime.date(1900, 1, 1) + datetime.timedelta(days=RANDOM.randrange(90000))
+        n = (day - datetime.date(1970, 1, 1)).days + 25567
+        left, right = feistel_pair(n % 73000 // 250, n % 73000 % 250, 292, 250, "k", "date")
+        rows.append(day.isoformat())
+        expected.append((datetime.date(1970, 1, 1) + datetime.timedelta(days=n // 73000 * 73000 + left * 250 + right - 25567)).isoformat())
+    odd = "\x01a\x02 \x02\x03\x04 {} \x01\x02\x01;\x04"
+    df = spark.createDataFrame([(i, odd.format(r)) for i, r in enumerate(rows)] + [(900, "\x01\x02 no value \x03")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonyms_query(df, "k").collect()}
+    assert [got[i] for i in range(len(rows))] == [odd.format(e) for e in expected] and got[900] == "\x01\x02 no value \x03"
+    other = {r["doc_id"]: r["text"] for r in pseudonyms.pseudonyms_query(df, "k2").collect()}
+    assert sum(other[i] != got[i] for i in range(len(rows))) >= len(rows) - 2
+    with pytest.raises(ValueError):
+        pseudonyms.pseudonyms_query(df, "")
+
+
+def test_rule_ensemble_against_brute_force(labelled, docs):
+    """The compiled column gives what the rules give on statistics that plain Python counts."""
+    d, marks = labelled
+    model = rule_ensemble.fit(d, marks)
+    assert model.rules
+    both = docs.select("doc_id", "text").unionByName(d.withColumn("doc_id", F.col("doc_id") + 1000)).where("doc_id is not null").distinct()
+    for r in rule_ensemble.scored(both, model).join(both, "doc_id").collect():
+        t = r["text"] or ""
+        w, lines = words_of(t), [x for x in t.split("\n") if words_of(x)]
+        grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        cover = len({i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)})
+        count = {
+            "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in t), "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": cover,
+            "n_lines": len(lines), "n_upper": sum("A" <= c <= "Z" for c in t), "n_bangs": t.count("!"),
+        }
+        values = {"n_words": float(len(w))} | {k: count[a] / count[b] if count[b] else 0.0 for k, (a, b) in decision_list.RATIOS.items()}
+        holds = lambda tests, v=values: all(v[decision_list.FEATURES[f]] > cut if above else v[decision_list.FEATURES[f]] <= cut for f, above, cut in tests)
+        total = model.intercept + sum(weight for weight, tests in model.rules if holds(tests))
+        near = any(abs(values[decision_list.FEATURES[f]] - cut) < 1e-12 for _, tests in model.rules for f, _, cut in tests)
+        assert near or r["score"] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+
+
+def test_decision_list_has_rules_of_both_kinds():
+    """Good rows inside a wide region of bad ones need a rule to keep before the rule to reject."""
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, len(decision_list.FEATURES)))
+    good = ~((x[:, 1] > 0.6) & ~((x[:, 2] > 0.7) & (x[:, 1] > 0.6)))
+    model = decision_list.learn(x, good)
+    assert (model.predict(x) == good).mean() > 0.98
+    assert all(len({(c.feature, c.above) for c in r.conditions}) == len(r.conditions) for r in model.rules)
+    few = decision_list.learn(x[:40], good[:40])
+    assert (few.predict(x) == good).mean() > 0.8
+    flipped = decision_list.learn(x, ~good)
+    assert (flipped.predict(x) == ~good).mean() > 0.98
+
+
+def test_markov_spans_leave_ordinary_texts_alone(spark):
+    """Held-out random strings are found, held-out joined words are not."""
+    rng = random.Random(11)
+    syllables = ["ther", "and", "ing", "tion", "ment", "over", "under", "able", "list", "data", "name", "value"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 4)))
+    plain = [" ".join(word() for _ in range(60)) for _ in range(200)]
+    joined = ["_".join(word() for _ in range(5)) for _ in range(300)]
+    keys = ["".join(rng.choices(secrets.CHARS[:62], k=rng.randrange(24, 48))) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    model = secrets.train(df)
+    asked = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate([*joined, *keys])], "doc_id long, text string")
+    found = {r["doc_id"]: len(r["sec_all"]) for r in secrets.scanned(asked, model).collect()}
+    assert sum(found[i] > 0 for i in range(300)) <= 6 and sum(found[i] > 0 for i in range(300, 600)) >= 285
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = [(1, 'a password = "abc123def" b c', "s", 28), (2, "one two three four", "s", 18), (None, None, None, None), (3, "", "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    for c in ("mix_size", "mix_p_source", "sec_all", "SEC_base", "dl_n_words", "c_words", "MIX_x", "nd_low"):
+        df = df.withColumn(c, F.lit("mine"))
+    for out in (mixing.mixture(df), secrets.redacted(df), near_duplicates.deduplicated(df)):
+        assert out.columns == df.columns and out.where("mix_size != 'mine' or SEC_base != 'mine'").count() == 0 and out.count() >= 4
+    assert mixing.mix_query(df).columns == ["doc_id", "size", "source_size", "target", "taken"]
+
+
+def test_mixing_with_one_hot_row(spark):
+    """One id and text, and null ids, for most rows: targets are met to the word, and no row is taken more than twice."""
+    rows = [(7, "a b c", "s")] * 900 + [(None, f"x{i} y", "s") for i in range(300)] + [(i, "one", "t") for i in range(100)] + [(1, None, None), (2, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix_query(df).collect()
+    taken, target, size = collections.Counter(), {}, {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert len(got) == len(rows) and all(taken[k] == math.floor(target[k]) for k in target)
+    again = mixing.mix_query(df.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))

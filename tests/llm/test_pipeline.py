@@ -1,4 +1,4 @@
-"""The pipeline's stages on the smallest tables: columns, decisions, and a brute-force view of each."""
+"""The pipeline's stages on the smallest tables and on odd ones: columns, decisions, and a brute-force view of each."""
 
 import os
 
@@ -7,6 +7,8 @@ import pytest
 import corpus_pipeline
 
 DATA = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+STAGES = dict(corpus_pipeline.STAGES)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables are not here")
@@ -26,3 +28,61 @@ def test_stages(spark, tmp_path):
         if name == "token ids":
             assert out.count() == before and out.where("not round_trip").count() == 0
         docs, before = out, out.count()
+
+
+def words(k, n):
+    return " ".join(f"{k}{i}" for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """Nulls in any column, empty and very long texts, repeated rows, one id with two texts, clashing and further columns."""
+    rows = [
+        (1, words("a", 80), "en", "s", 300), (1, words("a", 80), "en", "s", 300), (2, words("a", 80), "en", None, 300), (2, words("b", 80), None, "s", None), (None, words("c", 80), "en", "s", 1),
+        (None, words("c", 80), "en", "s", 1), (None, None, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0), (5, " \n\t", "en", "s", 3), (6, words("long", 60_000), "en", "hot", 9),
+        (7, words("d", 80) + " token=" + "ab12" * 8, "en", "s", 400), (8, "same same same " * 60, "en", "s", 900), (9, "short", "en", "s", 5),
+    ]
+    at = tmp_path_factory.mktemp("odd")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "doc_id as nd_turn", "'x' as mix_size", "'y' as sec_all", "1 as dl_kept", "2 as root")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (8, 0, 0), (8, 0, 0), (None, 0, None), (3, None, 1), (99, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def listed(df):
+    return sorted((str(r["doc_id"]), str(r["text"])[:30], str(r["source"])) for r in df.collect())
+
+
+def test_odd_rows_in_each_stage(spark, odd):
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    kept = STAGES["quality rules"](spark, docs, odd)
+    # Fewer than 50 words, or mostly repeated ones, go; the labels here are too few to learn a rule that takes more.
+    assert kept.columns == docs.columns and listed(kept) == listed(docs.where("text is not null and size(split(text, ' ')) >= 50 and doc_id is null or doc_id in (1, 2, 6, 7)"))
+    single = STAGES["near-duplicates"](spark, docs, odd)
+    assert single.columns == docs.columns
+    assert [x[:2] for x in listed(single)] == sorted((str(i), str(t)[:30]) for i, t in [
+        (1, words("a", 80)), (2, words("b", 80)), (None, words("c", 80)), (None, None), (3, None), (4, ""), (5, " \n\t"), (6, words("long", 60)), (7, words("d", 80)), (8, "same same same " * 60), (9, "short"),
+    ])
+    clean = STAGES["secret scan"](spark, docs, odd)
+    assert clean.columns == docs.columns and clean.count() == docs.count() and clean.where("text like '%ab12ab12%'").count() == 0
+    assert clean.where("doc_id = 7").first()["text"] == words("d", 80) + " [SECRET]"
+    same = lambda df: listed(df.where("doc_id is null or doc_id != 7"))
+    assert same(clean) == same(docs)
+    mixed = STAGES["mixing sources"](spark, docs, odd)
+    assert mixed.columns == docs.columns and set(listed(mixed)) <= set(listed(docs))
+    assert mixed.where("text is null or trim(text) = ''").count() >= 3
+    ids = STAGES["token ids"](spark, docs, odd)
+    assert ids.count() == docs.count() and ids.where("not round_trip").count() == 0 and ids.where("text is null") if "text" in ids.columns else True
+    assert {r["n_tokens"] for r in ids.where("doc_id in (3, 4)").collect()} == {0}
+
+
+def test_whole_pipeline_on_odd_rows(spark, odd):
+    out = corpus_pipeline.run(spark, odd)
+    assert out.where("not round_trip").count() == 0
+    assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= {None, 1, 2, 6, 7}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
