@@ -46,16 +46,3 @@ def luhn_valid(text: Column) -> Column:
     each = F.transform(_digits(F.reverse(text)), lambda d, i: d * F.when(i % 2 == 1, 2).otherwise(1))
     total = F.aggregate(each, F.lit(0), lambda acc, x: acc + F.when(x > 9, x - 9).otherwise(x))
     return F.coalesce(text.rlike("^[0-9]{2,}$") & (total % 10 == 0), F.lit(False))
-
-
-#: Weights of the twelve-character insurance number after its letter is two digits.
-INSURANCE_WEIGHTS = (2, 1, 2, 5, 7, 1, 2, 1, 2, 1, 2)
-
-
-def insurance_check(number: Column) -> Column:
-    """Check digit of the first eleven characters: two digits for area, six for birth, a letter, two for serial."""
-    letter = F.lpad((F.ascii(F.substring(number, 9, 1)) - 64).cast("string"), 2, "0")
-    digits = _digits(F.concat(F.substring(number, 1, 8), letter, F.substring(number, 10, 2)))
-    weights = F.array(*[F.lit(w) for w in (*INSURANCE_WEIGHTS, 1)])
-    products = F.zip_with(digits, weights, lambda d, w: d * w)
-    return F.aggregate(products, F.lit(0), lambda acc, p: acc + F.floor(p / 10).cast("int") + p % 10) % 10

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from casemill.functions.text import stripped
+
 
 def iso_date(text: Column) -> Column:
     """A date of the shape 2026-01-31 after trimming; anything else is null."""
-    bare = F.trim(text)
+    bare = stripped(text)
     return F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(bare, "yyyy-MM-dd"))
 
 
@@ -21,7 +23,13 @@ def full_years(earlier: Column, later: Column) -> Column:
 
 
 def signed_years(earlier: Column, later: Column) -> Column:
-    return F.datediff(later, earlier) / F.lit(365.25)
+    """Years of 365.25 days, to six places, negative if ``later`` is before ``earlier``."""
+    return F.bround(F.datediff(later, earlier) / F.lit(365.25), 6)
+
+
+def birth_block(block: Column) -> Column:
+    """The day of a block DDMMYY in 19YY; null if there is none."""
+    return F.when(block.rlike("^[0-9]{6}$"), F.try_to_date(F.concat(F.substring(block, 1, 4), F.lit("19"), F.substring(block, 5, 2)), "ddMMyyyy"))
 
 
 def is_working_day(day: Column, holidays: Sequence[str] = ()) -> Column:
@@ -50,6 +58,19 @@ def age_hours(received: Column, now: Column) -> Column:
     return (F.unix_timestamp(now) - F.unix_timestamp(received)) / F.lit(3600.0)
 
 
+def age_label(received: Column, now: Column) -> Column:
+    """Minutes below an hour, hours below two days, else days; null if the receipt is unknown."""
+    seconds = F.unix_timestamp(now) - F.unix_timestamp(received)
+    part = lambda size, unit: F.concat(F.floor(seconds / size).cast("string"), F.lit(" " + unit))
+    return F.when(seconds < 3600, part(60, "min")).when(seconds < 2 * 86400, part(3600, "h")).otherwise(part(86400, "d"))
+
+
+def shifted_days(day: Column, holidays: Sequence[str] = ()) -> Column:
+    """The days from ``day`` on that a deadline skips before the next working day."""
+    last = next_working_day(day, holidays)
+    return F.filter(F.sequence(day, F.date_add(day, 7)), lambda d: d < last)
+
+
 def remaining_days(due: Column, now: Column) -> Column:
     return (F.unix_timestamp(due) - F.unix_timestamp(now)) / F.lit(86400.0)
 

@@ -7,10 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.functions.text import stripped
+
 
 def scalar_text(value: Column) -> Column:
-    """Trimmed text of a scalar; blank is null."""
-    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+    """Text of a scalar without outer white space; blank is null."""
+    return F.nullif(stripped(value.cast("string")), F.lit(""))
 
 
 def json_path(payload: Column, path: str) -> Column:

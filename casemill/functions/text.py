@@ -10,13 +10,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLACEHOLDER = r"\[\[PII\|[A-Z]+\|[A-Z0-9]{12}\]\]"
+#: Letters of a token, without vowels and look-alikes, and how many there are.
+ALPHABET = "BCDFGHJKMNPQRSTVWXZ23456789"
+TOKEN_LENGTH = 12
+PLACEHOLDER = rf"\[\[PII\|[A-Z]+\|[{ALPHABET}]{{{TOKEN_LENGTH}}}\]\]"
+#: What only looks like a placeholder, too.
+SHAPED = r"\[\[\s*PII\s*\|[^\]]{0,64}\]\]"
+#: All white space, of any script, and the separators of information.
+SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    """True for null, empty and white space."""
+    return F.coalesce(~text.rlike(f"[^\\p{{IsWhite_Space}}\\x1c-\\x1f]"), F.lit(True))
 
 
 def normal_text(text: Column) -> Column:
     """Line-break hyphens between letters go, white space becomes one space, ends are trimmed."""
-    joined = F.regexp_replace(text, r"(?<=[A-Za-zÀ-ÿ])-[ \t]*\r?\n\s*(?=[A-Za-zÀ-ÿ])", "")
-    return F.trim(F.regexp_replace(joined, r"\s+", " "))
+    joined = F.regexp_replace(text, rf"(?<=\p{{L}})-(?={SPACE}*[\r\n]){SPACE}+(?=\p{{L}})", "")
+    return stripped(F.regexp_replace(joined, f"{SPACE}+", " "))
+
+
+def folded_words(text: Column) -> Column:
+    """Case folded, with single spaces between words."""
+    return F.replace(F.lower(stripped(F.regexp_replace(text, f"{SPACE}+", " "))), F.lit("ß"), F.lit("ss"))
 
 
 @F.pandas_udf(T.StringType())
@@ -60,6 +82,22 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
+def partial_ratio(needle: str, stack: str) -> float:
+    """The best Indel similarity of the shorter text to a part of the longer one that is as long at most."""
+    if len(needle) > len(stack):
+        needle, stack = stack, needle
+    n = len(needle)
+    if not n:
+        return 1.0 if not stack else 0.0
+    parts = {stack[max(0, i) : i + n] for i in range(1 - n, len(stack))}
+    return max(indel_ratio(needle, p) for p in parts)
+
+
+@F.pandas_udf(T.DoubleType())
+def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else partial_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casemill.functions.text import is_blank
+
 OVERRIDABLE = ("unit", "tier")
 
 
 def refusal(action: Column, field: Column, reason: Column, new: Column, current: Column, tier: Column, confirmed: Column) -> Column:
     """Why an action is refused, or null: confirmed already, unknown field, no reason, no change, already at the top tier."""
-    blank = F.coalesce(F.trim(reason), F.lit("")) == ""
+    blank = is_blank(reason)
     return (
         F.when(confirmed, "already_confirmed")
         .when((action == "override") & ~F.coalesce(field.isin(*OVERRIDABLE), F.lit(False)), "unknown_field")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import running
+
 
 def ratio(top: Column, bottom: Column, empty: float) -> Column:
     """top / bottom; ``empty`` where there is nothing to divide by (conventions differ by caller)."""
@@ -57,16 +57,24 @@ def skew(df: DataFrame, group: str, flagged: Column, least: int) -> DataFrame:
 
 
 def equal_bins(df: DataFrame, score: str, bins: int) -> DataFrame:
-    """Adds ``bin``: equal numbers of rows as far as tied scores, which stay together, allow.
+    """Adds ``bin``, numbered from 0: the sorted rows are cut at ``i * n // bins``, and where a cut would part equal scores,
+    the bin after it goes to the one before.
 
-    Tied scores take the bin of their first row.  The rank is a global order, so
-    scores are first counted: the window runs over different scores only.
+    Ranks are a global order, so scores are counted first, and running counts are made range by range.
     """
     counts = df.groupBy(score).agg(F.count("*").alias("_n"))
-    order = W.orderBy(score)
-    ranked = counts.withColumn("_before", F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
-    total = F.sum("_n").over(W.partitionBy())
-    return df.join(ranked.select(score, F.floor(F.col("_before") * bins / total).cast("long").alias("bin")), score)
+    ranked = running(counts, score, "_n", "_upto", "_all")
+    k = F.least(F.lit(bins).cast("long"), F.col("_all"))
+    at = lambda place: F.floor(((place + 1) * k - 1) / F.col("_all")).cast("int")
+    ranked = ranked.select(score, at(F.col("_upto") - F.col("_n")).alias("_first"), at(F.col("_upto") - 1).alias("_last"))
+    # A score that lies in several bins makes them one; there are fewer such spans than bins.
+    spans = ranked.where("_last > _first").select("_first", "_last").distinct().collect()
+    joined = {i for s in spans for i in range(s["_first"] + 1, s["_last"] + 1)}
+    number, names = -1, []
+    for i in range(bins):
+        number += i not in joined
+        names.append(number)
+    return df.join(ranked.select(score, F.get(F.array(*[F.lit(x) for x in names]), F.col("_first")).cast("long").alias("bin")), score)
 
 
 def calibration_error(binned: DataFrame, confidence: str, right: Column) -> DataFrame:
@@ -112,12 +120,13 @@ def histogram(df: DataFrame, score: Column, bins: int = 10) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str) -> DataFrame:
     """min, the upper of the middle values, the 90th percentile by index, and max; by counts of different values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = counts.withColumn("_upto", F.sum("_n").over(W.orderBy(value))).withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    upto = running(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_upto", "_all")
     at = lambda place: F.min(F.when(F.col("_upto") > place, F.col(value)))
     middle, ninth = F.floor(F.col("_all") / 2), F.least(F.col("_all") - 1, F.floor(9 * F.col("_all") / 10))
     return upto.agg(F.min(value).alias("low"), at(middle).alias("median"), at(ninth).alias("p90"), F.max(value).alias("high"))
 
 
-def gates(**checks: bool | np.bool_) -> list[tuple[str, bool]]:
-    return sorted((k, bool(v)) for k, v in checks.items())
+def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(gate, passed) of aggregate conditions over ``df``; a condition that is null fails."""
+    rows = F.array(*[F.struct(F.lit(name).alias("gate"), F.coalesce(check, F.lit(False)).alias("passed")) for name, check in checks.items()])
+    return df.agg(rows.alias("_g")).select(F.inline("_g"))

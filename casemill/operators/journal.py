@@ -29,13 +29,26 @@ def folded(journal: DataFrame, case: str, latest: Mapping[str, tuple[Column, Col
     return journal.groupBy(case).agg(*[F.max_by(value, F.when(condition, key)).alias(name) for name, (condition, value) in latest.items()])
 
 
-def effective(journal: DataFrame, case: str, order: Sequence[str], *, is_override: Column, unit: Column, tier: Column, is_escalation: Column) -> DataFrame:
-    """Overrides replayed in order: last unit, last tier that is set, and whether the case was ever escalated."""
+def effective(journal: DataFrame, case: str, order: Sequence[str], *, decided: Column, machine_unit: Column, machine_tier: Column, field: Column, to_unit: Column, to_tier: Column) -> DataFrame:
+    """The machine's last unit and tier, changed by overrides in order: (case, unit, tier, escalated).
+
+    ``field`` is "unit", "tier", "escalation" or anything else that changes nothing.  The last override of the unit holds,
+    also if it clears the unit; a tier that is no number is left out; an escalation moves the tier like an override of it,
+    and a case that was escalated once stays so.
+    """
     key = F.struct(*order)
-    return journal.groupBy(case).agg(
-        F.max_by(unit, F.when(is_override & unit.isNotNull(), key)).alias("unit"),
-        F.max_by(tier, F.when(is_override & tier.isNotNull(), key)).alias("tier"),
-        F.coalesce(F.bool_or(is_escalation), F.lit(False)).alias("escalated"),
+    to_other_tier = field.isin("tier", "escalation") & to_tier.isNotNull()
+    folded = journal.groupBy(case).agg(
+        F.max_by(F.struct(machine_unit.alias("unit"), machine_tier.alias("tier")), F.when(decided, key)).alias("_machine"),
+        F.max_by(F.struct(to_unit.alias("unit")), F.when(field == "unit", key)).alias("_unit"),
+        F.max_by(to_tier, F.when(to_other_tier, key)).alias("_tier"),
+        F.coalesce(F.bool_or(field == "escalation"), F.lit(False)).alias("escalated"),
+    )
+    return folded.select(
+        case,
+        F.when(F.col("_unit").isNotNull(), F.col("_unit.unit")).otherwise(F.col("_machine.unit")).alias("unit"),
+        F.coalesce("_tier", "_machine.tier").alias("tier"),
+        "escalated",
     )
 
 
@@ -51,6 +64,16 @@ def next_event(events: DataFrame, case: str, order: Sequence[str], *, is_start:
     return found.where(is_start)
 
 
+def notified_pairs(events: DataFrame, case: str, *, notified: Column, event_id: str, source_id: str, kind: str, at: str) -> DataFrame:
+    """(case, event_id, trigger, sent_at, source_at): each notification with the event of its case that it names.
+
+    Notifications whose source is not among the events of the case are left out.
+    """
+    sources = events.select(F.col(case).alias("_case"), F.col(event_id).alias("_id"), F.col(kind).alias("trigger"), F.col(at).alias("source_at"))
+    sent = events.where(notified & F.col(source_id).isNotNull()).select(case, event_id, source_id, F.col(at).alias("sent_at"))
+    return sent.join(sources, (F.col(case) == F.col("_case")) & (F.col(source_id) == F.col("_id"))).select(case, event_id, "trigger", "sent_at", "source_at")
+
+
 def nearest_rank(values: str, share: float) -> Column:
     """The whole-numbered value at rank ceil(share * n), as ``percentile_disc`` defines it."""
     return F.expr(f"percentile_disc({share}) within group (order by {values})").cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.functions.text import PLACEHOLDER, rendered
+from casemill.functions.text import PLACEHOLDER, is_blank, rendered
 
 
 def draft_kind(tier: Column, n_gaps: Column) -> Column:
@@ -35,7 +35,7 @@ def letters(df: DataFrame, template: str, declared: Sequence[str], values: Mappi
     """
     if set(declared) != set(values):
         raise ValueError(f"keys differ: {sorted(set(declared) ^ set(values))}")
-    missing = F.filter(F.array(*[F.when(F.coalesce(F.trim(values[k].cast("string")), F.lit("")) == "", F.lit(k)) for k in declared]), lambda x: x.isNotNull())
+    missing = F.filter(F.array(*[F.when(is_blank(values[k].cast("string")), F.lit(k)) for k in declared]), lambda x: x.isNotNull())
     df = df.withColumn("blocked", missing)
     return df.withColumn("letter", F.when(F.size("blocked") == 0, rendered(template, values)))
 

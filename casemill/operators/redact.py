@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casemill.functions import recognizers
-from casemill.functions.text import placeholders
+from casemill.functions.text import ALPHABET, TOKEN_LENGTH, placeholders
 
-#: Alphabet of placeholders: no vowels, so that no word arises.
-ALPHABET = "BCDFGHJKLMNPQRSTVWXZ2345679"
 #: Plain patterns that native queries use; sealing takes all recognizers.
 SWEEP: Mapping[str, str] = {
     "EMAIL": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -28,7 +26,7 @@ def token(kind: Column, case: Column, value: Column, salt: str) -> Column:
     digest = F.sha2(F.concat_ws("|", F.lit(salt), case.cast("string"), kind, value), 256)
     base = F.lit(len(ALPHABET))
     digit = lambda i: F.pmod(F.conv(F.substring(digest, 1 + 5 * i, 5), 16, 10).cast("int"), base)
-    letters = [F.substr(F.lit(ALPHABET), digit(i) + 1, F.lit(1)) for i in range(12)]
+    letters = [F.substr(F.lit(ALPHABET), digit(i) + 1, F.lit(1)) for i in range(TOKEN_LENGTH)]
     return F.concat(F.lit("[[PII|"), kind, F.lit("|"), *letters, F.lit("]]"))
 
 

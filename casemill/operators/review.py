@@ -12,13 +12,23 @@ SMALLEST_GROUP = 5
 
 
 def queue(cases: DataFrame, age: Column, *, budget: Column | None = None) -> DataFrame:
-    """Adds ``position``: oldest first, unknown ages last, then by case; and ``over_budget``."""
+    """Adds ``position`` within ``queue``: oldest first, unknown ages last, then by case; and ``over_budget``.
+
+    Hours of age are counted first, so a task sorts the cases of one queue and hour; an hour starts at the sum of the
+    older hours, a window over a row for each hour.
+    """
     from pyspark.sql import Window as W
 
     out = cases.withColumn("age", F.coalesce(age, F.lit(0.0)))
     if budget is not None:
         out = out.withColumn("over_budget", F.coalesce(F.col("age") > budget, F.lit(False)))
-    return out.withColumn("position", F.row_number().over(W.partitionBy("queue").orderBy(F.col("age").desc(), "case_id")).cast("long"))
+    out = out.withColumn("_hour", F.floor("age"))
+    hours = out.groupBy("queue", "_hour").agg(F.count("*").alias("_n"))
+    older = W.partitionBy("queue").orderBy(F.col("_hour").desc()).rowsBetween(W.unboundedPreceding, -1)
+    hours = hours.select(F.col("queue").alias("_queue"), F.col("_hour").alias("_h"), F.coalesce(F.sum("_n").over(older), F.lit(0)).alias("_older"))
+    inside = F.row_number().over(W.partitionBy("queue", "_hour").orderBy(F.col("age").desc(), "case_id"))
+    joined = out.withColumn("_place", inside).join(hours, F.col("queue").eqNullSafe(F.col("_queue")) & (F.col("_hour") == F.col("_h")))
+    return joined.withColumn("position", (F.col("_older") + F.col("_place")).cast("long")).drop("_hour", "_place", "_queue", "_h", "_older")
 
 
 def census(cases: DataFrame, unit: str, tier: str, unknown: str = "clearing") -> DataFrame:

@@ -10,29 +10,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def sorted_reference(reference: DataFrame, feature: str, most: int = 100_000) -> list[float]:
-    """The reference values of one feature, sorted, on the driver; a reference above ``most`` rows is refused."""
-    values = [r[0] for r in reference.where(F.col(feature).isNotNull()).select(F.col(feature).cast("double")).limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"a reference population has at most {most} rows")
-    return sorted(values)
+from .ranks import running
 
 
 def share_up_to(df: DataFrame, reference: DataFrame, value: str, ref_value: str, out: str) -> DataFrame:
-    """Adds the share of the reference that is at most the value: counts of reference values, an as-of window, no cross join."""
-    from pyspark.sql import Window as W
-
+    """Adds the share of the reference that is at most the value: running counts over both, no cross join."""
     steps = reference.select(F.col(ref_value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    points = df.select(F.col(value).cast("double").alias("v")).distinct().withColumn("n", F.lit(0).cast("long"))
+    points = df.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct().withColumn("n", F.lit(0).cast("long"))
     both = steps.unionByName(points).groupBy("v").agg(F.sum("n").alias("n"))
-    ranked = both.select("v", (F.sum("n").over(W.orderBy("v")) / F.sum("n").over(W.partitionBy())).alias(out))
+    ranked = running(both, "v", "n", "_upto", "_all").select("v", (F.col("_upto") / F.col("_all")).alias(out))
     return df.join(ranked, F.col(value).cast("double").eqNullSafe(F.col("v")), "left").drop("v")
 
 
 def tail_share(shares: Sequence[tuple[Column, Column]]) -> Column:
-    """1 - the least two-sided tail over features: pairs (share at most, share at least)."""
-    tails = [F.least(F.lit(1.0), 2 * F.least(a, b)) for a, b in shares]
+    """1 - the least tail over features, a tail being the smaller of both sides: pairs (share at most, share at least)."""
+    tails = [F.least(a, b) for a, b in shares]
     return 1 - (tails[0] if len(tails) == 1 else F.least(*tails))
 
 
@@ -108,11 +100,39 @@ def ablation(features: dict[str, Column], medians: dict[str, float], score) -> C
     return F.array(*parts)
 
 
-def top_reasons(contributions: Column, least: float, n: int = 4) -> Column:
-    """At most n contributions of at least ``least``: the largest first, then by name."""
-    kept = F.filter(contributions, lambda x: x["contribution"] >= least)
+def top_reasons(attributions: Column, least: float, n: int = 4) -> Column:
+    """Features of at most n contributions of at least ``least``, the largest first, then by name.
+
+    ``attributions`` are structs of feature, contribution, observed, expected, q1 and q3.  Without such a contribution the
+    one feature that is farthest from its expected value is named, in units of the distance of its quartiles.
+    """
+    kept = F.filter(attributions, lambda x: x["contribution"] >= least)
     keyed = F.array_sort(F.transform(kept, lambda x: F.struct((-x["contribution"]).alias("k"), x["feature"].alias("feature"))))
-    return F.transform(F.slice(keyed, 1, n), lambda x: x["feature"])
+    spread = lambda x: F.greatest(F.abs(x["q3"] - x["q1"]), F.lit(1e-6))
+    deviant = F.array_sort(F.transform(attributions, lambda x: F.struct((-F.abs(x["observed"] - x["expected"]) / spread(x)).alias("k"), x["feature"].alias("feature"))))
+    return F.transform(F.when(F.size(keyed) > 0, F.slice(keyed, 1, n)).otherwise(F.slice(deviant, 1, 1)), lambda x: x["feature"])
+
+
+def median(values: Column) -> Column:
+    """The middle of an array of numbers, or the mean of both middle ones; null if it is empty."""
+    v, n = F.array_sort(values), F.size(values)
+    at = lambda i: F.get(F.array_sort(values), i.cast("int"))
+    return F.when(n == 0, F.lit(None)).when(n % 2 == 1, F.get(v, F.floor(n / 2).cast("int"))).otherwise((at(n / 2 - 1) + at(n / 2)) / 2)
+
+
+def quartiles(values: Column) -> Column:
+    """Struct of q1, median and q3: medians of the halves without the middle (Tukey); of one value, that value."""
+    v, n = F.array_sort(values), F.size(values)
+    half = F.floor(n / 2).cast("int")
+    low, high = F.slice(v, 1, half), F.slice(v, n - half + 1, half)
+    ends = lambda part, other: F.when(half > 0, median(part)).otherwise(other)
+    return F.struct(ends(low, F.get(v, F.lit(0))).alias("q1"), median(values).alias("median"), ends(high, F.get(v, n - 1)).alias("q3"))
+
+
+def mean_absolute(contributions: Column) -> Column:
+    """Mean of the absolute contributions of an array of structs; 0 for none."""
+    total = F.aggregate(contributions, F.lit(0.0), lambda s, x: s + F.abs(x["contribution"]))
+    return F.when(F.size(contributions) > 0, total / F.size(contributions)).otherwise(F.lit(0.0))
 
 
 def cosine(a: Column, b: Column) -> Column:

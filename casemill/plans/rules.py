@@ -81,6 +81,8 @@ def _compile(rule: Mapping[str, Any], types: Mapping[str, T.DataType], alias: Ma
     if name not in types:
         return F.lit(False)
     column, kind = F.col(name), _kind(types[name])
+    if kind == "other":
+        raise RuleError(f"{name} is {types[name].simpleString()}: predicates read texts, numbers and booleans; cast it first")
     return column.isNotNull() & F.coalesce(_compare(column, kind, rule["op"], rule["value"]), F.lit(False))
 
 

@@ -2,38 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from casemill.operators.journal import violations
+from casemill.operators.journal import sequenced, violations
+
+
+#: Directories that cases are dealt into, so that an append reads those of its own cases only.
+BUCKETS = 64
+BUCKET = "case_bucket"
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.schema(like.schema).parquet(path)
-    except AnalysisException:
+    """The table at ``path``, or no rows if there is no such folder; other errors are raised."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return like.limit(0)
+    return spark.read.schema(like.schema).parquet(path)
+
+
+def _of_same_buckets(new: DataFrame, path: str) -> DataFrame:
+    """What is stored in the directories of the new rows' buckets."""
+    numbers = [r[0] for r in new.select(BUCKET).distinct().collect()]
+    return read_or_empty(new.sparkSession, path, new).where(F.col(BUCKET).isin(numbers))
 
 
 def append_missing(new: DataFrame, path: str, key: str) -> int:
-    """Appends the rows whose key is not there yet, each key once; returns their number.  Safe to repeat."""
-    spark = new.sparkSession
-    there = read_or_empty(spark, path, new).select(key)
-    fresh = new.dropDuplicates([key]).join(there, key, "left_anti").select(*new.columns)
-    before = there.count()
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(new.schema).parquet(path).count() - before
+    """Appends the rows whose key is not there yet, each key once; returns their number.  Safe to repeat.
+
+    Only directories of the new keys' buckets are read.
+    """
+    rows = new.dropDuplicates([key]).withColumn(BUCKET, bucket(key))
+    fresh = rows.join(_of_same_buckets(rows, path).select(key), key, "left_anti").select(*rows.columns)
+    n = fresh.count()
+    if n:
+        fresh.write.mode("append").partitionBy(BUCKET).parquet(path)
+    return n
 
 
 def append_events(events: DataFrame, path: str, case: str = "case_id") -> None:
-    """Appends to a journal; refuses a result with gaps or repeats in a case's sequence, or repeated event ids."""
-    spark = events.sparkSession
-    whole = read_or_empty(spark, path, events).unionByName(events)
-    wrong = violations(whole, case).limit(1).collect()
+    """Appends to a journal; refuses a result with gaps or repeats in a case's sequence, or repeated event ids.
+
+    Only the cases of the batch are checked, in the directories of their buckets.
+    """
+    rows = events.withColumn(BUCKET, bucket(case))
+    stored = _of_same_buckets(rows, path).join(rows.select(case).distinct(), case, "left_semi")
+    wrong = violations(stored.select(*events.columns).unionByName(events), case).limit(1).collect()
     if wrong:
         raise ValueError(f"journal of case {wrong[0][case]!r} would be broken")
-    events.write.mode("append").parquet(path)
+    rows.write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def numbered(events: DataFrame, path: str, case: str, *order: str) -> DataFrame:
+    """New events with ``sequence`` going on from the stored journal, and ``event_id`` from case and sequence."""
+    rows = events.withColumn(BUCKET, bucket(case))
+    like = rows.withColumn("sequence", F.lit(0).cast("long"))
+    stored = _of_same_buckets(like, path).groupBy(case).agg(F.max("sequence").alias("_last"))
+    joined = sequenced(events, case, *order).join(stored, case, "left")
+    joined = joined.withColumn("sequence", F.col("sequence") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")
+    return joined.withColumn("event_id", F.substring(F.sha2(F.concat_ws("|", F.col(case).cast("string"), F.col("sequence").cast("string")), 256), 1, 32))
+
+
+def store_vault(entries: DataFrame, path: str, ref: str = "token") -> None:
+    """Write-once: an entry whose reference is stored already, or twice in the batch, is an error and nothing is written."""
+    rows = entries.withColumn(BUCKET, bucket(ref))
+    twice = rows.groupBy(ref).count().where("count > 1").select(ref)
+    there = _of_same_buckets(rows, path).join(rows.select(ref), ref, "left_semi").select(ref)
+    wrong = twice.unionByName(there).limit(1).collect()
+    if wrong:
+        raise ValueError(f"vault reference {wrong[0][ref]!r} is there already")
+    rows.write.mode("append").partitionBy(BUCKET).parquet(path)
 
 
 def labelled(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.functions.text import is_blank
+
 ATTACHMENT = "struct<id:string,mediaType:string,filename:string,sha256:string,text:string,sourceType:string>"
 SCHEMA = (
     "submissionId string, destinationId string, channel string, submittedAt timestamp, procedureHint string, "
@@ -31,7 +33,7 @@ def text_parts(submissions: DataFrame) -> DataFrame:
     """(submissionId, part_id, ordinal, text, source_type): the body, then attachments with text; numbered as kept."""
     body = F.array(F.struct(F.col("bodyText").alias("text"), source_type(F.col("bodySourceType"), F.col("channel")).alias("source_type")))
     more = F.transform(F.coalesce("attachments", F.expr(f"cast(array() as array<{ATTACHMENT}>)")), lambda a: F.struct(a["text"].alias("text"), source_type(a["sourceType"], F.col("channel")).alias("source_type")))
-    kept = F.filter(F.concat(body, more), lambda p: F.coalesce(F.trim(p["text"]), F.lit("")) != "")
+    kept = F.filter(F.concat(body, more), lambda p: ~is_blank(p["text"]))
     rows = submissions.select("submissionId", F.posexplode(kept).alias("ordinal", "p"))
     return rows.select("submissionId", F.concat(F.lit("part-text-"), F.col("ordinal") + 1).alias("part_id"), "ordinal", "p.text", "p.source_type")
 

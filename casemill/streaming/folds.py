@@ -18,11 +18,20 @@ def run_available(query) -> None:  # noqa: ANN001
     query.trigger(availableNow=True).start().awaitTermination()
 
 
-def stream_state(events: DataFrame, case: str, order: Column, value: Column, name: str, checkpoint: str) -> DataFrame:
-    """Latest value and number of events of each case, kept by a stateful aggregation; returns the final table."""
+def stream_state(events: DataFrame, case: str, order: Column, value: Column, path: str) -> DataFrame:
+    """Latest value and number of events of each case, kept by a stateful aggregation; returns the final table.
+
+    In update mode each micro-batch gives the cases that changed, which are written under their batch number, so that a
+    repeated batch replaces itself; the state of a case is that of its last batch.  No state reaches the driver.
+    """
     state = events.groupBy(case).agg(F.max_by(value, order).alias("latest"), F.count("*").alias("n"))
-    run_available(state.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint))
-    return events.sparkSession.table(name)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+
+    run_available(state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint"))
+    kept = events.sparkSession.read.schema(state.schema.add("batch", "long")).option("basePath", f"{path}/state").parquet(f"{path}/state")
+    return kept.groupBy(case).agg(F.max_by("latest", "batch").alias("latest"), F.max_by("n", "batch").alias("n"))
 
 
 def stream_append(events: DataFrame, append: Callable[[DataFrame], object], checkpoint: str) -> None:
@@ -30,6 +39,7 @@ def stream_append(events: DataFrame, append: Callable[[DataFrame], object], chec
     run_available(events.writeStream.foreachBatch(lambda batch, _id: append(batch)).option("checkpointLocation", checkpoint))
 
 
-def windowed_counts(events: DataFrame, at: str, window: str, late: str) -> DataFrame:
-    """Tumbling counts with a watermark (beyond the batch folds)."""
-    return events.withWatermark(at, late).groupBy(F.window(at, window), "event_type").agg(F.count("*").alias("n"))
+def live_sessions(events: DataFrame, key: str, at: str, ttl: str, late: str = "0 seconds") -> DataFrame:
+    """State that expires: events of a key belong together while no gap is longer than ``ttl``; closed groups come out
+    with start, end and count, and their state goes once the watermark has passed."""
+    return events.withWatermark(at, late).groupBy(key, F.session_window(at, ttl).alias("live")).agg(F.count("*").alias("n")).select(key, F.col("live.start").alias("first_at"), F.col("live.end").alias("expires_at"), "n")

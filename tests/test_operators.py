@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casemill.operators import evaluate, evidence, journal, redact, review, scoring, spans
+from casemill.operators import evaluate, evidence, journal, ranks, redact, review, scoring, spans
 from casemill.sources import stores, submissions
 
 
@@ -88,7 +88,40 @@ def test_census_and_suppression(spark):
 def test_bins_keep_ties_together(spark):
     df = spark.createDataFrame([(x,) for x in [1, 1, 1, 1, 1, 2, 3, 4, 5, 6]], "s int")
     bins = {r["s"]: r["bin"] for r in evaluate.equal_bins(df, "s", 5).collect()}
-    assert bins == {1: 0, 2: 2, 3: 3, 4: 3, 5: 4, 6: 4}
+    # Cuts after 2, 4, 6 and 8 rows; those inside the ones part equal scores, so three bins become one.
+    assert bins == {1: 0, 2: 0, 3: 1, 4: 1, 5: 2, 6: 2}
+
+
+def test_bins_against_brute_force(spark):
+    rng = random.Random(3)
+    for n, k in ((7, 10), (50, 7), (200, 10), (64, 1)):
+        values = sorted(rng.randrange(n // 2 + 1) for _ in range(n))
+        count, merged = min(k, n), []
+        for i in range(count):
+            group = values[i * n // count : (i + 1) * n // count]
+            if merged and group and merged[-1][-1] == group[0]:
+                merged[-1] += group
+            elif group:
+                merged.append(group)
+        expected = {v: i for i, group in enumerate(merged) for v in group}
+        got = {r["s"]: r["bin"] for r in evaluate.equal_bins(spark.createDataFrame([(v,) for v in values], "s int"), "s", k).collect()}
+        assert got == expected, (n, k)
+
+
+def test_running_counts_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice([-1, 1]) * rng.random() ** 9, rng.randrange(4)) for _ in range(900)]
+    got = {r["v"]: (r["upto"], r["all"]) for r in ranks.running(spark.createDataFrame(rows, "v double, n long").repartition(5), "v", "n", "upto", "all").collect()}
+    assert got == {v: (sum(k for w, k in rows if w <= v), sum(k for _, k in rows)) for v, _ in rows}
+
+
+def test_queue_positions(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 0.0, 1.25, 1.5, 7.0, rng.random() * 90])) for i in range(300)]
+    got = {r["case_id"]: r["position"] for r in review.queue(spark.createDataFrame(rows, "case_id int, queue string, h double"), F.col("h")).collect()}
+    for q in ("a", "b", None):
+        order = sorted((r for r in rows if r[1] == q), key=lambda r: (-(r[2] or 0.0), r[0]))
+        assert [got[r[0]] for r in order] == list(range(1, len(order) + 1))
 
 
 def test_isotonic_and_calibration(spark):
@@ -106,7 +139,7 @@ def test_seal_and_rehydrate(spark):
     assert "a@b" not in rows[1]["sealed_text"] and len(rows[1]["entries"]) == 2 and not rows[1]["refused"]
     back = redact.rehydrated(s.select("id", "sealed_text"), redact.vault(s, "id"), "id", "sealed_text")
     assert {r["id"]: r["plain"] for r in back.collect()} == {1: "mail a@b.example and 10.0.0.1, a@b.example", 2: None, 3: ""}
-    unknown = spark.createDataFrame([(1, "[[PII|X|BCDFGHJKLMNP]]")], "id int, sealed_text string")
+    unknown = spark.createDataFrame([(1, "[[PII|X|BCDFGHJKMNPQ]]")], "id int, sealed_text string")
     assert redact.rehydrated(unknown, redact.vault(s, "id"), "id", "sealed_text").first()["plain"] is None
 
 
@@ -135,6 +168,6 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(2):
         e.where(F.col("event_id") % 2 == part).coalesce(1).write.mode("append").parquet(str(tmp_path / "e"))
     stream = folds.event_stream(spark, str(tmp_path / "e"), e.schema)
-    got = folds.stream_state(stream, "case_id", F.col("event_id"), F.col("type"), "t_state", str(tmp_path / "c"))
+    got = folds.stream_state(stream, "case_id", F.col("event_id"), F.col("type"), str(tmp_path / "c"))
     batch = e.groupBy("case_id").agg(F.max_by("type", "event_id").alias("latest"), F.count("*").alias("n"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
