@@ -77,3 +77,11 @@ def remaining_days(due: Column, now: Column) -> Column:
 
 def waited_seconds(decided: Column, confirmed: Column) -> Column:
     return F.greatest(F.lit(0), F.unix_timestamp(confirmed) - F.unix_timestamp(decided))
+
+
+def rendered_day(at: Column) -> Column:
+    return F.date_format(at, "dd.MM.yyyy")
+
+
+def rendered_time(at: Column) -> Column:
+    return F.date_format(at, "dd.MM.yyyy HH:mm")

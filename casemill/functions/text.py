@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+import textwrap
 import unicodedata
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -101,3 +105,94 @@ def partial_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 @F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def is_placeholder(text: Column) -> Column:
+    """Whether the text is one placeholder and nothing else."""
+    return F.coalesce(text.rlike(f"^{PLACEHOLDER}$"), F.lit(False))
+
+
+def tidy(text: Column) -> Column:
+    """Without blanks at line ends, and with one empty line between paragraphs at most."""
+    return stripped(F.regexp_replace(F.regexp_replace(text, r"[ \t]+(?=\r?\n|$)", ""), r"(\r?\n){3,}", "\n\n"))
+
+
+@F.pandas_udf(T.StringType())
+def wrapped(text: pd.Series) -> pd.Series:
+    """Lines of 76 characters at most, broken at spaces; paragraphs stay apart."""
+    fill = lambda p: textwrap.fill(p, 76, break_long_words=False, break_on_hyphens=False)
+    return text.map(lambda x: None if x is None else "\n".join(fill(p) for p in x.split("\n")))
+
+
+def short_label(label: Column) -> Column:
+    """A label up to the first bracket or full stop."""
+    return stripped(F.regexp_replace(label, r"(?s)[(.].*$", ""))
+
+
+def address_lines(parts: Mapping[str, Column], groups: Sequence[Sequence[str]]) -> Column:
+    """Lines of an address: each group's parts that are not blank, joined by a space; empty lines are left out."""
+    line = lambda g: F.nullif(F.concat_ws(" ", *[F.when(~is_blank(parts[k]), stripped(parts[k])) for k in g]), F.lit(""))
+    return F.concat_ws("\n", *[line(g) for g in groups])
+
+
+SEGMENTS = T.StructType().add("text", T.StringType()).add("starts", T.ArrayType(T.IntegerType())).add("ends", T.ArrayType(T.IntegerType()))
+_CLUSTER = re.compile(r"(?s).[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]*")
+
+
+def normalized(raw: str) -> tuple[str, list[int], list[int]]:
+    """Normal text, composed cluster by cluster, and for each of its characters the part of ``raw`` that it stands for."""
+    clusters = [(m.start(), m.end(), unicodedata.normalize("NFC", m[0])) for m in _CLUSTER.finditer(raw)]
+    out, starts, ends, i, n = [], [], [], 0, len(clusters)
+    while i < n:
+        start, end, text = clusters[i]
+        j = i + 1
+        if text == "-" and i and clusters[i - 1][2][-1:].isalpha():
+            while j < n and clusters[j][2].isspace():
+                j += 1
+            gap = raw[end : clusters[j - 1][1]]
+            if j < n and ("\n" in gap or "\r" in gap) and clusters[j][2][:1].isalpha():
+                i = j
+                continue
+            j = i + 1
+        if text.isspace():
+            while j < n and clusters[j][2].isspace():
+                j += 1
+            end, text = clusters[j - 1][1], " "
+            if not out or j == n:
+                i = j
+                continue
+        for c in text:
+            out.append(c)
+            starts.append(start)
+            ends.append(end)
+        i = j
+    return "".join(out), starts, ends
+
+
+@F.pandas_udf(SEGMENTS)
+def normal_text_map(text: pd.Series) -> pd.DataFrame:
+    """Normal text with its way back; composition has no native function, and offsets need one walk over the text."""
+    return pd.DataFrame([(None, None, None) if x is None else normalized(x) for x in text], columns=["text", "starts", "ends"])
+
+
+def raw_span(segments: Column, start: Column, end: Column) -> Column:
+    """The part of the raw text for the part [start, end) of the normal text, widened to whole runs; null if it is empty or outside."""
+    first, last = F.get(segments["starts"], start), F.get(segments["ends"], end - 1)
+    return F.when((start >= 0) & (start < end) & last.isNotNull(), F.struct(first.alias("start"), last.alias("end")))
+
+
+def _embedded(text: str, dim: int) -> list[float]:
+    out = [0.0] * dim
+    told = " " + " ".join(text.split()).casefold() + " "
+    for n in (3, 4, 5):
+        for i in range(len(told) - n + 1):
+            h = int.from_bytes(hashlib.blake2b(told[i : i + n].encode(), digest_size=8).digest(), "big")
+            out[h % dim] += 1.0 if h >> 63 else -1.0
+    norm = math.sqrt(sum(x * x for x in out))
+    return [x / norm for x in out] if norm else out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def hashed_embedding(text: pd.Series) -> pd.Series:
+    """96 signed counts of hashed character n-grams (3 to 5), of norm 1; zeros for blank text."""
+    return text.map(lambda x: None if x is None else _embedded(x, 96) if x.strip() else [0.0] * 96)

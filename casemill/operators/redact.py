@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casemill.functions import recognizers
-from casemill.functions.text import ALPHABET, TOKEN_LENGTH, placeholders
+from casemill.functions.text import ALPHABET, PLACEHOLDER, SHAPED, TOKEN_LENGTH, placeholders
 
 #: Plain patterns that native queries use; sealing takes all recognizers.
 SWEEP: Mapping[str, str] = {
@@ -93,3 +93,18 @@ def recall_by_kind(labels: DataFrame, hits: DataFrame) -> DataFrame:
     return n.join(hits.groupBy("kind").agg(F.count("*").alias("n_found")), "kind", "left").select(
         "kind", "n_labels", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found")
     )
+
+
+def imitated(text: Column) -> Column:
+    """Whether something that only looks like a placeholder is left once the true ones are blanked."""
+    rest = F.regexp_replace(text, PLACEHOLDER, " ")
+    return F.coalesce(rest.rlike(SHAPED) | F.contains(rest, F.lit("[[PII")), F.lit(False))
+
+
+def minted(df: DataFrame, case: str, kind: Column, value: Column, salt: str, *texts: Column) -> DataFrame:
+    """Adds ``token`` and ``present``: whether the token stands in one of the texts already (it must not)."""
+    df = df.withColumn("token", token(kind, F.col(case), value, salt))
+    there = F.lit(False)
+    for t in texts:
+        there = there | F.coalesce(F.contains(t, F.col("token")), F.lit(False))
+    return df.withColumn("present", there)

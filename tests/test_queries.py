@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from casemill import queries_intake  # noqa: F401  registers its queries
 from casemill.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
