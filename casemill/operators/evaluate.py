@@ -130,3 +130,49 @@ def gates(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """(gate, passed) of aggregate conditions over ``df``; a condition that is null fails."""
     rows = F.array(*[F.struct(F.lit(name).alias("gate"), F.coalesce(check, F.lit(False)).alias("passed")) for name, check in checks.items()])
     return df.agg(rows.alias("_g")).select(F.inline("_g"))
+
+
+def span_counts(df: DataFrame, kinds: str, verified: Column) -> DataFrame:
+    """(kind, n, n_verified, n_discarded); an item of several kinds counts in each."""
+    each = df.select(F.explode(kinds).alias("kind"), F.coalesce(verified, F.lit(False)).alias("_ok"))
+    return each.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("_ok").alias("n_verified"), F.count_if(~F.col("_ok")).alias("n_discarded"))
+
+
+def invariants(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """(metric, held) of aggregate conditions that must hold exactly."""
+    return gates(df, checks).select(F.col("gate").alias("metric"), F.col("passed").alias("held"))
+
+
+def agreement(df: DataFrame, covered: str, agrees: str, score: str) -> DataFrame:
+    """How many items a classifier covers, on how many of these it agrees, and its scores where it is right and wrong."""
+    c, a = F.col(covered), F.coalesce(F.col(agrees), F.lit(False))
+    inside = F.when(c, F.col(score))
+    return df.agg(
+        F.count("*").alias("n"), F.count_if(c).alias("n_covered"), F.count_if(c & a).alias("n_agreed"), F.avg(F.when(c & a, F.col(score))).alias("mean_right"), F.avg(F.when(c & ~a, F.col(score))).alias("mean_wrong"),
+        F.min(inside).alias("low"), F.max(inside).alias("high"),
+    )
+
+
+def register(thresholds: DataFrame, today: Column) -> DataFrame:
+    """Adds calibrated (a fitted value is there), days_left until the review is due, and overdue."""
+    left = F.datediff("due", today)
+    return thresholds.withColumns({"calibrated": F.col("fitted").isNotNull(), "days_left": left, "overdue": F.coalesce(left < 0, F.lit(False))})
+
+
+def compared(expected: DataFrame, found: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(n_expected, n_found, n_equal): a live run held against recorded results."""
+    other = found.select(*keys, F.col(value).alias("_found"), F.lit(True).alias("_there"))
+    joined = expected.join(other, list(keys), "left")
+    return joined.agg(F.count("*").alias("n_expected"), F.count("_there").alias("n_found"), F.count_if(F.col("_there") & F.col(value).eqNullSafe(F.col("_found"))).alias("n_equal"))
+
+
+def directory_diff(expected: DataFrame, actual: DataFrame, name: str, digest: str) -> DataFrame:
+    """(name, state): missing, stale (not expected) or differs; equal entries are left out."""
+    a = expected.select(F.col(name).alias("_a"), F.col(digest).alias("_x"))
+    b = actual.select(F.col(name).alias("_b"), F.col(digest).alias("_y"))
+    state = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "stale").when(~F.col("_x").eqNullSafe(F.col("_y")), "differs")
+    return a.join(b, F.col("_a") == F.col("_b"), "full").select(F.coalesce("_a", "_b").alias(name), state.alias("state")).where("state is not null")
+
+
+def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.subtract(b).unionAll(b.subtract(a))

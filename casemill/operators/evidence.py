@@ -68,6 +68,19 @@ def route(df: DataFrame, rules: Sequence[Route]) -> DataFrame:
     )
 
 
+def suggestions_by_unit(df: DataFrame, rules: Sequence[Route]) -> DataFrame:
+    """A row for each suggested unit: ``s`` has unit, its least priority, and its rules by priority and id."""
+    hits = F.array(*[F.when(compile_rule(r.when, df.schema), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.unit).alias("unit"))) for r in rules])
+    df = df.withColumn("_hits", F.array_sort(F.filter(hits, lambda x: x.isNotNull())))
+    units = F.array_distinct(F.transform("_hits", lambda x: x["unit"]))
+
+    def one(unit: Column) -> Column:
+        own = F.filter("_hits", lambda x: x["unit"] == unit)
+        return F.struct(unit.alias("unit"), F.get(own, F.lit(0))["priority"].alias("priority"), F.transform(own, lambda x: x["rule_id"]).alias("rule_ids"))
+
+    return df.withColumn("s", F.explode(F.transform(units, one))).drop("_hits")
+
+
 @dataclass(frozen=True)
 class Requirement:
     """A required value with its checks, tested in this order; a pattern is anchored at its start only."""

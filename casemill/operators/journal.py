@@ -83,3 +83,23 @@ def latency_summary(pairs: DataFrame, seconds: str, *by: str) -> DataFrame:
     return pairs.groupBy(*by).agg(
         F.count("*").alias("n"), F.min(seconds).alias("low"), nearest_rank(seconds, 0.5).alias("p50"), nearest_rank(seconds, 0.95).alias("p95"), F.max(seconds).alias("high")
     )
+
+
+def listed(journal: DataFrame, case: str, condition: Column, value: Column, order: Sequence[str]) -> Column:
+    """An aggregate: the values of a case's events for which the condition holds, in order."""
+    kept = F.collect_list(F.when(condition, F.struct(*order, value.alias("_value"))))
+    return F.transform(F.array_sort(kept), lambda x: x["_value"])
+
+
+def corrections(overrides: DataFrame, state: DataFrame, case: str, at: str, event_id: str) -> DataFrame:
+    """Corrections with the machine's state of their case, and their ``place`` by case, time and id.
+
+    Cases are counted first; a case starts after all cases before it, so no task orders more than the corrections of one case.
+    """
+    from .ranks import running
+
+    counts = overrides.where(F.col(case).isNotNull()).groupBy(case).agg(F.count("*").alias("_n"))
+    starts = running(counts, case, "_n", "_upto").select(case, (F.col("_upto") - F.col("_n")).alias("_start"))
+    inside = F.row_number().over(W.partitionBy(case).orderBy(at, event_id))
+    joined = overrides.withColumn("_inside", inside).join(starts, case).join(state, case)
+    return joined.withColumn("place", (F.col("_start") + F.col("_inside")).cast("long")).drop("_inside", "_start")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from casemill.functions.dates import delivery_date, next_working_day, shifted_days
 from casemill.functions.text import PLACEHOLDER, is_blank, rendered
 
 
@@ -55,3 +56,32 @@ def chunks(text: Column, size: int) -> Column:
     n = F.ceil(F.length(text) / size).cast("int")
     starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * size)).otherwise(F.expr("cast(array() as array<int>)"))
     return F.transform(starts, lambda s: F.struct(s.alias("start"), F.substr(text, s + 1, F.lit(size)).alias("chunk")))
+
+
+def drafts(df: DataFrame, kinds: Mapping[str, tuple[str, Sequence[str]]], values: Mapping[str, Column]) -> DataFrame:
+    """Adds ``blocked`` and ``letter`` by the column ``kind``: each kind has a template and the values that it declares.
+
+    A declared value that is missing or blank blocks the whole letter; a kind that is not among them has neither.
+    """
+    blocked, letter = F.array().cast("array<string>"), F.lit(None).cast("string")
+    for kind, (template, declared) in kinds.items():
+        missing = F.filter(F.array(*[F.when(is_blank(values[k].cast("string")), F.lit(k)) for k in declared]), lambda x: x.isNotNull())
+        blocked = F.when(F.col("kind") == kind, missing).otherwise(blocked)
+        letter = F.when(F.col("kind") == kind, rendered(template, {k: values[k] for k in declared})).otherwise(letter)
+    df = df.withColumn("blocked", blocked)
+    return df.withColumn("letter", F.when(F.size("blocked") == 0, letter))
+
+
+def softened(gaps: Column, optional: Sequence[str]) -> Column:
+    """Gaps with ``softened``: whether the requirement is one that a letter asks for only in passing."""
+    return F.transform(gaps, lambda g: g.withField("softened", F.coalesce(g["requirement_id"].isin(*optional), F.lit(False)) if optional else F.lit(False)))
+
+
+def dispatch_facts(cases: DataFrame, sent: Column, window_days: int, holidays: Sequence[str] = ()) -> DataFrame:
+    """Adds delivered, deadline and the days that both were shifted by, for request letters only; the text is not part of it."""
+    is_request = F.col("kind") == "request"
+    raw = F.date_add(sent, 4)
+    df = cases.withColumn("delivered", F.when(is_request, delivery_date(sent, holidays)))
+    df = df.withColumn("deadline", F.when(is_request, next_working_day(F.date_add(F.col("delivered"), window_days), holidays)))
+    shifts = F.concat(shifted_days(raw, holidays), shifted_days(F.date_add(F.col("delivered"), window_days), holidays))
+    return df.withColumn("shifted", F.when(is_request, shifts))

@@ -87,14 +87,6 @@ def rehydrated(texts: DataFrame, entries: DataFrame, case: str, text: str) -> Da
     return joined.withColumn("plain", F.when(~unknown, plain)).drop("_held")
 
 
-def recall_by_kind(labels: DataFrame, hits: DataFrame) -> DataFrame:
-    """Labels and covered labels of each kind; without labels recall is 1."""
-    n = labels.groupBy("kind").agg(F.count("*").alias("n_labels"))
-    return n.join(hits.groupBy("kind").agg(F.count("*").alias("n_found")), "kind", "left").select(
-        "kind", "n_labels", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found")
-    )
-
-
 def imitated(text: Column) -> Column:
     """Whether something that only looks like a placeholder is left once the true ones are blanked."""
     rest = F.regexp_replace(text, PLACEHOLDER, " ")
@@ -108,3 +100,19 @@ def minted(df: DataFrame, case: str, kind: Column, value: Column, salt: str, *te
     for t in texts:
         there = there | F.coalesce(F.contains(t, F.col("token")), F.lit(False))
     return df.withColumn("present", there)
+
+
+def rehydrated_or_refused(texts: DataFrame, entries: DataFrame, case: str, text: str) -> DataFrame:
+    """Adds ``refusal`` and ``plain``: an imitation of a placeholder, a token of another kind or an unknown token refuses the
+    whole text; else every placeholder is replaced, and none is left."""
+    held = entries.groupBy(case).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value")))).alias("_held"), F.collect_set(F.regexp_extract("token", r"([^|]{12})\]\]$", 1)).alias("_letters"))
+    joined = texts.join(held, case, "left")
+    found = F.array_distinct(placeholders(F.col(text)))
+    value = lambda t: F.element_at(F.coalesce("_held", F.expr("map('', '')")), t)
+    letters = lambda t: F.regexp_extract(t, r"([^|]{12})\]\]$", 1)
+    unknown = F.filter(found, lambda t: value(t).isNull())
+    other_kind = F.exists(unknown, lambda t: F.coalesce(F.array_contains("_letters", letters(t)), F.lit(False)))
+    refusal = F.when(imitated(F.col(text)), "imitation").when(other_kind, "kind_mismatch").when(F.size(unknown) > 0, "unknown_token")
+    plain = F.aggregate(found, F.col(text), lambda acc, t: F.replace(acc, t, value(t)))
+    joined = joined.withColumn("refusal", refusal).withColumn("plain", F.when(F.col("refusal").isNull(), plain)).drop("_held", "_letters")
+    return joined.withColumn("plain", F.when(~F.coalesce(F.col("plain").rlike(PLACEHOLDER), F.lit(False)), F.col("plain")))

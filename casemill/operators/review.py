@@ -54,3 +54,20 @@ def grouped_levels(df: DataFrame, levels: Sequence[Sequence[str]], **aggregates:
     """Aggregates at several levels in one pass; columns that a level leaves out are null."""
     names = list(dict.fromkeys(c for level in levels for c in level))
     return df.groupingSets([list(level) for level in levels], *names).agg(*[c.alias(k) for k, c in aggregates.items()])
+
+
+def unit_metrics(cases: DataFrame, least: int = SMALLEST_GROUP) -> DataFrame:
+    """Review numbers of each effective unit from cases (unit, confirmed, overridden, seconds to the confirmation).
+
+    A case that was overridden several times counts once.  Rates of units with fewer than ``least`` cases are not shown: of
+    confirmed ones, and for overrides of confirmed and overridden ones together (a case can be in both).
+    """
+    done, other = F.col("confirmed"), F.col("overridden")
+    g = cases.where(F.col("unit").isNotNull()).groupBy("unit").agg(
+        F.count_if(done).alias("confirmed"), F.count_if(done & ~other).alias("without_edit"), F.count_if(other).alias("overridden"), F.median(F.when(done, F.col("seconds"))).alias("_median")
+    )
+    n, both = F.col("confirmed"), F.col("confirmed") + F.col("overridden")
+    return g.select(
+        "unit", "confirmed", "without_edit", "overridden",
+        suppressed(F.col("without_edit") / n, n, least).alias("clean_rate"), suppressed(F.col("overridden") / both, both, least).alias("override_rate"), suppressed(F.col("_median"), n, least).alias("median_seconds"),
+    )

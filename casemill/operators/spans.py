@@ -38,3 +38,13 @@ def overlapping(found: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     x = labels.select(F.col(key).alias("_k"), F.col("kind").alias("_kind"), F.col("start").alias("_s"), F.col("end").alias("_e"))
     on = (F.col(key) == F.col("_k")) & (F.col("kind") == F.col("_kind")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
     return found.join(x, on, "left_semi")
+
+
+def recall_by_kind(labels: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(kind, n_labels, n_found, n_hits, n_right, recall, precision, passed): a label counts if one hit of its kind covers it,
+    a hit is right if it overlaps a label of its kind; kinds without labels or hits have share 1, and pass if all labels are found."""
+    n = lambda df, name: df.groupBy("kind").agg(F.count("*").alias(name))
+    both = n(labels, "n_labels").join(n(contained(labels, found, key), "n_found"), "kind", "left").join(n(found, "n_hits"), "kind", "full").join(n(overlapping(found, labels, key), "n_right"), "kind", "left")
+    out = both.select("kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_labels", "n_found", "n_hits", "n_right")])
+    share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.col(a) / F.col(b))
+    return out.withColumns({"recall": share("n_found", "n_labels"), "precision": share("n_right", "n_hits"), "passed": F.col("n_found") == F.col("n_labels")})

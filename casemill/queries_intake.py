@@ -277,7 +277,7 @@ def minted_tokens(t):
 
 @query(
     """select o_orderkey, datediff('day', date '1995-06-17', o_orderdate::date)::bigint as days, strftime(o_orderdate, '%d.%m.%Y') as day,
- case when o_orderkey % 3 = 0 then strftime(o_orderdate, '19%y-%m-%d') end as born, case when s < 3600 then s // 60 || ' min' when s < 172800 then s // 3600 || ' h' else s // 86400 || ' d' end as age,
+ case when o_orderkey % 3 = 0 then try_cast(strftime(o_orderdate, '19%y-%m-%d') as date)::varchar end as born, case when s < 3600 then s // 60 || ' min' when s < 172800 then s // 3600 || ' h' else s // 86400 || ' d' end as age,
  greatest(0, 86400 * (o_orderkey % 5 - 2))::bigint as waited from (select *, (epoch(timestamp '1998-08-03 00:00:00') - epoch(o_orderdate))::bigint as s from orders)"""
 )
 def date_functions(t):
