@@ -226,3 +226,16 @@ def as_text(payload: Column, path: str) -> Column:
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(F.try_parse_json(payload), f"$.{path}", "string"))
 
 
+def mapped_payload(df: DataFrame, payload: str, paths: Mapping[str, str]) -> DataFrame:
+    """Adds ``records`` (field, value, origin, confidence 1) of the fields whose path holds a scalar, and ``discarded``, the others' names."""
+    from casemill.functions.paths import json_path
+
+    each = F.array(*[F.struct(F.lit(name).alias("field"), json_path(F.col(payload), path).alias("value"), F.lit(path).alias("origin"), F.lit(1.0).alias("confidence")) for name, path in paths.items()])
+    df = df.withColumn("_mapped", each)
+    missed = F.transform(F.filter("_mapped", lambda x: x["value"].isNull()), lambda x: x["field"])
+    return df.withColumns({"records": F.filter("_mapped", lambda x: x["value"].isNotNull()), "discarded": missed}).drop("_mapped")
+
+
+def panel_value(report: Column, path: str) -> Column:
+    """The scalar at a key path of a JSON report, or "-"."""
+    return F.coalesce(F.try_variant_get(F.try_parse_json(report), f"$.{path}", "string"), F.lit("-"))

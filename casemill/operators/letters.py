@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -43,6 +44,9 @@ def letters(df: DataFrame, template: str, declared: Sequence[str], values: Mappi
 
 def notifications(events: DataFrame, done: DataFrame, templates: Mapping[str, str], values: Mapping[str, Column]) -> DataFrame:
     """Owed messages: events with a template that were not notified yet; a rendered placeholder is refused (null text)."""
+    for template in templates.values():
+        if unknown := set(re.findall(r"\{(\w+)\}", template)) - set(values):
+            raise ValueError(f"a message names unknown values: {sorted(unknown)}")
     known = events.where(F.col("type").isin(*templates)).join(done.select(F.col("source_event_id").alias("event_id")), "event_id", "left_anti")
     out = F.lit(None).cast("string")
     for kind, template in templates.items():
@@ -85,3 +89,12 @@ def dispatch_facts(cases: DataFrame, sent: Column, window_days: int, holidays: S
     df = df.withColumn("deadline", F.when(is_request, next_working_day(F.date_add(F.col("delivered"), window_days), holidays)))
     shifts = F.concat(shifted_days(raw, holidays), shifted_days(F.date_add(F.col("delivered"), window_days), holidays))
     return df.withColumn("shifted", F.when(is_request, shifts))
+
+
+def gap_message(gap: Column, values: Mapping[str, Column], hidden: Sequence[str] = ()) -> Column:
+    """What is wrong with a value, quoting it unless its field is sealed."""
+    out = F.lit(None).cast("string")
+    for name, value in values.items():
+        shown = F.lit("") if name in hidden else F.concat(F.lit(" "), F.coalesce(value.cast("string"), F.lit("")))
+        out = F.when(gap["requirement_id"] == name, F.concat(F.lit(name), shown, F.lit(" failed "), gap["failed"])).otherwise(out)
+    return out

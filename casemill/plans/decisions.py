@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .rules import RuleError, compile_rule
 
@@ -71,3 +74,10 @@ def audit_sample(df: DataFrame, key: str, rate: float, salt: str, tier: str) ->
     """Adds ``sampled``, and raises the tier of sampled items below 3; off without a rate or a salt."""
     hit = F.lit(False) if rate <= 0 or not salt else (draw(F.col(key), salt) < rate) & (F.col(tier) < 3)
     return df.withColumn("sampled", hit).withColumn(tier, F.when(F.col("sampled"), F.lit(3)).otherwise(F.col(tier)))
+
+
+@F.pandas_udf(T.DoubleType())
+def keyed_draw(key: pd.Series, salt: pd.Series) -> pd.Series:
+    """A draw in [0, 1) from the first eight bytes of a keyed BLAKE2b hash, which no native function has."""
+    at = lambda k, s: int.from_bytes(hashlib.blake2b(str(k).encode(), key=str(s).encode()[:64], digest_size=8).digest(), "big") / 2**64
+    return pd.Series([at(k, s) for k, s in zip(key, salt, strict=True)], dtype="float64")

@@ -56,3 +56,10 @@ def canonical_json(payload: pd.Series) -> pd.Series:
 
 def payload_digest(payload: Column) -> Column:
     return F.sha2(canonical_json(payload), 256)
+
+
+def received_events(found: DataFrame, now: Column, types: tuple[str, ...] = ("RECEIVED",)) -> DataFrame:
+    """A journal's first events of submissions (submissionId, submittedAt): case_id, created_at (or else ``now``), sequence, type, event_id."""
+    rows = found.select("submissionId", F.concat(F.lit("case-"), F.col("submissionId")).alias("case_id"), F.coalesce("submittedAt", now).alias("created_at"), F.posexplode(F.array(*[F.lit(t) for t in types])).alias("_i", "type"))
+    rows = rows.withColumn("sequence", F.col("_i").cast("long")).drop("_i")
+    return rows.withColumn("event_id", F.substring(F.sha2(F.concat_ws("|", "case_id", F.col("sequence").cast("string")), 256), 1, 32))

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from casemill import queries_evaluation, queries_intake  # noqa: F401  register their queries
+from casemill import queries_boundary, queries_evaluation, queries_intake  # noqa: F401  register their queries
 from casemill.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
