@@ -101,7 +101,7 @@ def flagged(df: DataFrame, score: str, threshold: float, reasons: str) -> DataFr
 
 def reason_sentence(reason: Column) -> Column:
     sign = F.when(reason["contribution"] >= 0, "+").otherwise("-")
-    return F.concat(reason["feature"], F.lit(": observed "), reason["observed"], F.lit("; expected "), reason["expected"], F.lit("; contribution "), sign, F.format_number(F.abs(reason["contribution"]), "0.000"), F.lit("."))
+    return F.concat(reason["feature"], F.lit(": observed "), reason["observed"], F.lit("; expected "), reason["expected"], F.lit("; contribution "), sign, F.format_number(F.abs(reason["contribution"]), 3), F.lit("."))
 
 
 def evidence_or_degraded(df: DataFrame, score: str, degraded: str) -> DataFrame:
