@@ -64,7 +64,7 @@ def text_layer(t):
 
 
 @query(
-    "select o_orderkey, 'case-' || o_orderkey as case_id, case when o_orderkey % 3 = 0 then '2030-01-01' else strftime(o_orderdate, '%Y-%m-%d') end as created, sequence, type from orders, (select unnest([0, 1]) as sequence, unnest(['RECEIVED', 'SEALED']) as type)"
+    "select o_orderkey, 'case-' || o_orderkey as case_id, case when o_orderkey % 3 = 0 then '2030-01-01' else strftime(o_orderdate, '%Y-%m-%d') end as created, sequence::bigint as sequence, type from orders, (select unnest([0, 1]) as sequence, unnest(['RECEIVED', 'SEALED']) as type)"
 )
 def ingest_journal(t):
     s = t("orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("submissionId"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderdate").cast("timestamp")).alias("submittedAt"))
@@ -164,12 +164,13 @@ def calibrated_scores(t):
 @query(
     """with e as (select user_id, ts, case when epoch_us(ts) - epoch_us(lag(ts) over w) < 86400000000 then 0 else 1 end as fresh from events window w as (partition by user_id order by ts)),
  g as (select *, sum(fresh) over (partition by user_id order by ts rows between unbounded preceding and current row) as g from e)
- select user_id, min(ts) as first_at, max(ts) + interval 1 day as expires_at, count(*) as n from g group by user_id, g"""
+ select user_id, epoch_us(min(ts)) as first_at, epoch_us(max(ts) + interval 1 day) as expires_at, count(*) as n from g group by user_id, g"""
 )
 def live_sessions(t):
     from casemill.streaming import folds
 
-    return folds.live_sessions(t("events"), "user_id", "ts", "1 day")
+    found = folds.live_sessions(t("events"), "user_id", "ts", "1 day")
+    return found.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("first_at", "expires_at")})
 
 
 def _stream_owed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,11 +216,12 @@ def queue_flags(t):
 
 @query(
     """with a as (select event_id, user_id, ts from events where event_type = 'signup'), b as (select event_id, user_id, ts from events where event_type = 'purchase')
- select a.user_id, a.ts as left_at, b.ts as right_at from a join b on a.user_id = b.user_id and b.ts <= a.ts + interval 30 minute and a.ts <= b.ts + interval 30 minute"""
+ select a.user_id, epoch_us(a.ts) as left_at, epoch_us(b.ts) as right_at from a join b on a.user_id = b.user_id and b.ts <= a.ts + interval 30 minute and a.ts <= b.ts + interval 30 minute"""
 )
 def two_party_pairs(t):
     e = t("events")
-    return context.correlated(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", "ts", "30 minutes").withColumnRenamed("token", "user_id")
+    found = context.correlated(e.where("event_type = 'signup'"), e.where("event_type = 'purchase'"), "user_id", "ts", "30 minutes").withColumnRenamed("token", "user_id")
+    return found.withColumns({c: F.unix_micros(F.col(c).cast("timestamp")) for c in ("left_at", "right_at")})
 
 
 # --- evaluation ------------------------------------------------------------------------------

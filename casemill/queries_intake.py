@@ -88,7 +88,7 @@ def identity_paths(t):
 
 
 @query(
-    "select c_custkey, case when c_custkey % 2 = 0 then c_nationkey end as n, case when c_custkey % 3 = 0 then c_mktsegment end as s from customer"
+    "select c_custkey, case when c_custkey % 2 = 0 then c_nationkey end::bigint as n, case when c_custkey % 3 = 0 then c_mktsegment end as s from customer"
 )
 def defensive_casts(t):
     k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
