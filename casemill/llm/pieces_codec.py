@@ -282,12 +282,10 @@ class Codec:
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        fresh = []
-        for x in stretches.difference(known):
-            if (ids := older.get(x)) is not None:
-                known[x] = ids
-            elif len(x) <= KEPT_LENGTH:
-                fresh.append(x)
+        new = stretches.difference(known)
+        again = new.intersection(older)
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        fresh = [x for x in new.difference(again) if len(x) <= KEPT_LENGTH]
         fresh.sort(key=len)
         for at in range(0, len(fresh), TOGETHER):
             part = fresh[at : at + TOGETHER]
