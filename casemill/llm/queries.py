@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, pseudonyms, rule_ensemble, secrets, training_order
+from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, prefix_trie, pseudonyms, rule_ensemble, secrets, training_order
 from .shared import documents
 from .text_stats import with_counts
 
@@ -75,6 +75,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6_secret_scan that fixed patterns give, for comparison with SQL."""
     return op6_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -132,6 +136,28 @@ n as (
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from n
 """
 
+#: CRC-32 of a decimal number, byte by byte and bit by bit.
+CRC_SQL = "xor(list_reduce([4294967295::bigint] || list_transform(string_split({0}::varchar, ''), lambda x: ascii(x)::bigint), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+TRIE_SQL = f"""
+with own as (select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, role, text) as k from conversations where conv_id is not null),
+convs as (select c, {CRC_SQL.format("c")} % 6 as h from (select distinct c from own)),
+rebuilt as (
+  select convs.c, 1 as part, k, role, text from convs join own on own.c = convs.c - convs.c % 100 and k <= h
+  union all select convs.c, 2, k, role, text from convs join own on own.c = convs.c and k > h),
+placed as (select c, length(text) as n, sha256(length(role) || ':' || role || text) as turn, row_number() over (partition by c order by part, k) as d from rebuilt),
+prefixes as (
+  select c, d, n, sha256(string_agg(turn, '') over (partition by c order by d)) as node, case when d = 1 then '' else sha256(string_agg(turn, '') over (partition by c order by d rows between unbounded preceding and 1 preceding)) end as parent from placed
+  union all select c, 0, 0, '', null from convs),
+nodes as (select node, any_value(parent) as parent, any_value(d) as depth, any_value(n) as n, count(*) as members, min(c) as smallest from prefixes group by 1),
+children as (select parent as node, count(*) as children from nodes where parent is not null group by 1),
+ends as (select node, sha256(string_agg(c::varchar, ',' order by c)) as ends from (select *, max(d) over (partition by c) as last from prefixes) where d = last group by 1),
+below as (select distinct a.node, b.node as inner_node from prefixes a join prefixes b on a.c = b.c and b.d >= a.d),
+sums as (select below.node, count(*) filter (children is null) as leaves, sum((members - 1) * n) as saved from below join nodes i on i.node = inner_node left join children k on k.node = inner_node group by 1)
+select v.smallest as conv_id, v.depth::bigint as depth, p.smallest as parent_conv_id, v.members::bigint as n_convs, coalesce(children, 0)::bigint as n_children, leaves::bigint as n_leaves, saved::bigint as saved_tokens,
+  coalesce(ends, sha256('')) as ends_sha256
+from nodes v join sums on sums.node = v.node left join nodes p on p.node = v.parent left join children k on k.node = v.node left join ends e on e.node = v.node
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -145,11 +171,12 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_nearest": op10_nearest,
+        "op13_prefix_trie": op13_prefix_trie,
         "secret_base_spans": secret_base_spans,
         "quality_base_counts": quality_base_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """What SQL can tell: mixing whole, and the parts of operators 6 and 8 that no model enters."""
-    return {"op9_mix_sources": MIX_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
+    """What SQL can tell: mixing and the prefix trie whole, and the parts of operators 6 and 8 that no model enters."""
+    return {"op9_mix_sources": MIX_SQL, "op13_prefix_trie": TRIE_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
