@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, prefix_trie, pseudonyms, rule_ensemble, secrets, training_order
+from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, prefix_trie, pseudonyms, rule_ensemble, secrets, source_divergence, training_order
 from .shared import documents
 from .text_stats import with_counts
 
@@ -75,6 +75,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(documents(spark, sf_dir, "lang", "source", "text"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -136,6 +140,24 @@ n as (
 select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from n
 """
 
+DIVERGENCE_SQL = r"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as lang_n from t group by all having count(distinct id) >= 10),
+v as (select lang, count(*) as v, sum(lang_n)::hugeint as n from kept group by 1),
+own as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+groups as (select lang, source, coalesce(sum(n), 0)::hugeint as total from (select distinct lang, source from d) left join own using (lang, source) group by all),
+p as (
+  select g.lang, g.source, k.term, coalesce(o.n, 0) as n, 1 + 1000000000::hugeint * (coalesce(o.n, 0) + 2) // (total + 2 * v) as p, 1 + 1000000000::hugeint * (lang_n + 2) // (v.n + 2 * v) as q
+  from groups g join v on v.lang = g.lang join kept k on k.lang = g.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(s.value, 0) as value from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source, y.source as item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) as value from p x join p y on x.lang = y.lang and x.term = y.term group by all) s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+ahead as (select lang, source, term as item, (p - q) * (p - q) // (p + q) as value from p where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value::bigint as value, (row_number() over (partition by lang, source order by value desc, item))::int as rank from pairs
+union all select * from (select lang, source, 'term', item, value::bigint, (row_number() over (partition by lang, source order by value desc, item))::int as rank from ahead) where rank <= 10
+"""
+
 #: CRC-32 of a decimal number, byte by byte and bit by bit.
 CRC_SQL = "xor(list_reduce([4294967295::bigint] || list_transform(string_split({0}::varchar, ''), lambda x: ascii(x)::bigint), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
 TRIE_SQL = f"""
@@ -171,6 +193,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_nearest": op10_nearest,
+        "op12_source_divergence": op12_source_divergence,
         "op13_prefix_trie": op13_prefix_trie,
         "secret_base_spans": secret_base_spans,
         "quality_base_counts": quality_base_counts,
@@ -178,5 +201,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """What SQL can tell: mixing and the prefix trie whole, and the parts of operators 6 and 8 that no model enters."""
-    return {"op9_mix_sources": MIX_SQL, "op13_prefix_trie": TRIE_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL}
+    """What SQL can tell: mixing, the divergence of sources and the prefix trie whole, and the parts of operators 6 and 8 that no model enters."""
+    return {"op9_mix_sources": MIX_SQL, "op12_source_divergence": DIVERGENCE_SQL, "op13_prefix_trie": TRIE_SQL, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL}

@@ -3,11 +3,12 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import pytest
 
-from casemill.llm import prefix_trie
+from casemill.llm import prefix_trie, source_divergence
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -80,3 +81,67 @@ def test_trie_without_rows_and_with_clashing_names(spark):
     assert trie_rows(spark, []) == []
     df = spark.createDataFrame([(1, 0, "user", "a", 5, "x")], TURNS + ", family long, node string")
     assert prefix_trie.prefix_trie(df).count() >= 1
+
+
+TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+DOCS = "doc_id long, text string, lang string, source string"
+
+
+def plain_divergence(rows, least=10, top=10):
+    n, documents, groups = collections.Counter(), collections.Counter(), set()
+    for _, text, lang, source in rows:
+        lang, source, found = lang or "", source or "", TERM.findall((text or "").translate(LOWER))
+        groups.add((lang, source))
+        n.update((lang, source, t) for t in found)
+        documents.update((lang, t) for t in set(found))
+    out = set()
+    for lang in {g[0] for g in groups}:
+        kept = [t for (g, t), d in documents.items() if g == lang and d >= least]
+        own = {g: {t: n[(*g, t)] for t in kept} for g in groups if g[0] == lang}
+        whole = {t: sum(c[t] for c in own.values()) for t in kept}
+        share = lambda c: {t: 1 + 1_000_000_000 * (x + 2) // (sum(c.values()) + 2 * len(kept)) for t, x in c.items()}
+        f = lambda p, q: (p - q) ** 2 // (p + q)
+        p, q = {g: share(c) for g, c in own.items()}, share(whole)
+        for g in own:
+            pairs = sorted((-sum(f(p[g][t], p[h][t]) for t in kept), h[1].encode()) for h in own if h != g)
+            terms = sorted((-f(p[g][t], q[t]), t.encode()) for t in kept if own[g][t] and p[g][t] > q[t])[:top]
+            out |= {(*g, part, item.decode(), -v, i + 1) for part, found in (("pair", pairs), ("term", terms)) for i, (v, item) in enumerate(found)}
+    return out
+
+
+def divergence_docs():
+    rand = random.Random(9)
+    terms = ["The", "of", "größe", "x", "Ärger", "\u0085odd", "don't", "a1b", "\U0001f600", *[f"w{chr(97 + i)}" for i in range(20)]]
+    rows = []
+    for i in range(160):
+        lang, k = rand.choice(["en", "de", None]), rand.randrange(7)
+        rows.append((i, " ".join(rand.choices(terms[k:], k=rand.randrange(0, 40))), lang, f"s{k}" if k else None))
+    rows += [rows[0], rows[0], (None, None, "fr", "only"), (7, "", "en", "s9"), (8, "1 2 3", "en", "S1"), (9, "The " * 3000, "en", "s1")]
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{}, {"block": 2, "slice": 3, "heavy": 2, "held": 30, "piece": 16}, {"heavy": 0}, {"heavy": 100, "held": 5}])
+@pytest.mark.parametrize("least", [3, 10, 10_000])
+def test_divergence(spark, settings, least):
+    rows = divergence_docs()
+    got = source_divergence.divergence(spark.createDataFrame(rows, DOCS), source_divergence.Settings(least_documents=least, **settings))
+    assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
+    rows_got = [tuple(r) for r in got.collect()]
+    assert len(rows_got) == len(set(rows_got)) and set(rows_got) == plain_divergence(rows, least)
+
+
+def test_divergence_with_one_hot_source_and_without_rows(spark):
+    rows = [(i, "the same words " * 5, "en", "hot" if i % 3 else f"s{i % 40}") for i in range(900)]
+    got = source_divergence.divergence(spark.createDataFrame(rows, DOCS))
+    assert {tuple(r) for r in got.collect()} == plain_divergence(rows)
+    assert source_divergence.divergence(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_shares_are_exact_beyond_doubles(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(n, total) for n in (0, 1, 10**15, 9 * 10**18 - 7) for total in (1, 3, 10**16 + 1, 9 * 10**18) if n <= total]
+    df = spark.createDataFrame(rows, "n long, total long")
+    for n, total, share in df.select("n", "total", source_divergence.share(F.col("n"), F.col("total"))).collect():
+        assert share == 1 + 1_000_000_000 * (n + 2) // total
