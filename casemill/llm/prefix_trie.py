@@ -84,26 +84,27 @@ def _family_trie(base: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
     """The nodes of one family; a parent stands before its children."""
     if own.empty:
         return _nothing(NODES)
-    lend = list(_in_order(base)[["digest", "chars"]].itertuples(index=False, name=None))
-    own = _in_order(own)
+    base, own = _in_order(base), _in_order(own)
+    lend = list(zip(map(bytes, base["digest"]), base["chars"].tolist(), strict=True))
+    said = list(zip(map(bytes, own["digest"]), own["chars"].tolist(), strict=True))
+    convs, lent = own["conv_id"].to_numpy(), own["lent"].to_numpy()
+    starts = [0, *(np.flatnonzero(convs[1:] != convs[:-1]) + 1).tolist(), len(convs)]
     family = int(own["family"].iloc[0])
     place = {ROOT: 0}
-    node, parent, depth, chars, members, smallest, inner, ends = [ROOT], [None], [0], [0], [0], [None], [False], [[]]
-    for conv, mine in own.groupby("conv_id", sort=True):
-        h = int(mine["lent"].iloc[0])
-        path = [*lend[:h], *list(mine[["digest", "chars"]].itertuples(index=False, name=None))[h:]]
+    node, parent, depth, chars, members, smallest, inner, ends = [ROOT], [None], [0], [0], [0], [int(convs[0])], [False], [[]]
+    for begin, end in zip(starts, starts[1:], strict=False):
+        conv, h = int(convs[begin]), int(lent[begin])
         at, here = 0, ROOT
         members[0] += 1
-        smallest[0] = conv if smallest[0] is None else smallest[0]
-        for turn, n in path:
-            above, here = here, hashlib.blake2b(here + bytes(turn), digest_size=16).digest()
+        for turn, n in [*lend[:h], *said[begin:end][h:]]:
+            above, here = here, hashlib.blake2b(here + turn, digest_size=16).digest()
             inner[at] = True
             if here not in place:
                 place[here] = len(node)
                 node.append(here), parent.append(above), depth.append(depth[at] + 1), chars.append(n), members.append(0), smallest.append(conv), inner.append(False), ends.append([])
             at = place[here]
             members[at] += 1
-        ends[at].append(int(conv))
+        ends[at].append(conv)
     return pd.DataFrame({"family": family, "node": node, "parent": parent, "depth": depth, "chars": chars, "members": members, "smallest": smallest, "inner": inner, "ends": ends})
 
 
