@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, prefix_trie, pseudonyms, rule_ensemble, secrets, source_divergence, training_order
+from . import class_ngrams, decision_list, mixing, near_duplicates, nn_descent, pieces_codec, prefix_trie, pseudonyms, rule_ensemble, secrets, source_divergence, toxicity, training_order
 from .shared import documents
 from .text_stats import with_counts
 
@@ -75,6 +75,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir, "doc_id", "text"), labels(spark, sf_dir))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence.divergence(documents(spark, sf_dir, "lang", "source", "text"))
 
@@ -193,6 +197,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_rules": op8_quality_rules,
         "op9_mix_sources": op9_mix_sources,
         "op10_nearest": op10_nearest,
+        "op11_toxicity": op11_toxicity,
         "op12_source_divergence": op12_source_divergence,
         "op13_prefix_trie": op13_prefix_trie,
         "secret_base_spans": secret_base_spans,

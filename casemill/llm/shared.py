@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,20 @@ WORD = rf"[^{SPACE}]+"
 #: Most rows of a table that may be broadcast; larger tables are shuffled.
 BROADCAST_ROWS = 20_000
 
+#: Bytes of UTF-8 that stand in words of letters (all of other alphabets among them), A-Z lowered; all others separate words.
+LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def letter_words(text: bytes, piece: int) -> Iterator[list[bytes]]:
+    """Words of letters of a text in UTF-8, in pieces of some ``piece`` bytes that end between words."""
+    plain = text.translate(LETTERS)
+    begin = 0
+    while begin < len(plain):
+        end = plain.find(b" ", begin + piece)
+        end = len(plain) if end < 0 else end
+        yield plain[begin:end].split()
+        begin = end
+
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/casemill/{name}-{uuid.uuid4().hex}"

@@ -41,10 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import dropped, small, written
-
-#: Bytes of UTF-8 that stand in words (letters, and all of other alphabets), A-Z lowered; all others separate words.
-LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+from .shared import dropped, letter_words, small, written
 
 #: Shares are in parts of this.
 WHOLE = 1_000_000_000
@@ -70,16 +67,6 @@ COUNTED = "lang string, source string, term string, n long, documents long"
 PARTIAL = "lang string, a int, b int, value long"
 
 
-def _words(text: bytes, piece: int) -> Iterator[list[bytes]]:
-    plain = text.translate(LETTERS)
-    begin = 0
-    while begin < len(plain):
-        end = plain.find(b" ", begin + piece)
-        end = len(plain) if end < 0 else end
-        yield plain[begin:end].split()
-        begin = end
-
-
 def _counts(s: Settings):
     """Batches of (lang, source, text) as partial counts; a row with an empty term marks a source, with or without words."""
 
@@ -101,7 +88,7 @@ def _counts(s: Settings):
             for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
                 n, documents = held.setdefault((lang, source), (Counter(), Counter()))
                 before, own = len(n), set()
-                for words in _words(text.as_buffer().to_pybytes(), s.piece):
+                for words in letter_words(text.as_buffer().to_pybytes(), s.piece):
                     n.update(words)
                     own.update(words)
                 documents.update(own)

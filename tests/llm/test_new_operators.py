@@ -2,13 +2,15 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from casemill.llm import prefix_trie, source_divergence
+from casemill.llm import prefix_trie, source_divergence, toxicity
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -145,3 +147,93 @@ def test_shares_are_exact_beyond_doubles(spark):
     df = spark.createDataFrame(rows, "n long, total long")
     for n, total, share in df.select("n", "total", source_divergence.share(F.col("n"), F.col("total"))).collect():
         assert share == 1 + 1_000_000_000 * (n + 2) // total
+
+
+TOXIC = "doc_id long, toxic int"
+ABUSE = ["vilor", "vilorest", "vilora", "Krampus", "krampus"]
+
+
+def toxic_docs(n=900, seed=2):
+    rand = random.Random(seed)
+    plain = ["".join(rand.choices("abcdefghiklmnoprst", k=rand.randrange(2, 9))) for _ in range(400)]
+    rows, marks = [], {}
+    for i in range(n):
+        words = rand.choices(plain, k=rand.randrange(5, 120))
+        marks[i] = int(rand.random() < 0.15)
+        for _ in range(marks[i] * (1 + len(words) // 30)):
+            words.insert(rand.randrange(len(words)), rand.choice(ABUSE))
+        rows.append((i, " ".join(words), "en", "s"))
+    return rows, marks
+
+
+@pytest.fixture(scope="module")
+def toxic(spark):
+    rows, marks = toxic_docs()
+    rows += [(10_000, None, "en", "s"), (10_001, "", None, None), (None, "krampus vilor", "en", "s"), rows[3], (10_002, "plain " * 40_000 + "Krampus" * 3, "en", "s")]
+    labels = [(i, t) for i, t in marks.items() if i % 2] + [(None, 1), (5, None), (7, 9), (10_000, 0), (77_777, 1)]
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, TOXIC), rows, marks
+
+
+def held(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+
+
+def test_toxicity_finds_stems_on_held_out_rows(toxic):
+    docs, labels, rows, marks = toxic
+    got = toxicity.toxicity(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    out = got.collect()
+    assert len(out) == len(rows)
+    assert all(r["held_out"] == held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in out)
+    unseen = [(marks[r["doc_id"]], r["predicted"]) for r in out if r["doc_id"] in marks and held(r["doc_id"])]
+    assert sum(p for t, p in unseen if t) >= 0.95 * sum(t for t, _ in unseen)
+    assert sum(p for t, p in unseen if not t) <= 0.01 * len(unseen)
+    by_id = {r["doc_id"]: r["score"] for r in out}
+    assert by_id[10_000] == by_id[10_001] < 0.5 and by_id[None] > 0.5
+
+
+def test_toxicity_learns_from_no_held_out_label_and_in_any_layout(spark, toxic):
+    docs, labels, _, _ = toxic
+    turned = labels.withColumn("toxic", toxicity.F.when(toxicity.remainder(toxicity.F.col("doc_id"), 5) == 0, 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    a, b = toxicity.fit(docs, labels), toxicity.fit(docs.repartition(7), turned)
+    assert a.weights.keys() == b.weights.keys() and abs(a.intercept - b.intercept) < 1e-4
+    assert all(abs(a.weights[k] - b.weights[k]) < 1e-4 for k in a.weights)
+
+
+def test_toxicity_scores_as_plain_python_does(spark, toxic):
+    docs, _, rows, _ = toxic
+    model, s = toxicity.Model({"vil": 2.0, "krampus ": 3.5, "plain ": -0.5}, -1.0, 0.1), toxicity.Settings(known=3, piece=50)
+    got = [r["score"] for r in toxicity.scored(docs.coalesce(1), model, s).collect()]
+    for score, (_, text, *_) in zip(got, rows, strict=True):
+        words = TERM.findall((text or "").translate(LOWER))
+        n = {"vil": sum(w.startswith("vil") for w in words), "krampus ": words.count("krampus"), "plain ": words.count("plain")}
+        total = -1.0 + sum(model.weights[k] * math.log1p(100 * c / len(words)) for k, c in n.items() if c)
+        assert score == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def test_non_negative_risk_beats_taking_unlabelled_as_clean(spark):
+    rand = np.random.default_rng(3)
+    clean, bad = rand.normal(0, 1, (2000, 6)), rand.normal(1.6, 1, (2000, 6))
+    p, u = bad[:300].astype(np.float32), np.concatenate([clean[:1200], bad[300:700]]).astype(np.float32)
+    test = np.concatenate([clean[1200:], bad[1200:]]).astype(np.float32)
+    truth = np.r_[np.zeros(800), np.ones(800)] > 0
+    w, b = toxicity.train(p, u, 0.25, 1e-4)
+    right = ((test @ w + b > 0) == truth).mean()
+    naive_w, naive_b = toxicity.train(p, u, 300 / 1900, 1e-4)
+    assert right > 0.9 and right >= ((test @ naive_w + naive_b > 0) == truth).mean()
+    assert toxicity.sign_risk(np.array([1.0, -1.0]), np.array([1.0, -1.0, -1.0, -1.0]), 0.4) == pytest.approx(0.2 + 0.05)
+    assert toxicity.sign_risk(np.array([1.0]), np.array([-1.0]), 0.4) == 0.0
+
+
+def test_toxicity_without_positives_labels_or_rows(spark, toxic):
+    docs, labels, rows, _ = toxic
+    for marked in (labels.where("toxic = 0"), spark.createDataFrame([], TOXIC)):
+        assert {(r["score"], r["predicted"]) for r in toxicity.toxicity(docs, marked).collect()} == {(0.0, 0)}
+    assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_toxicity_learns_from_bounded_rows(spark):
+    rows = [(1, f"vilor number {i} {'w' * (i % 50)}", "en", "s") for i in range(20_000)] + [(i, "plain words here " * (i % 9), "en", "s") for i in range(2, 400)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 40)) for i in range(1, 300)], TOXIC)
+    sample, _ = toxicity._sample(docs, labels, toxicity.Settings(positives=10, unlabelled=50))
+    assert sample.count() <= 60 and sample.where("toxic").count() == 10
