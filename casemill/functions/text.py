@@ -14,14 +14,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casemill.functions.arrays import bound, running_sum
+
 #: Letters of a token, without vowels and look-alikes, and how many there are.
 ALPHABET = "BCDFGHJKMNPQRSTVWXZ23456789"
 TOKEN_LENGTH = 12
 PLACEHOLDER = rf"\[\[PII\|[A-Z]+\|[{ALPHABET}]{{{TOKEN_LENGTH}}}\]\]"
-#: What only looks like a placeholder, too.
+#: Fixed value: the syntax of what only looks like a placeholder, too.
 SHAPED = r"\[\[\s*PII\s*\|[^\]]{0,64}\]\]"
 #: All white space, of any script, and the separators of information.
 SPACE = r"[\p{IsWhite_Space}\x1c-\x1f]"
+#: Characters that end a line, of any script.
+BREAKS = "\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029"
+#: Stands around matches in a scanned copy; where the text has it, the copy has the other one.
+MARK, OTHER = "\x01", "\x02"
 
 
 def stripped(text: Column) -> Column:
@@ -36,7 +42,7 @@ def is_blank(text: Column) -> Column:
 
 def normal_text(text: Column) -> Column:
     """Line-break hyphens between letters go, white space becomes one space, ends are trimmed."""
-    joined = F.regexp_replace(text, rf"(?<=\p{{L}})-(?={SPACE}*[\r\n]){SPACE}+(?=\p{{L}})", "")
+    joined = F.regexp_replace(text, rf"(?<=\p{{L}})-(?={SPACE}*[{BREAKS}]){SPACE}+(?=\p{{L}})", "")
     return stripped(F.regexp_replace(joined, f"{SPACE}+", " "))
 
 
@@ -63,10 +69,26 @@ def placeholders(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({PLACEHOLDER})"), F.lit(1))
 
 
+def pieces(text: Column, pattern: str) -> Column:
+    """``text`` cut around all matches: text, match, text, ..., text.  A pattern can't match the two control characters."""
+    return F.split(F.regexp_replace(F.translate(text, MARK, OTHER), f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of all matches, in order; offsets in code points; empty for null."""
+
+    def placed(cut: Column) -> Column:
+        ends = running_sum(F.transform(cut, lambda x: F.length(x)))
+        found = F.transform(F.arrays_zip(cut.alias("value"), ends.alias("end")), lambda x, i: F.when(i % 2 == 1, F.struct((x["end"] - F.length(x["value"])).alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
+        return F.filter(found, lambda x: x.isNotNull())
+
+    return F.when(F.coalesce(text.rlike(pattern), F.lit(False)), bound(pieces(text, pattern), placed)).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
 def masked(text: Column, pattern: str = PLACEHOLDER) -> Column:
-    """Every match blanked by spaces of the same length, so that offsets stay."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    return F.aggregate(F.array_distinct(found), text, lambda acc, m: F.replace(acc, m, F.repeat(F.lit(" "), F.length(m))))
+    """Every match blanked, at its place, by spaces of the same length, so that offsets stay."""
+    blank = F.transform(pieces(text, pattern), lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    return F.when(text.rlike(pattern), F.array_join(blank, "")).otherwise(text)
 
 
 def indel_ratio(a: str, b: str) -> float:
@@ -150,7 +172,7 @@ def normalized(raw: str) -> tuple[str, list[int], list[int]]:
             while j < n and clusters[j][2].isspace():
                 j += 1
             gap = raw[end : clusters[j - 1][1]]
-            if j < n and ("\n" in gap or "\r" in gap) and clusters[j][2][:1].isalpha():
+            if j < n and any(c in BREAKS for c in gap) and clusters[j][2][:1].isalpha():
                 i = j
                 continue
             j = i + 1

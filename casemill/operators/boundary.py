@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,9 +16,10 @@ from casemill.functions import recognizers
 from casemill.functions.text import ALPHABET, PLACEHOLDER, TOKEN_LENGTH, is_blank, normal_text_map
 
 from .context import IdentityField, check_identity
-from .redact import residue, sealed
+from .redact import sealed, with_left_over
 
 ENTRIES = T.ArrayType(T.StructType().add("path", T.StringType()).add("kind", T.StringType()).add("value", T.StringType()).add("token", T.StringType()))
+HELD = re.compile(PLACEHOLDER)
 SEALED = T.StructType().add("payload", T.StringType()).add("entries", ENTRIES)
 
 
@@ -53,7 +55,7 @@ def seal_one(payload: str, case: str, fields: Sequence[IdentityField], salt: str
             continue
         else:
             value = _compact(raw) if isinstance(raw, bool) else str(raw).strip()
-            if not value or recognizers.HELD.fullmatch(value):
+            if not value or HELD.fullmatch(value):
                 continue
         parent[key] = token_of(f.kind, case, value, salt)
         entries.append((f.path, f.kind, value, parent[key]))
@@ -83,9 +85,9 @@ def passed(df: DataFrame, case: str, text: str, salt: str) -> DataFrame:
     second = sealed(first.withColumn("_again", again), case, "_again", salt)
     both = F.array_union("_entries", F.filter("entries", lambda e: ~e["value"].rlike(PLACEHOLDER)))
     second = second.withColumns({"entries": F.when(F.col("_refused"), both).otherwise(F.col("_entries")), "sealed_text": F.when(F.col("_refused"), F.col("sealed_text")).otherwise(F.col("_text"))})
-    left = F.when(F.col("_refused"), residue("sealed_text", F.size("entries"))).otherwise(F.lit(False))
-    second = second.withColumn("outcome", F.when(left, "rejected").when(F.size("entries") > 0, "sealed").otherwise("clean"))
-    return second.withColumn("sealed_text", F.when(F.col("outcome") != "rejected", F.col("sealed_text"))).drop("_text", "_entries", "_refused", "_again", "refused")
+    second = with_left_over(second, "sealed_text", "entries", "_left")
+    second = second.withColumn("outcome", F.when(F.col("_refused") & F.col("_left"), "rejected").when(F.size("entries") > 0, "sealed").otherwise("clean"))
+    return second.withColumn("sealed_text", F.when(F.col("outcome") != "rejected", F.col("sealed_text"))).drop("_text", "_entries", "_refused", "_again", "_left", "refused")
 
 
 def rejected(passed_cases: DataFrame, case: str) -> DataFrame:
@@ -98,17 +100,7 @@ def text_layer(parts: DataFrame, text: str) -> DataFrame:
     return parts.where(~is_blank(F.col(text))).withColumn("normalized", normal_text_map(text))
 
 
-@F.udtf(returnType=T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("value", T.StringType()))
-class FindSpans:
-    """A row for each span of personal data of a text."""
-
-    def eval(self, text: str) -> Iterator[tuple[int, int, str, str]]:
-        yield from recognizers.merged(recognizers.scan(text or "", recognizers.REDACT), text or "")
-
-
-def span_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start, end, kind): spans as a table function gives them; values stay inside."""
-    spark = docs.sparkSession
-    spark.udtf.register("find_spans", FindSpans)
-    docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).createOrReplaceTempView("_span_docs")
-    return spark.sql("select d._key, s.start, s.end, s.kind from _span_docs d, lateral find_spans(d._text) s").withColumnRenamed("_key", key)
+def span_rows(docs: DataFrame, key: str, text: str, profile: str = recognizers.REDACT) -> DataFrame:
+    """(key, start, end, kind, name, evidence): a row for each span of personal data; values stay inside."""
+    found = recognizers.spans(docs.select(key, F.col(text).alias("_text")), "_text", "_spans", profile)
+    return found.select(key, F.explode("_spans").alias("s")).select(key, *[f"s.{c}" for c in ("start", "end", "kind", "name", "evidence")])

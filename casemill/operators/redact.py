@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from casemill.functions import recognizers
-from casemill.functions.text import ALPHABET, PLACEHOLDER, SHAPED, TOKEN_LENGTH, placeholders
+from casemill.functions.arrays import settled
+from casemill.functions.text import ALPHABET, PLACEHOLDER, TOKEN_LENGTH, placeholders
 
 #: Plain patterns that native queries use; sealing takes all recognizers.
 SWEEP: Mapping[str, str] = {
@@ -30,45 +29,33 @@ def token(kind: Column, case: Column, value: Column, salt: str) -> Column:
     return F.concat(F.lit("[[PII|"), kind, F.lit("|"), *letters, F.lit("]]"))
 
 
-SPANS = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("kind", T.StringType()).add("value", T.StringType()))
-
-
-@F.pandas_udf(SPANS)
-def detections(text: pd.Series) -> pd.Series:
-    """All that the REDACT profile finds, also where spans overlap."""
-    return text.map(lambda x: recognizers.scan(x or "", recognizers.REDACT))
-
-
-@F.pandas_udf(SPANS)
-def seal_spans(text: pd.Series) -> pd.Series:
-    """What is sealed: spans in order that don't overlap."""
-    return text.map(lambda x: recognizers.merged(recognizers.scan(x or "", recognizers.REDACT), x or ""))
-
-
-@F.pandas_udf(T.BooleanType())
-def residue(text: pd.Series, n_sealed: pd.Series) -> pd.Series:
-    return pd.Series([recognizers.residue(x or "", n) for x, n in zip(text, n_sealed, strict=True)], dtype=bool)
-
-
-def findings(text: Column) -> Column:
-    """array<struct<kind, value>> of the different values that the recognizers find."""
-    return F.array_distinct(F.transform(detections(text), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"))))
+def with_findings(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds ``out``: array<struct<kind, value>> of the different values that the recognizers find."""
+    df = recognizers.with_hits(df, F.col(text), out)
+    return df.withColumn(out, F.array_distinct(F.transform(out, lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value")))))
 
 
 def sealed(docs: DataFrame, case: str, text: str, salt: str) -> DataFrame:
     """Adds ``entries`` (kind, value, token), ``sealed_text`` and ``refused`` (a sweep of the result still finds something).
 
-    Raw text and entries stay in one row, so both can be dropped before anything is written.
+    Raw text and entries stay in one row, so both can be dropped before anything is written.  Where nothing was sealed, the
+    sweep could only find imitations of placeholders.
     """
-    df = docs.withColumn("_spans", seal_spans(F.col(text)))
+    df = recognizers.spans(docs, text, "_spans")
     minted = F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value"), token(x["kind"], F.col(case), x["value"], salt).alias("token")))
-    df = df.withColumn("_spans", minted)
+    df = df.withColumn("_spans", settled(minted))
     df = df.withColumn("entries", F.array_distinct(F.transform("_spans", lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), x["token"].alias("token")))))
     before = lambda i: F.when(i > 0, F.get("_spans", i - 1)["end"]).otherwise(0)
     parts = F.transform("_spans", lambda x, i: F.concat(F.substr(F.col(text), before(i) + 1, x["start"] - before(i)), x["token"]))
     rest = F.substr(F.col(text), before(F.size("_spans")) + 1)
-    df = df.withColumn("sealed_text", F.when(F.size("_spans") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest)))
-    return df.drop("_spans").withColumn("refused", residue("sealed_text", F.size("entries")))
+    df = df.withColumn("sealed_text", settled(F.when(F.size("_spans") == 0, F.col(text)).otherwise(F.concat(F.array_join(parts, ""), rest))))
+    return with_left_over(df.drop("_spans"), "sealed_text", "entries", "refused")
+
+
+def with_left_over(df: DataFrame, text: str, entries: str, out: str) -> DataFrame:
+    """Adds ``out``: whether a sweep of sealed text still finds something."""
+    swept = F.when((F.size(entries) > 0) | F.contains(text, F.lit("[[")), F.col(text))
+    return recognizers.with_residue(df.withColumn("_swept", F.coalesce(swept, F.lit(""))), F.col("_swept"), out).drop("_swept")
 
 
 def vault(sealed_docs: DataFrame, case: str) -> DataFrame:
@@ -76,21 +63,28 @@ def vault(sealed_docs: DataFrame, case: str) -> DataFrame:
     return sealed_docs.select(case, F.explode("entries").alias("e")).select(case, "e.kind", "e.value", "e.token")
 
 
+def _with_entries(texts: DataFrame, entries: DataFrame, case: str, text: str, *more: Column) -> DataFrame:
+    """Adds ``_held`` (token -> value of the case) where the text has placeholders; other rows and their texts are not shuffled.
+
+    A null case is a case like any other.
+    """
+    held = entries.groupBy(F.col(case).alias("_case")).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value")))).alias("_held"), *more)
+    some = F.coalesce(F.col(text).rlike(PLACEHOLDER), F.lit(False))
+    asked = texts.where(some).join(held, F.col(case).eqNullSafe(F.col("_case")), "left").drop("_case")
+    return asked.unionByName(texts.where(~some), allowMissingColumns=True)
+
+
 def rehydrated(texts: DataFrame, entries: DataFrame, case: str, text: str) -> DataFrame:
     """Adds ``plain``: placeholders replaced by the case's values; null if one is unknown ("whole or nothing")."""
-    held = entries.groupBy(case).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value")))).alias("_held"))
-    joined = texts.join(held, case, "left")
+    joined = _with_entries(texts, entries, case, text)
     found = placeholders(F.col(text))
     value = lambda t: F.element_at(F.coalesce("_held", F.expr("map('', '')")), t)
     unknown = F.exists(found, lambda t: value(t).isNull())
     plain = F.aggregate(F.array_distinct(found), F.col(text), lambda acc, t: F.replace(acc, t, value(t)))
-    return joined.withColumn("plain", F.when(~unknown, plain)).drop("_held")
+    return joined.withColumn("plain", F.when(F.size(found) == 0, F.col(text)).when(~unknown, plain)).drop("_held")
 
 
-def imitated(text: Column) -> Column:
-    """Whether something that only looks like a placeholder is left once the true ones are blanked."""
-    rest = F.regexp_replace(text, PLACEHOLDER, " ")
-    return F.coalesce(rest.rlike(SHAPED) | F.contains(rest, F.lit("[[PII")), F.lit(False))
+imitated = recognizers.imitations
 
 
 def minted(df: DataFrame, case: str, kind: Column, value: Column, salt: str, *texts: Column) -> DataFrame:
@@ -105,8 +99,7 @@ def minted(df: DataFrame, case: str, kind: Column, value: Column, salt: str, *te
 def rehydrated_or_refused(texts: DataFrame, entries: DataFrame, case: str, text: str) -> DataFrame:
     """Adds ``refusal`` and ``plain``: an imitation of a placeholder, a token of another kind or an unknown token refuses the
     whole text; else every placeholder is replaced, and none is left."""
-    held = entries.groupBy(case).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("token", "value")))).alias("_held"), F.collect_set(F.regexp_extract("token", r"([^|]{12})\]\]$", 1)).alias("_letters"))
-    joined = texts.join(held, case, "left")
+    joined = _with_entries(texts, entries, case, text, F.collect_set(F.regexp_extract("token", r"([^|]{12})\]\]$", 1)).alias("_letters"))
     found = F.array_distinct(placeholders(F.col(text)))
     value = lambda t: F.element_at(F.coalesce("_held", F.expr("map('', '')")), t)
     letters = lambda t: F.regexp_extract(t, r"([^|]{12})\]\]$", 1)

@@ -11,7 +11,7 @@ from casemill.functions import checksums, dates, paths, text
 from casemill.operators import actions, evaluate, evidence, journal, letters, redact, review, scoring, spans
 from casemill.plans import decisions
 from casemill.plans.rules import filter_rule
-from casemill.session import shared_folder
+from casemill.session import shared_folder, stored
 from casemill.sources import handover
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -534,7 +534,7 @@ def pii_scan_email(t):
 
 @query()
 def pii_counts_by_kind(t):
-    found = t("documents").select("doc_id", F.explode(redact.findings(F.col("text"))).alias("f")).select("doc_id", "f.*")
+    found = redact.with_findings(t("documents").select("doc_id", "text"), "text", "found").select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
     return found.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -632,7 +632,7 @@ def seal_and_vault(t):
 
 @query("select doc_id, md5(text) as digest from documents")
 def rehydrate_roundtrip(t):
-    s = redact.sealed(t("documents").select("doc_id", "text"), "doc_id", "text", "salt")
+    s = stored(redact.sealed(t("documents").select("doc_id", "text"), "doc_id", "text", "salt").select("doc_id", "sealed_text", "entries"), "sealed")
     back = redact.rehydrated(s.select("doc_id", "sealed_text"), redact.vault(s, "doc_id"), "doc_id", "sealed_text")
     return back.select("doc_id", F.md5("plain").alias("digest"))
 

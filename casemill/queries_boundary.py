@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.functions import text
+from casemill.functions import checksums, text
 from casemill.functions.text import ALPHABET, TOKEN_LENGTH
-from casemill.operators import boundary, context, evaluate, evidence, letters
+from casemill.operators import boundary, context, evaluate, evidence, letters, recall
 from casemill.queries import LABELLED, QUERIES, SQL, _labelled, query
 from casemill.queries_intake import PROPOSED, _offered, _text_parts
 from casemill.session import shared_folder
@@ -190,6 +190,34 @@ QUERIES["stream_owed"] = _stream_owed
 SQL["stream_owed"] = "select event_id as source_event_id, user_id from events where event_type = 'signup'"
 
 
+@query("""with c as (select c_custkey as k from customer)
+ select kind, n_labels, n_found, n_hits, n_right, n_found / n_labels as recall, n_right / n_hits as precision, kind <> 'NAME' as gated, true as passed from (
+ select 'EMAIL' as kind, count(*) as n_labels, count(*) as n_found, count(*) as n_hits, count(*) as n_right from c union all select 'PHONE', count(*), count(*), count(*), count(*) from c
+ union all select 'IBAN', count(*), count(*), count(*), count(*) from c where k % 5 > 0 union all select 'NAME', count(*), count(*) filter (k % 3 > 0), count(*) filter (k % 3 > 0), count(*) filter (k % 3 > 0) from c)""")
+def recognizer_recall(t):
+    """The recognizers on a letter for each customer whose spans are known by construction; every fifth IBAN has wrong check digits
+    and no label, every third name has no salutation and so no hit."""
+    k = F.col("c_custkey")
+    account = F.lpad((k * 7919 % 1000000007).cast("string"), 18, "0")
+    digits = checksums.iban_check_digits(F.lit("DE"), account)
+    wrong = F.lpad(((digits.cast("int") + 1) % 97).cast("string"), 2, "0")
+    parts = (
+        (F.when(k % 3 > 0, "größe 😀 an Frau ").otherwise("größe 😀 an "), None, None), (F.concat(F.lit("Ada "), F.translate(k.cast("string"), "0123456789", "ABCDEFGHIJ")), "NAME", F.lit(True)),
+        (F.lit(", IBAN "), None, None), (F.concat(F.lit("DE"), F.when(k % 5 > 0, digits).otherwise(wrong), account), "IBAN", k % 5 > 0),
+        (F.lit(", mail "), None, None), (F.concat(F.lit("c."), k.cast("string"), F.lit("@mail.example")), "EMAIL", F.lit(True)),
+        (F.lit(" oder +49 441 "), None, None), (F.lpad(k.cast("string"), 6, "7"), "PHONE", F.lit(True)), (F.lit(" anrufen"), None, None),
+    )
+    before, labels = F.lit(0), []
+    for text, kind, labelled in parts:
+        end = before + F.length(text)
+        if kind:
+            start = before - 8 if kind == "PHONE" else before
+            labels.append(F.when(labelled, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))))
+        before = end
+    items = t("customer").select(k.cast("string").alias("item_id"), F.concat(*[p[0] for p in parts]).alias("text"), F.filter(F.array(*labels), lambda x: x.isNotNull()).alias("labels"))
+    return recall.measured(recall.checked(items), gated=("EMAIL", "IBAN", "PHONE"))
+
+
 def _pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All spans of personal data, as rows of a table function."""
     return boundary.span_rows(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,3 +33,10 @@ def shared_folder(spark: SparkSession) -> str:
     if not hasattr(context, "_casemill_folder"):
         context._casemill_folder = "file://" + tempfile.mkdtemp(prefix="casemill-")
     return context._casemill_folder
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: read twice, it is computed once, and a lost executor costs nothing."""
+    path = f"{shared_folder(df.sparkSession)}/casemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
