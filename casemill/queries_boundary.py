@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from casemill.functions import checksums, text
 from casemill.functions.text import ALPHABET, TOKEN_LENGTH
-from casemill.operators import boundary, context, evaluate, evidence, letters, recall
+from casemill.operators import boundary, context, evaluate, evidence, letters, recall, run
+from casemill.plans import decisions
 from casemill.queries import LABELLED, QUERIES, SQL, _labelled, query
 from casemill.queries_intake import PROPOSED, _offered, _text_parts
-from casemill.session import shared_folder
+from casemill.session import shared_folder, stored
 from casemill.sources import config, stores, submissions
 
 
@@ -224,3 +225,75 @@ def _pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["pii_spans"] = _pii_spans
+
+
+# --- from submission to decision -----------------------------------------------------------
+
+RUN_PLAN = run.Plan(
+    fields={"status": ("order.status", "string"), "total": ("order.total", "double"), "priority": ("order.priority", "string"), "segment": ("applicant.segment", "string")},
+    signals={"fast": {"field": "priority", "op": "in", "value": ["1-URGENT", "2-HIGH"]}, "bulk": {"field": "total", "op": "gt", "value": 250000}},
+    routes=(
+        evidence.Route("r1", "north", 10, {"field": "segment", "op": "eq", "value": "BUILDING"}), evidence.Route("r2", "south", 10, {"field": "priority", "op": "eq", "value": "1-URGENT"}),
+        evidence.Route("r3", "east", 20, {"field": "text_normalized", "op": "contains", "value": "machinery"}), evidence.Route("r4", "west", 30, {"field": "total", "op": "gt", "value": 200000}),
+    ),
+    requirements={"fast": (evidence.Requirement("has_total", "total"), evidence.Requirement("is_open", "status", one_of=("O", "F"))), "bulk": (evidence.Requirement("is_open", "status", one_of=("O", "F")),)},
+    table=(
+        decisions.Row("clear", {"all": [{"field": "verdict", "op": "eq", "value": "COMPLETE"}, {"field": "routing_confidence", "op": "ge", "value": 0.9}, {"field": "clear_cut", "op": "eq", "value": True}, {"field": "tier1_enabled", "op": "eq", "value": True}]}, 1),
+        decisions.Row("contested", {"all": [{"field": "rule_hit", "op": "eq", "value": True}, {"field": "routing_confidence", "op": "lt", "value": 0.9}]}, 3),
+        decisions.Row("routed", {"field": "rule_hit", "op": "eq", "value": True}, 2),
+    ),
+    downgrades=(decisions.Downgrade("flagged", "flagged", "eq", True),),
+    identity=(context.IdentityField("applicant.name", "NAME"),), clear_cut={"field": "total", "op": "lt", "value": 150000}, tier1_procedures=("fast",),
+    scorer=lambda df: F.col("total") / 500000, flag_from=0.28, salt="s",
+)
+
+
+def _submissions(t) -> DataFrame:  # noqa: ANN001
+    """A submission for each order: some payloads are broken, some texts imitate placeholders, some totals are missing."""
+    k = F.col("o_orderkey")
+    order = F.struct(F.col("o_orderstatus").alias("status"), F.when(k % 13 > 0, F.col("o_totalprice")).alias("total"), F.col("o_orderpriority").alias("priority"))
+    data = F.to_json(F.struct(order.alias("order"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("applicant")))
+    told = F.concat(F.lit("For the  segment "), F.lower("c_mktsegment"), F.lit(", write to c"), F.col("c_custkey").cast("string"), F.lit("@mail.example"))
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select(
+        k.cast("string").alias("submissionId"), F.element_at(F.array(F.lit("fit_connect"), F.lit("email"), F.lit("scan")), (k % 3).cast("int") + 1).alias("channel"), F.col("o_orderdate").alias("submittedAt"),
+        F.when(F.col("o_orderpriority").isin("2-HIGH", "4-NOT SPECIFIED"), "fast").when(F.col("o_orderpriority") == "3-MEDIUM", "other").alias("procedureHint"),
+        F.when(k % 101 == 0, "{").when(k % 103 == 0, "[1]").otherwise(data).alias("data"), F.when(k % 97 == 0, "[[PII|forged]] text").when(k % 2 == 0, told).alias("bodyText"), F.lit(None).cast("string").alias("bodySourceType"),
+        F.lit(None).cast(f"array<{submissions.ATTACHMENT}>").alias("attachments"),
+    )
+
+
+RUN_SQL = """with a as (select o_orderkey as k, o_orderstatus as status, case when o_orderkey % 13 > 0 then o_totalprice end as total, o_orderpriority as priority, c_mktsegment as segment, c_custkey, case when o_orderpriority in ('2-HIGH', '4-NOT SPECIFIED') then 'fast' when o_orderpriority = '3-MEDIUM' then 'other' end as hint,
+  case when o_orderkey % 101 = 0 or o_orderkey % 103 = 0 then 'payload' when o_orderkey % 97 = 0 then 'boundary' end as error, o_orderkey % 97 > 0 and o_orderkey % 2 = 0 as told, ['fit_connect', 'email', 'scan'][o_orderkey % 3 + 1] as channel from orders join customer on o_custkey = c_custkey),
+ b as (select *, priority in ('1-URGENT', '2-HIGH') as fast, coalesce(total > 250000, false) as bulk from a),
+ c as (select *, case when fast and bulk then 'ambiguous' when hint = 'fast' and not bulk then 'hint' when hint = 'fast' then 'contradicted' when fast or bulk then 'content' else 'none' end as derivation from b),
+ d as (select *, case derivation when 'hint' then 'fast' when 'content' then case when fast then 'fast' else 'bulk' end end as derived,
+  list_filter([case when segment = 'BUILDING' then 'north' end, case when priority = '1-URGENT' then 'south' end, case when told and segment = 'MACHINERY' then 'east' end, case when total > 200000 then 'west' end], lambda x: x is not null) as units from c),
+ e as (select *, case when len(units) = 0 then 0.0 when segment = 'BUILDING' and priority = '1-URGENT' then 0.6 else 1.0 end as conf,
+  list_filter([case when derived = 'fast' and total is null then 'has_total' end, case when derived is not null and status not in ('O', 'F') then 'is_open' end], lambda x: x is not null) as gaps from d),
+ f as (select *, case when derived is null then 'NOT_EVALUABLE' when len(gaps) = 0 then 'COMPLETE' else 'INCOMPLETE' end as verdict, total / 500000 >= 0.28 as flagged from e),
+ g as (select *, case when verdict = 'COMPLETE' and conf >= 0.9 and coalesce(total < 150000, false) and derived = 'fast' then 'clear' when len(units) > 0 and conf < 0.9 then 'contested' when len(units) > 0 then 'routed' else 'default' end as row_id from f),
+ h as (select *, case when error is not null then 3 else case row_id when 'clear' then 1 when 'routed' then 2 else 3 end end as pre from g)"""
+
+
+@query(RUN_SQL + """ select 'case-' || k as case_id, error, case when error is null then derived end as derived, case when error is null then units[1] end as routed_unit, case when error is null then verdict end as verdict,
+ case when error is null then array_to_string(gaps, ',') end as gaps, pre::int as pre_tier, (case when error is null and coalesce(flagged, false) then 3 else pre end)::int as tier, false as leaked from h""")
+def run_cases(t):
+    """Submissions to decisions, in one plan; no raw name or address is in the results."""
+    found = _submissions(t)
+    cases = run.run_cases(found, RUN_PLAN)
+    ok = lambda c: F.when(F.col("error").isNull(), c)
+    leaked = run.holds_raw(cases, F.array(F.lit("Customer#"), F.lit("@mail.example")))
+    return cases.select("case_id", "error", ok(F.col("derived")).alias("derived"), ok(F.col("routed_unit")).alias("routed_unit"), ok(F.col("verdict")).alias("verdict"), ok(F.array_join(F.transform("gaps", lambda g: g["requirement_id"]), ",")).alias("gaps"), "pre_tier", "tier", leaked.alias("leaked"))
+
+
+@query(RUN_SQL + """, t as (select k, unnest(case when error = 'payload' then ['RECEIVED', 'STAGE_FAILED', 'DECIDED'] when error = 'boundary' then ['RECEIVED', 'STAGE_FAILED', 'DECIDED']
+ else ['RECEIVED', 'SEALED', 'TEXT_LAYER', 'EXTRACTED', 'EVIDENCE', case when total is null then 'SCORE_DEGRADED' else 'SCORED' end, 'DECIDED'] end) as type, generate_subscripts(case when error is not null then [1, 2, 3] else [1, 2, 3, 4, 5, 6, 7] end, 1) - 1 as sequence from h)
+ select 'case-' || k as case_id, sequence::bigint as sequence, type, substr(sha256('case-' || k || '|' || sequence), 1, 32) as event_id from t""")
+def run_journal(t):
+    """The journal of a run that was made twice, as it is stored."""
+    spark = t("nation").sparkSession
+    path = f"{shared_folder(spark)}/casemill/journal-{uuid.uuid4().hex}"
+    cases = stored(run.run_cases(_submissions(t), RUN_PLAN), "cases")
+    if not run.append_journal(cases, path) or run.append_journal(cases, path):
+        raise ValueError("a repeated run must append nothing")
+    return spark.read.parquet(path).select("case_id", "sequence", "type", "event_id")

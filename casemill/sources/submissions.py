@@ -29,12 +29,16 @@ def source_type(declared: Column, channel: Column) -> Column:
     return F.coalesce(F.when(declared.isin(*SOURCE_TYPES), declared), F.when(channel == "scan", "ocr").otherwise("typed"))
 
 
-def text_parts(submissions: DataFrame) -> DataFrame:
-    """(submissionId, part_id, ordinal, text, source_type): the body, then attachments with text; numbered as kept."""
+def part_list() -> Column:
+    """array<struct<text, source_type>> of a submission: the body, then attachments, those with text."""
     body = F.array(F.struct(F.col("bodyText").alias("text"), source_type(F.col("bodySourceType"), F.col("channel")).alias("source_type")))
     more = F.transform(F.coalesce("attachments", F.expr(f"cast(array() as array<{ATTACHMENT}>)")), lambda a: F.struct(a["text"].alias("text"), source_type(a["sourceType"], F.col("channel")).alias("source_type")))
-    kept = F.filter(F.concat(body, more), lambda p: ~is_blank(p["text"]))
-    rows = submissions.select("submissionId", F.posexplode(kept).alias("ordinal", "p"))
+    return F.filter(F.concat(body, more), lambda p: ~is_blank(p["text"]))
+
+
+def text_parts(submissions: DataFrame) -> DataFrame:
+    """(submissionId, part_id, ordinal, text, source_type): the body, then attachments with text; numbered as kept."""
+    rows = submissions.select("submissionId", F.posexplode(part_list()).alias("ordinal", "p"))
     return rows.select("submissionId", F.concat(F.lit("part-text-"), F.col("ordinal") + 1).alias("part_id"), "ordinal", "p.text", "p.source_type")
 
 
