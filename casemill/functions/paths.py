@@ -18,7 +18,10 @@ def scalar_text(value: Column) -> Column:
 def json_path(payload: Column, path: str) -> Column:
     """The scalar at a dotted path of a JSON text; null if a step is missing or the value is no scalar."""
     found = F.get_json_object(payload, "$." + path)
-    return F.when(~F.coalesce(found.rlike(r"^\s*[\[{]"), F.lit(False)), scalar_text(found))
+    # A text may begin with a bracket, too; a placeholder does.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(payload), "$." + path, "variant"))
+    nested = F.when(F.coalesce(found.rlike(r"^\s*[\[{]"), F.lit(False)), F.coalesce(kind != "STRING", F.lit(True))).otherwise(F.lit(False))
+    return F.when(~nested, scalar_text(found))
 
 
 def map_fields(df: DataFrame, key: str, fields: Mapping[str, Column]) -> DataFrame:
