@@ -297,3 +297,41 @@ def run_journal(t):
     if not run.append_journal(cases, path) or run.append_journal(cases, path):
         raise ValueError("a repeated run must append nothing")
     return spark.read.parquet(path).select("case_id", "sequence", "type", "event_id")
+
+
+# --- state that ends ------------------------------------------------------------------------
+
+
+def _in_time(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The events as a stream of files in the order of time; returns the stream, whose times are timestamps."""
+    from casemill.streaming import folds, live
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"))
+    live.replay_files(events, "at", f"{path}/in")
+    return folds.event_stream(spark, f"{path}/in", events.schema).withColumn("ts", F.timestamp_micros(F.col("at").cast("long")))
+
+
+def _live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user holds two events at most, for a day; what goes is told with its reason."""
+    from casemill.streaming import live
+
+    path = f"{shared_folder(spark)}/casemill/live-{uuid.uuid4().hex}"
+    return live.kept_stream(live.gone_entries(_in_time(spark, sf_dir, path), "user_id", "event_id", "ts", ttl_seconds=86_400, capacity=2), path)
+
+
+def _parties_met(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and purchases of one user, six hours apart at most, met by two streams."""
+    from casemill.streaming import live
+
+    path = f"{shared_folder(spark)}/casemill/met-{uuid.uuid4().hex}"
+    events = _in_time(spark, sf_dir, path)
+    found = live.met(events.where("event_type = 'click'"), events.where("event_type = 'purchase'"), "user_id", "ts", ttl="6 hours")
+    return live.kept_stream(found.select(F.col("token").alias("user_id"), F.unix_micros("left_at").alias("click_at"), F.unix_micros("right_at").alias("purchase_at")), path)
+
+
+QUERIES["live_entries"], QUERIES["parties_met"] = _live_entries, _parties_met
+SQL["live_entries"] = """with e as (select user_id::varchar as store, event_id::varchar as entry, epoch_us(ts) as put_at, epoch_us(lead(ts, 2) over (partition by user_id order by ts, event_id::varchar)) as pushed, epoch_us(max(ts) over ()) as last from events)
+ select store, entry, put_at, case when pushed < put_at + 86400000000 then pushed else put_at + 86400000000 end as gone_at, case when pushed < put_at + 86400000000 then 'evicted' else 'expired' end as reason
+ from e where pushed < put_at + 86400000000 or put_at + 86400000000 <= last // 1000 * 1000"""
+SQL["parties_met"] = """select a.user_id, epoch_us(a.ts) as click_at, epoch_us(b.ts) as purchase_at from events a join events b on a.user_id = b.user_id
+ where a.event_type = 'click' and b.event_type = 'purchase' and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000"""
