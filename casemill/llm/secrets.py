@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import SPACE, free_prefix, written
-from .spans import matches
+from .spans import matches, with_apart
 
 # The base patterns and the shortest value of each.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -157,11 +157,10 @@ def scanned(docs: DataFrame, model: Model, s: Settings = Settings(), text: str =
     df = docs.withColumns({p + k: c for k, c in base.items()} | {p + "runs": matches(raw, s.candidate)})
     listed = lambda name, k: F.transform(F.col(p + name), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     df = df.withColumn(p + "base", F.sort_array(F.concat(*[listed(k, i) for i, k in enumerate(base)])))
-    apart = lambda x: ~F.exists(p + "base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    added = F.filter(p + "runs", lambda x: (model.mean_ratio(x["value"]) > model.threshold) & apart(x))
-    df = df.withColumn(p + "runs", added)
+    df = with_apart(df, p + "runs", p + "base", p + "free")
+    df = df.withColumn(p + "runs", F.filter(p + "free", lambda x: model.mean_ratio(x["value"]) > model.threshold))
     df = df.withColumn(p + "all", F.sort_array(F.concat(p + "base", listed("runs", 3))))
-    return df.withColumns({f"{p}n_{k}": F.size(p + k).cast("long") for k in base}).drop(p + "runs", *[p + k for k in base])
+    return df.withColumns({f"{p}n_{k}": F.size(p + k).cast("long") for k in base}).drop(p + "runs", p + "free", *[p + k for k in base])
 
 
 def joined(spans: str) -> Column:

@@ -1,36 +1,35 @@
-"""Offsets of regular-expression matches as native columns.
-
-Matches are wrapped in a mark that the text cannot hold, the text is split at the
-mark, and every second piece is a match; running lengths give code-point offsets.
-"""
+"""Offsets of regular-expression matches, and spans that keep apart from others, as native columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Control characters; in the scanned copy the mark is replaced by the other one.
-MARK, OTHER = "\x01", "\x02"
-
+from casemill.functions.arrays import running_max
+from casemill.functions.text import MARK, OTHER, match_spans, pieces
 
-def pieces(text: Column, pattern: str) -> Column:
-    """``text`` cut around all leftmost non-overlapping matches: text, match, text, ..., text.
+__all__ = ["MARK", "OTHER", "matches", "pieces", "with_apart"]
 
-    ``pattern`` must match neither control character.
-    """
-    safe = F.translate(text, MARK, OTHER)
-    return F.split(F.regexp_replace(safe, f"({pattern})", f"{MARK}$1{MARK}"), MARK, -1)
+#: More than any offset.
+FAR = (1 << 31) - 1
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start int, end int, value string>> of the matches, in order."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("found"))
+    """array<struct<start int, end int, value string>> of the matches, in order; a pattern can't match the control characters 1 and 2."""
+    return match_spans(text, pattern)
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["at"] + F.length(piece)
-        one = F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("value")))
-        return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
-    found = F.aggregate(pieces(text, pattern), start, step, lambda acc: acc["found"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+def with_apart(df: DataFrame, spans: str, others: str, out: str) -> DataFrame:
+    """Adds ``out``: those of ``spans`` (start, end, value; sorted, none overlaps another) that overlap none of ``others`` (start, end).
+
+    Both are put into one order, in which the furthest end so far and the nearest start from here on tell for each span whether
+    another one reaches it; no span is compared with all others.
+    """
+    one = lambda x, own, value: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), value.alias("value"))
+    mixed = F.sort_array(F.concat(F.transform(others, lambda x: one(x, False, F.lit(""))), F.transform(spans, lambda x: one(x, True, x["value"]))))
+    df = df.withColumn(out, mixed)
+    df = df.withColumn(out + "_reach", running_max(F.transform(out, lambda x: F.when(x["own"], 0).otherwise(x["end"]))))
+    df = df.withColumn(out + "_next", F.reverse(running_max(F.transform(F.reverse(out), lambda x: F.when(x["own"], 0).otherwise(F.lit(FAR) - x["start"])))))
+    free = lambda x, i: x["own"] & (F.get(out + "_reach", i) <= x["start"]) & (F.lit(FAR) - F.get(out + "_next", i) >= x["end"])
+    kept = F.transform(out, lambda x, i: F.when(free(x, i), F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
+    return df.withColumn(out, F.filter(kept, lambda x: x.isNotNull())).drop(out + "_reach", out + "_next")

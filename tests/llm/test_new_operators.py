@@ -237,3 +237,68 @@ def test_toxicity_learns_from_bounded_rows(spark):
     docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i < 40)) for i in range(1, 300)], TOXIC)
     sample, _ = toxicity._sample(docs, labels, toxicity.Settings(positives=10, unlabelled=50))
     assert sample.count() <= 60 and sample.where("toxic").count() == 10
+
+
+def test_spans_that_keep_apart_against_brute_force(spark):
+    from casemill.llm import spans
+
+    rand = random.Random(8)
+    rows = []
+    for i in range(120):
+        n = 3000 if i == 0 else 40
+        own, at = [], 0
+        for _ in range(rand.randrange(0, n // 4 + 1)):
+            at += rand.randrange(0, 6)
+            own.append((at, at := at + rand.randrange(1, 5), f"v{at}"))
+        others = sorted((a := rand.randrange(n), a + rand.randrange(1, 7)) for _ in range(rand.randrange(0, n // 5 + 1)))
+        rows.append((i, own, others))
+    df = spark.createDataFrame(rows, "i int, own array<struct<start:int,end:int,value:string>>, others array<struct<start:int,end:int>>")
+    for r in spans.with_apart(df, "own", "others", "free").select("i", "free").collect():
+        _, own, others = rows[r["i"]]
+        assert [tuple(x) for x in r["free"]] == [x for x in own if not any(b < x[1] and x[0] < e for b, e in others)]
+
+
+def test_secret_scan_of_a_text_with_very_many_spans(spark):
+    from casemill.llm import secrets
+
+    text = "password=abcdef123 plain " * 10_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secrets.scanned(df, secrets.Model((0.0,) * secrets.SIZE**2, 1.0)).first()
+    assert row["sec_n_assign"] == 10_000 and row["sec_all"][-1]["end"] == len(text) - 7
+
+
+def test_markov_ratio_against_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    from casemill.llm import secrets
+
+    rand = random.Random(5)
+    table = tuple(round(rand.uniform(-3, 3), 6) for _ in range(secrets.SIZE**2))
+    tokens = ["".join(rand.choices(secrets.CHARS + "éß", k=rand.randrange(0, 40))) for _ in range(80)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.Model(table, 0.0).mean_ratio(F.col("t")).alias("x")).collect()
+    for r in got:
+        codes = [secrets.CHARS.index(c) for c in r["t"] if c in secrets.CHARS]
+        pairs = [table[a * secrets.SIZE + b] for a, b in zip(codes, codes[1:], strict=False)]
+        assert r["x"] == pytest.approx(sum(pairs) / len(pairs) if pairs else 0.0, abs=1e-9)
+
+
+def test_decision_list_column_against_its_walk(spark):
+    from pyspark.sql import functions as F
+
+    from casemill.llm import decision_list
+
+    rand = random.Random(6)
+    condition = lambda: decision_list.Condition(rand.choice(decision_list.FEATURES), rand.random() < 0.5, rand.uniform(0, 1))
+    chosen = decision_list.DecisionList(tuple(decision_list.Rule(tuple(condition() for _ in range(rand.randrange(1, 4))), rand.random() < 0.5) for _ in range(12)), default=False)
+    x = np.array([[rand.uniform(0, 1) for _ in decision_list.FEATURES] for _ in range(300)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "i int, " + ", ".join(f"{f} double" for f in decision_list.FEATURES))
+    got = {r["i"]: r["v"] for r in df.select("i", chosen.column({f: F.col(f) for f in decision_list.FEATURES}).alias("v")).collect()}
+
+    def walk(row):
+        for rule in chosen.rules:
+            if all((row[c.feature] > c.cut) == c.above for c in rule.conditions):
+                return rule.verdict
+        return chosen.default
+
+    for i, r in enumerate(x):
+        assert got[i] == walk(dict(zip(decision_list.FEATURES, r, strict=True))) == chosen.predict(x[i : i + 1])[0]
