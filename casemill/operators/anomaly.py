@@ -1,4 +1,4 @@
-"""Anomaly features of a case, the combined score against a reference population, reasons and degradation."""
+"""Anomaly features of a case, reasons and degradation; scores come from a reference population (see ``reference``)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from casemill.functions.dates import signed_years
 from casemill.functions.text import is_blank, stripped
 
 from .context import holds_placeholder
-from .scoring import share_up_to, tail_share
 
 
 @dataclass(frozen=True)
@@ -70,28 +69,6 @@ def features(df: DataFrame, *, fields: Sequence[str], indicators: Sequence[Indic
     return df.withColumns({"features": F.when(~held, numbers), "available": F.when(~held, flags), "degraded": F.when(held, "a sealed value reached the features")})
 
 
-def combined_score(df: DataFrame, reference: DataFrame, deviations: Sequence[str], forest: str) -> DataFrame:
-    """Adds ``deviation``, ``forest_rank`` and ``score``.
-
-    The deviation is one less the smallest tail of the consistency features in the reference; a score is the share of
-    the reference whose larger reading (rank of the forest's value, or deviation) is at most the item's.
-    """
-
-    def read(rows: DataFrame) -> DataFrame:
-        shares = []
-        for name in deviations:
-            rows = share_up_to(rows, reference, name, name, f"_le_{name}")
-            rows = rows.withColumn("_m", -F.col(name).cast("double"))
-            rows = share_up_to(rows, reference.select((-F.col(name).cast("double")).alias("_m0")), "_m", "_m0", f"_ge_{name}").drop("_m")
-            shares.append((F.col(f"_le_{name}"), F.col(f"_ge_{name}")))
-        rows = share_up_to(rows, reference, forest, forest, "forest_rank")
-        rows = rows.withColumn("deviation", F.bround(tail_share(shares), 6)).drop(*[f"_{s}_{n}" for n in deviations for s in ("le", "ge")])
-        return rows.withColumn("_reading", F.greatest("forest_rank", "deviation"))
-
-    own = read(reference).select("_reading")
-    return share_up_to(read(df), own, "_reading", "_reading", "score").drop("_reading")
-
-
 def flagged(df: DataFrame, score: str, threshold: float, reasons: str) -> DataFrame:
     """Adds ``flagged`` and ``readable``: a flag needs reasons, each of some length and with feature, observation and expectation."""
     flag = F.coalesce(F.col(score) >= threshold, F.lit(False))
@@ -111,19 +88,6 @@ def evidence_or_degraded(df: DataFrame, score: str, degraded: str) -> DataFrame:
     return df.withColumn("anomaly", F.struct(F.when(status == "scored", F.col(score)).alias("score"), status.alias("status")))
 
 
-def reference_drift(recorded: DataFrame, computed: DataFrame, score: str) -> DataFrame:
-    """One row (n_recorded, n_computed, drift): the largest gap between scores of equal rank; null if the numbers differ.
-
-    Ranks come from sorted positions within the artifact of a reference population, whose size is bounded.
-    """
-    from pyspark.sql import Window as W
-
-    placed = lambda df, name: df.select(F.col(score).alias(name)).where(F.col(name).isNotNull()).withColumn("_i", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(name)))
-    both = placed(recorded, "_a").join(placed(computed, "_b"), "_i", "full")
-    out = both.agg(F.count("_a").alias("n_recorded"), F.count("_b").alias("n_computed"), F.max(F.abs(F.col("_a") - F.col("_b"))).alias("_gap"))
-    return out.withColumn("drift", F.when(F.col("n_recorded") == F.col("n_computed"), F.col("_gap"))).drop("_gap")
-
-
 def validate_reference(rows: DataFrame, names: Sequence[str], values: str, declared: Sequence[str]) -> None:
     """A reference population names the declared features, has a value for each in each row, and is not empty."""
     if list(names) != list(declared):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.functions import dates
-from casemill.operators import anomaly, context, decide, evaluate, evidence, journal, letters, redact, review, scoring, spans
+from casemill.operators import anomaly, context, decide, evaluate, evidence, journal, letters, redact, reference, review, scoring, spans
 from casemill.plans import decisions
 from casemill.queries import CASES, LABELLED, ROUTED, ROUTES, _labelled, _open_cases, query
+from casemill.session import shared_folder
 
 # --- anomaly -----------------------------------------------------------------------
 
@@ -43,20 +46,39 @@ def anomaly_features(t):
     )
 
 
+LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _line_reference(t) -> reference.Reference:  # noqa: ANN001
+    """A reference population of lines, written as an artifact and read back."""
+    spark = t("nation").sparkSession
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    fitted = reference.fit(t("lineitem"), key, LINE_FEATURES, ("l_quantity", "l_extendedprice"))
+    path = f"{shared_folder(spark)}/casemill/reference-{uuid.uuid4().hex}"
+    reference.write(spark, fitted, path)
+    return reference.read(spark, path, LINE_FEATURES)
+
+
+@query()
+def combined_score(t):
+    """Every line by a forest of 200 trees and by its tails, against a stored reference population."""
+    return reference.scored(t("lineitem"), _line_reference(t)).select("l_orderkey", "l_linenumber", "forest_rank", "deviation", "score")
+
+
 @query(
-    """with r as (select l_quantity as q, l_discount as d, l_tax as x from lineitem where l_linenumber = 1), n as (select count(*)::double as n from r),
- tail as (select q as v, 'q' as f, count(*) as c from r group by 1 union all select d, 'd', count(*) from r group by 1), t as (select f, v, sum(c) over (partition by f order by v) as le, sum(c) over (partition by f order by v desc) as ge from tail),
- fr as (select x as v, sum(count(*)) over (order by x) as le from r group by 1),
- i as (select l_orderkey, l_linenumber, l_quantity as q, l_discount as d, l_tax as x from lineitem where l_linenumber = 1),
- s as (select i.*, greatest(fr.le / n.n, round(1 - least(tq.le, tq.ge, td.le, td.ge) / n.n, 6)) as reading, fr.le as fle from i, n join t tq on tq.f = 'q' and tq.v = i.q join t td on td.f = 'd' and td.v = i.d join fr on fr.v = i.x),
- k as (select reading, sum(count(*)) over (order by reading) as le from s group by 1)
- select l_orderkey, k.le::bigint as rank, fle::bigint as forest from s join k using (reading)"""
+    """with k as (select *, l_orderkey || '-' || l_linenumber as id from lineitem), r as (select l_quantity as q, l_discount as p from k order by md5(id), id limit 2000),
+ n as (select count(*) as n from r), i as (select l_orderkey, l_linenumber, l_quantity as q, l_discount as p from lineitem),
+ v as (select 'q' as f, q as v from i union select 'p', p from i), c as (select 'q' as f, q as x from r union all select 'p', p from r),
+ b as (select f, x, count(*) as c from c group by all), u as (select f, x as v, c from b union all select f, v, 0 from v), g as (select f, v, sum(c) as c from u group by all),
+ s as (select f, v, sum(c) over (partition by f order by v) as le, sum(c) over (partition by f order by v desc) as ge from g)
+ select l_orderkey, l_linenumber, (1000000 - round(1000000 * least(a.le, a.ge, b.le, b.ge) / n))::bigint as deviation_ppm from i, n join s a on a.f = 'q' and a.v = i.q join s b on b.f = 'p' and b.v = i.p"""
 )
-def combined_score(t):
-    r = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_quantity", "l_discount", "l_tax")
-    n = r.count()
-    out = anomaly.combined_score(r, r.select("l_quantity", "l_discount", "l_tax"), ("l_quantity", "l_discount"), "l_tax")
-    return out.select("l_orderkey", F.round(F.col("score") * n).cast("long").alias("rank"), F.round(F.col("forest_rank") * n).cast("long").alias("forest"))
+def deviation_reading(t):
+    """The tails of every line in a stored reference population, as parts of a million."""
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    fitted = reference.fit(t("lineitem"), key, ("l_quantity", "l_discount"), ("l_quantity", "l_discount"), trees=1)
+    found = reference.scored(t("lineitem"), reference.parsed(fitted.document(), fitted.names))
+    return found.select("l_orderkey", "l_linenumber", F.round(F.col("deviation") * 1000000).cast("long").alias("deviation_ppm"))
 
 
 @query(
@@ -90,10 +112,15 @@ def flags_and_degradation(t):
     return anomaly.evidence_or_degraded(out, "s", "why").select("c_custkey", "flagged", "readable", "anomaly.status")
 
 
-@query("select count(*) as n_recorded, count(*) as n_computed, 3::double as drift from supplier")
+@query(
+    """with a as (select c_acctbal as v, row_number() over (order by c_acctbal) as i from customer), b as (select v, row_number() over (order by v) as i from (select case when c_custkey % 5 = 0 then c_acctbal / 2 else c_acctbal end as v from customer))
+ select count(a.v) as n_recorded, count(b.v) as n_computed, max(abs(a.v - b.v)) as drift from a full join b using (i)"""
+)
 def reference_drift(t):
-    s = t("supplier").select(F.col("s_suppkey").cast("double").alias("score"))
-    return anomaly.reference_drift(s, s.select((F.col("score") + 3).alias("score")), "score")
+    """How far the balances of all customers move, rank by rank, when every fifth is halved."""
+    s = t("customer").select(F.col("c_acctbal").alias("score"))
+    changed = t("customer").select(F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") / 2).otherwise(F.col("c_acctbal")).alias("score"))
+    return reference.drift_by_rank(s, changed, "score")
 
 
 # --- decision ------------------------------------------------------------------------
