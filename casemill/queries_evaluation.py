@@ -52,7 +52,7 @@ LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def _line_reference(t) -> reference.Reference:  # noqa: ANN001
     """A reference population of lines, written as an artifact and read back."""
     spark = t("nation").sparkSession
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     fitted = reference.fit(t("lineitem"), key, LINE_FEATURES, ("l_quantity", "l_extendedprice"))
     path = f"{shared_folder(spark)}/casemill/reference-{uuid.uuid4().hex}"
     reference.write(spark, fitted, path)
@@ -66,7 +66,7 @@ def combined_score(t):
 
 
 @query(
-    """with k as (select *, l_orderkey || '-' || l_linenumber as id from lineitem), r as (select l_quantity as q, l_discount as p from k order by md5(id), id limit 2000),
+    """with k as (select *, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as id from lineitem), r as (select l_quantity as q, l_discount as p from k order by md5(id), id limit 2000),
  n as (select count(*) as n from r), i as (select l_orderkey, l_linenumber, l_quantity as q, l_discount as p from lineitem),
  v as (select 'q' as f, q as v from i union select 'p', p from i), c as (select 'q' as f, q as x from r union all select 'p', p from r),
  b as (select f, x, count(*) as c from c group by all), u as (select f, x as v, c from b union all select f, v, 0 from v), g as (select f, v, sum(c) as c from u group by all),
@@ -75,7 +75,7 @@ def combined_score(t):
 )
 def deviation_reading(t):
     """The tails of every line in a stored reference population, as parts of a million."""
-    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    key = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     fitted = reference.fit(t("lineitem"), key, ("l_quantity", "l_discount"), ("l_quantity", "l_discount"), trees=1)
     found = reference.scored(t("lineitem"), reference.parsed(fitted.document(), fitted.names))
     return found.select("l_orderkey", "l_linenumber", F.round(F.col("deviation") * 1000000).cast("long").alias("deviation_ppm"))
