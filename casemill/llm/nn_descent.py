@@ -89,11 +89,12 @@ def _stacked(column: pd.Series) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Cells:
-    """Centres, and the first shard and the number of shards of each."""
+    """Centres, and the first shard, the number of shards and the number of vectors of each."""
 
     centres: np.ndarray
     first: np.ndarray
     shards: np.ndarray
+    sizes: np.ndarray
 
 
 def _celled(rows: DataFrame, n: int, s: Settings) -> tuple[DataFrame, np.ndarray]:
@@ -121,7 +122,7 @@ def _nodes(vectors: DataFrame, s: Settings) -> tuple[DataFrame, Cells | None]:
     for cell, n in celled.groupBy("cell").count().collect():
         counts[cell] = n
     shards = -(-counts // s.shard_size)
-    cells = Cells(found, np.cumsum(shards) - shards, shards)
+    cells = Cells(found, np.cumsum(shards) - shards, shards, counts)
     table = F.broadcast(rows.sparkSession.createDataFrame([(i, int(f), int(k)) for i, (f, k) in enumerate(zip(cells.first, shards, strict=True)) if k], "cell int, first int, shards int"))
     # The place in the written table parts rows that repeat an id.
     dealt = celled.withColumn("place", F.monotonically_increasing_id()).join(table, "cell")
@@ -283,15 +284,28 @@ def _cells_taken(nodes: DataFrame, queries: DataFrame, cells: Cells, s: Settings
     return int(needed[min(len(needed) - 1, int(np.ceil(s.covered * len(needed))) - 1)]) + 1 if len(needed) else 1
 
 
-def _routed(queries: DataFrame, cells: Cells, taken: int) -> DataFrame:
-    """A row for each query and shard of the cells that it goes to."""
+def cells_of(x: np.ndarray, cells: Cells, taken: int, least: int) -> list[np.ndarray]:
+    """The cells that each query goes to: the ``taken`` best, and further ones until they hold ``least`` vectors, or all there are."""
+    best = _best(x @ cells.centres.T, taken)
+    short = np.flatnonzero(cells.sizes[best].sum(axis=1) < least)
+    out = list(best)
+    if len(short):
+        every = _best(x[short] @ cells.centres.T, len(cells.centres))
+        held = np.cumsum(cells.sizes[every], axis=1)
+        for row, order, upto in zip(short, every, held, strict=True):
+            out[row] = order[: int(np.searchsorted(upto, least)) + 1]
+    return out
+
+
+def _routed(queries: DataFrame, cells: Cells, taken: int, s: Settings) -> DataFrame:
+    """A row for each query and shard of the cells that it goes to; they hold as many vectors as it is to find, and itself."""
     held = queries.sparkSession.sparkContext.broadcast(cells)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value
         for frame in frames:
             if len(frame):
-                cell = _best(_stacked(frame["vec"]) @ c.centres.T, taken)
+                cell = cells_of(_stacked(frame["vec"]), c, taken, s.nearest + 1)
                 yield frame.assign(shards=[np.concatenate([c.first[i] + np.arange(c.shards[i]) for i in row]).astype(np.int32) for row in cell])
 
     routed = queries.mapInPandas(run, "vec_id long, home int, node int, vec array<double>, shards array<int>")
@@ -307,7 +321,7 @@ def nearest(vectors: DataFrame, every: int = 20, s: Settings = Settings()) -> Da
     graph = neighbour_graph(nodes, s)
     queries = nodes.where(F.col("vec_id") % every == 0)
     taken = len(cells.centres) if len(cells.centres) <= 2 else _cells_taken(nodes, queries, cells, s)
-    asked = written(_routed(queries.select("vec_id", F.col("shard").alias("home"), "node", "vec"), cells, taken), "routed")
+    asked = written(_routed(queries.select("vec_id", F.col("shard").alias("home"), "node", "vec"), cells, taken, s), "routed")
     # As many blocks of queries meet a shard as it has queries for; its vectors are copied to each.
     blocks = written(asked.groupBy("shard").agg(F.ceil(F.count("*") / s.block).cast("int").alias("blocks")), "blocks")
     asked = asked.join(small(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("vec_id", "home", "node"), F.col("blocks")).cast("int")).drop("blocks")

@@ -302,3 +302,22 @@ def test_decision_list_column_against_its_walk(spark):
 
     for i, r in enumerate(x):
         assert got[i] == walk(dict(zip(decision_list.FEATURES, r, strict=True))) == chosen.predict(x[i : i + 1])[0]
+
+
+def test_every_query_finds_as_many_as_there_are(spark):
+    from casemill.llm import nn_descent
+
+    rand = np.random.default_rng(4)
+    far = rand.normal(0, 0.05, (588, 8)) + np.repeat(rand.normal(0, 3, (12, 8)), 49, axis=0)
+    x = np.concatenate([far, rand.normal(0, 0.05, (12, 8)) + 9])
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    s = nn_descent.Settings(shard_size=40, covered=0.05)
+    got = nn_descent.nearest(df, 10, s).collect()
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r["query_id"]].append(r)
+    assert len(found) == 60
+    for q, rows in found.items():
+        rows.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in rows] == list(range(1, 21)) and len({r["vec_id"] for r in rows} - {q}) == 20
+        assert all(r["score"] == pytest.approx(float(x[q] @ x[r["vec_id"]])) for r in rows)
