@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casemill.functions import recognizers
 from casemill.functions.arrays import settled
@@ -96,16 +99,56 @@ def minted(df: DataFrame, case: str, kind: Column, value: Column, salt: str, *te
     return df.withColumn("present", there)
 
 
-def rehydrated_or_refused(texts: DataFrame, entries: DataFrame, case: str, text: str) -> DataFrame:
-    """Adds ``refusal`` and ``plain``: an imitation of a placeholder, a token of another kind or an unknown token refuses the
-    whole text; else every placeholder is replaced, and none is left."""
-    joined = _with_entries(texts, entries, case, text, F.collect_set(F.regexp_extract("token", r"([^|]{12})\]\]$", 1)).alias("_letters"))
+def _scalars(value: object) -> Iterator[str]:
+    """Every scalar of a JSON value as text, without white space; null and blank ones are left out."""
+    if isinstance(value, dict | list):
+        for child in value.values() if isinstance(value, dict) else value:
+            yield from _scalars(child)
+    elif value is not None and (bare := "".join((value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)).split())):
+        yield bare
+
+
+def tells_all(value: str, display: str) -> bool:
+    """Whether a display form holds all that the sealed value holds, and nothing else; only white space may differ.
+
+    The scalars of a subtree (a value that is a JSON object or list) are taken out of the display, longest first, each once,
+    and nothing may be left: a house number 1 is not found in a postcode 10115 that another scalar has used up.
+    """
+    try:
+        tree = json.loads(value)
+    except ValueError:
+        tree = None
+    left = "".join(display.split())
+    if not isinstance(tree, dict | list):
+        return left == "".join(value.split())
+    for part in sorted(_scalars(tree), key=len, reverse=True):
+        before, hit, after = left.partition(part)
+        if not hit:
+            return False
+        left = before + after
+    return not left
+
+
+@F.pandas_udf(T.BooleanType())
+def lossless(value: pd.Series, display: pd.Series) -> pd.Series:
+    return pd.Series([v is not None and d is not None and tells_all(v, d) for v, d in zip(value, display, strict=True)], dtype=bool)
+
+
+def rehydrated_or_refused(texts: DataFrame, entries: DataFrame, case: str, text: str, display: str | None = None) -> DataFrame:
+    """Adds ``refusal`` and ``plain``: an imitation of a placeholder, a token of another kind, an unknown token, or one whose
+    display form lost something refuses the whole text; else every placeholder is replaced, and none is left.
+
+    ``display`` names the column of ``entries`` with the form to write for a value; without one, values are written as they are.
+    """
+    entries = entries.withColumn("_lossy", ~lossless("value", display) if display else F.lit(False)).withColumn("value", F.col(display or "value"))
+    letters_held = F.collect_set(F.regexp_extract("token", r"([^|]{12})\]\]$", 1)).alias("_letters")
+    joined = _with_entries(texts, entries, case, text, letters_held, F.collect_set(F.when(F.col("_lossy"), F.col("token"))).alias("_lost"))
     found = F.array_distinct(placeholders(F.col(text)))
     value = lambda t: F.element_at(F.coalesce("_held", F.expr("map('', '')")), t)
     letters = lambda t: F.regexp_extract(t, r"([^|]{12})\]\]$", 1)
     unknown = F.filter(found, lambda t: value(t).isNull())
     other_kind = F.exists(unknown, lambda t: F.coalesce(F.array_contains("_letters", letters(t)), F.lit(False)))
-    refusal = F.when(imitated(F.col(text)), "imitation").when(other_kind, "kind_mismatch").when(F.size(unknown) > 0, "unknown_token")
+    refusal = F.when(imitated(F.col(text)), "imitation").when(other_kind, "kind_mismatch").when(F.size(unknown) > 0, "unknown_token").when(F.coalesce(F.arrays_overlap(found, "_lost"), F.lit(False)), "lossy")
     plain = F.aggregate(found, F.col(text), lambda acc, t: F.replace(acc, t, value(t)))
-    joined = joined.withColumn("refusal", refusal).withColumn("plain", F.when(F.col("refusal").isNull(), plain)).drop("_held", "_letters")
+    joined = joined.withColumn("refusal", refusal).withColumn("plain", F.when(F.col("refusal").isNull(), plain)).drop("_held", "_letters", "_lost")
     return joined.withColumn("plain", F.when(~F.coalesce(F.col("plain").rlike(PLACEHOLDER), F.lit(False)), F.col("plain")))

@@ -389,3 +389,17 @@ def decided_tiers(t):
     d = decisions.decide(orders_customers(t), TABLE)
     events = d.select("o_orderkey", F.lit("DECIDED").alias("type"), F.lit(1).alias("sequence"), "tier").unionByName(d.select("o_orderkey", F.lit("RECEIVED").alias("type"), F.lit(0).alias("sequence"), F.lit(None).cast("int").alias("tier")))
     return journal.folded(events, "o_orderkey", {"tier": (F.col("type") == "DECIDED", F.col("tier"))}, ("sequence",))
+
+
+@query("""with a as (select c_custkey, c_custkey % 5 as k, c_name, c_mktsegment, c_custkey % 10 as no, lpad((c_custkey % 10)::varchar || '0115', 5, '0') as zip from customer)
+ select c_custkey, case when k in (1, 2) then 'lossy' end as refusal, case k when 0 then 'To ' || c_name || chr(10) || no || ' ' || zip when 3 then 'To ' || c_mktsegment when 4 then 'To ' || c_name || ' ' || zip || ' ' || no end as plain from a""")
+def lossless_letters(t):
+    """Letters whose values have a display form: whole ones are written, a form without the house number or with more text is refused."""
+    k, no = F.col("c_custkey") % 5, (F.col("c_custkey") % 10).cast("string")
+    zip_ = F.concat(no, F.lit("0115"))
+    tree = F.to_json(F.struct(F.col("c_name").alias("name"), F.struct((F.col("c_custkey") % 10).alias("no"), zip_.alias("zip")).alias("home")))
+    value = F.when(k == 3, F.col("c_mktsegment")).otherwise(tree)
+    display = F.when(k == 0, F.concat("c_name", F.lit("\n"), no, F.lit(" "), zip_)).when(k == 1, F.concat("c_name", F.lit(" "), zip_)).when(k == 2, F.concat(no, F.lit(" "), zip_, F.lit(" c/o "), "c_name")).when(k == 3, F.col("c_mktsegment")).otherwise(F.concat("c_name", F.lit(" "), zip_, F.lit(" "), no))
+    held = t("customer").select("c_custkey", value.alias("value"), display.alias("display"), redact.token(F.lit("ADDR"), F.col("c_custkey"), value, "salt").alias("token"))
+    letter = held.select("c_custkey", F.concat(F.lit("To "), "token").alias("text"))
+    return redact.rehydrated_or_refused(letter, held, "c_custkey", "text", "display").select("c_custkey", "refusal", "plain")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casemill.functions import arrays, recognizers, text
-from casemill.operators import boundary, recall
+from casemill.operators import boundary, recall, redact
 
 #: Published examples: pension number (pension insurance), tax ids (tax office), IBANs (registry), card numbers (test numbers).
 PUBLISHED = {"VSNR": ["65170839J003", "65 170839 J 00 3"], "STID": ["86095742719", "65929970489", "47 036 892 816"], "IBAN": ["DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "CH9300762011623852957"], "NUMBER": ["4111111111111111"]}
@@ -101,3 +101,20 @@ def test_span_rows_by_profile(spark):
     df = spark.createDataFrame([(1, "65170839J004 and 65170839J003")], "id int, t string")
     kinds = lambda p: [(r["start"], r["evidence"]) for r in boundary.span_rows(df, "id", "t", p).orderBy("start").collect()]
     assert kinds(recognizers.REDACT) == [(0, 1), (17, 3)] and kinds(recognizers.VERIFY) == [(17, 3)]
+
+
+def test_a_display_form_tells_all(spark):
+    home = '{"street":"Lindenweg","no":1,"zip":"10115","town":"Neu  Stadt","more":[null,true,""]}'
+    assert redact.tells_all(home, "Lindenweg 1\n10115 Neu Stadt true") and redact.tells_all(home, "true 1 10115 NeuStadt Lindenweg")
+    assert not redact.tells_all(home, "Lindenweg 10115 Neu Stadt true") and not redact.tells_all(home, "Lindenweg 1 10115 Neu Stadt true c/o") and not redact.tells_all(home, "")
+    assert redact.tells_all("65 170839 J 003", "65170839J003") and not redact.tells_all("65170839J003", "65170839J") and redact.tells_all("{}", " ") and redact.tells_all("12", "1 2")
+
+
+def test_rehydration_refuses_lossy_forms_and_keeps_null_cases(spark):
+    token = lambda c: f"[[PII|ADDR|{c * 12}]]"
+    held = spark.createDataFrame([(1, token("B"), '{"no":1,"zip":"10115"}', "10115"), (1, token("C"), "Ada", "Ada"), (None, token("D"), "x", "x")], "c int, token string, value string, display string")
+    texts = spark.createDataFrame([(1, f"to {token('B')}"), (1, f"to {token('C')}"), (None, f"to {token('D')}"), (None, "plain"), (2, f"{token('C')}"), (3, None)], "c int, t string")
+    got = sorted((str(r["t"]), r["refusal"], r["plain"]) for r in redact.rehydrated_or_refused(texts, held, "c", "t", "display").collect())
+    assert got == sorted([(f"to {token('B')}", "lossy", None), (f"to {token('C')}", None, "to Ada"), (f"to {token('D')}", None, "to x"), ("plain", None, "plain"), (token("C"), "unknown_token", None), ("None", None, None)])
+    plain = sorted((str(r["t"]), r["plain"]) for r in redact.rehydrated(texts, held, "c", "t").collect())
+    assert ("plain", "plain") in plain and (f"to {token('D')}", "to x") in plain
