@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casemill.operators.journal import sequenced, violations
 
@@ -89,10 +90,50 @@ def labelled(items: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return joined
 
 
+def labelled_files(spark: SparkSession, folder: str, label_schema: str, *, item: str = ".txt", sidecar: str = ".labels.json") -> DataFrame:
+    """(item_id, text, and the fields of ``label_schema``) of a folder of items, each with a sidecar of labels beside it.
+
+    The id is the file's name without its ending.  Items and sidecars are read and parsed by the executors; an empty folder, an item
+    without a sidecar, a sidecar without an item and one that is no JSON object are errors.  Spark does not list empty files, so an
+    empty item counts as none.
+    """
+    name = lambda ending: F.regexp_extract("path", r"([^/]*)" + ending.replace(".", r"\.") + "$", 1)
+    files = lambda ending: spark.read.format("binaryFile").option("pathGlobFilter", f"*{ending}").load(folder).select(name(ending).alias("item_id"), F.decode("content", "UTF-8").alias("text"))
+    items, labels = files(item), files(sidecar)
+    parsed = labels.select(F.col("item_id").alias("_id"), F.from_json("text", label_schema, {"mode": "PERMISSIVE"}).alias("l"), (F.try_parse_json("text").isNull() | ~F.trim("text").startswith("{")).alias("_bad"))
+    joined = items.join(parsed, F.col("item_id") == F.col("_id"), "full")
+    checks = {"no label for": F.col("_id").isNull(), "no item for": F.col("item_id").isNull(), "a broken label of": F.coalesce(F.col("_bad"), F.lit(False))}
+    n, *wrong = joined.agg(F.count("item_id"), *[F.min(F.when(c, F.coalesce("item_id", "_id"))) for c in checks.values()]).first()
+    for what, first in zip(checks, wrong, strict=True):
+        if first is not None:
+            raise ValueError(f"{what} {first!r}")
+    if not n:
+        raise ValueError("an empty corpus")
+    return joined.select("item_id", "text", "l.*")
+
+
+def _steady(value: Column, kind: T.DataType, volatile: frozenset[str]) -> Column:
+    """A value without the volatile names at any depth, with names in order; maps become sorted lists of entries."""
+    if isinstance(kind, T.StructType):
+        kept = sorted((f for f in kind.fields if f.name not in volatile), key=lambda f: f.name)
+        whole = F.struct(*[_steady(value[f.name], f.dataType, volatile).alias(f.name) for f in kept]) if kept else F.struct(F.lit(0).alias("none"))
+        return F.when(value.isNotNull(), whole)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _steady(x, kind.elementType, volatile))
+    if isinstance(kind, T.MapType):
+        kept = F.filter(F.map_entries(value), lambda e: ~e["key"].cast("string").isin(*volatile)) if volatile else F.map_entries(value)
+        return F.array_sort(F.transform(kept, lambda e: F.struct(e["key"].cast("string").alias("key"), F.to_json(F.struct(_steady(e["value"], kind.valueType, volatile).alias("v")), {"ignoreNullFields": "false"}).alias("value"))))
+    return value
+
+
 def digest(df: DataFrame, *volatile: str) -> str:
-    """One hash of a table's rows without volatile columns, whatever their order."""
-    kept = sorted(c for c in df.columns if c not in volatile)
-    row = F.xxhash64(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}))
-    low, high = F.sum(F.pmod(row, F.lit(1 << 31))), F.sum(F.pmod(F.shiftright(row, 31), F.lit(1 << 31)))
-    got = df.agg(F.count("*").alias("n"), low.alias("a"), high.alias("b")).first()
-    return f"{got['n']}-{got['a'] or 0:x}-{got['b'] or 0:x}"
+    """One hash of a table's rows without volatile names at any depth, whatever the order of rows and columns.
+
+    The number of rows, and the sums of both halves of each row's 128-bit hash, modulo 2**64: rows that repeat count.
+    """
+    names = frozenset(volatile)
+    row = F.struct(*[_steady(F.col(f"`{f.name}`"), f.dataType, names).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name) if f.name not in names])
+    told = F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+    half = lambda at: F.sum(F.conv(F.substring(told, at, 16), 16, 10).cast("decimal(20,0)"))
+    n, low, high = df.agg(F.count("*"), half(1), half(17)).first()
+    return f"{n}-{int(low or 0) % 2**64:016x}{int(high or 0) % 2**64:016x}"
