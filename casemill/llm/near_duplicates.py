@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, dropped, free_name, small, written
+from .shared import TEXT_BATCH, WORD, dropped, free_name, small, written
 
 #: Stands for a null id while the smallest id of a group is found.
 NO_ID = (1 << 63) - 1
@@ -154,17 +154,13 @@ def signed(docs: DataFrame, s: Settings) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(s.words)
         for frame in frames:
-            sets = [shingle(t) for t in frame["text"]]
-            signs = [super_min_hash(x, s.hashes, s.seed) if len(x) else None for x in sets]
-            yield pd.DataFrame(
-                {
-                    "doc_id": frame["doc_id"].array,
-                    "text_hash": frame["text_hash"],
-                    "n_shingles": [len(x) for x in sets],
-                    "set_key": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets],
-                    "bands": [None if g is None else band_keys(g, s) for g in signs],
-                }
-            )
+            sizes, keys, bands = [], [], []
+            for text in frame["text"]:
+                x = shingle(text)
+                sizes.append(len(x))
+                keys.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
+                bands.append(band_keys(super_min_hash(x, s.hashes, s.seed), s) if len(x) else None)
+            yield pd.DataFrame({"doc_id": frame["doc_id"].array, "text_hash": frame["text_hash"], "n_shingles": sizes, "set_key": keys, "bands": bands})
 
     rows = docs.select("doc_id", "text", row_key()[1].alias("text_hash"))
     return rows.mapInPandas(run, f"doc_id {kind}, text_hash string, n_shingles long, set_key binary, bands array<long>")
@@ -262,7 +258,7 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     )
     big = small(written(big.where("n_small > 0"), "open"))
     open_ = written(members.join(big, "band").withColumn("small", F.col("root") != F.col("big")), "open-buckets")
-    held = written(_sets(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), s), "sets")
+    held = written(_sets(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), s), "sets", TEXT_BATCH)
     sides = open_.join(held, "cls")
     of = lambda n: F.greatest(F.ceil(F.col(n) / s.block).cast("int"), F.lit(1))
     place = lambda n: F.pmod(F.xxhash64("cls", "band"), of(n)).cast("int")
@@ -301,7 +297,7 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, low, text_hash, n_shingles and rep (low and text_hash of the first row of the group; null without words)."""
     low = row_key()[0]
-    rows = written(signed(docs, s), "signed")
+    rows = written(signed(docs, s), "signed", TEXT_BATCH)
     classes = rows.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(low.alias("low"), "text_hash")).alias("rep"), F.first("bands").alias("bands"))
     reps = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     banded = reps.select("cls", F.explode("bands").alias("band"))
@@ -320,7 +316,7 @@ def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
             if turn < s.rounds:
                 break
             continue
-        links.append(written(_verified(small(pairs), texts, s), "links") if turn < s.rounds else pairs)
+        links.append(written(_verified(small(pairs), texts, s), "links", TEXT_BATCH) if turn < s.rounds else pairs)
         old = roots
         roots = components(reduce(DataFrame.unionAll, links), nodes)
         dropped(old)

@@ -36,15 +36,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/casemill/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+#: Rows of an Arrow batch for functions that read whole texts; a Python worker holds a batch as it comes and as strings.
+TEXT_BATCH = 1_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` does, in a columnar form: a lost
     executor costs no recomputation, and later reads prune columns.
+    ``batch_rows`` bounds the Arrow batches of the Python functions in this job.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(BATCH_SETTING)
+    if batch_rows:
+        spark.conf.set(BATCH_SETTING, str(min(batch_rows, int(before)) if int(before) > 0 else batch_rows))
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._casemill_path = path
     return back
