@@ -149,7 +149,8 @@ def _problem(df: DataFrame, r: Requirement) -> Column:
         checks.append(("max_years_after", full_years(_day(df, r.max_years_after[0]), day) > r.max_years_after[1]))
     if r.birth_in_number:
         block, born = F.substring(value, 3, 6), _day(df, r.birth_in_number)
-        checks.append(("birth_in_number", birth_block(block).isNull() | (block != F.date_format(born, "ddMMyy"))))
+        # the century is not in the number: beside a date of birth the block is to be its day, alone it is a day of 19YY
+        checks.append(("birth_in_number", F.coalesce(block != F.date_format(born, "ddMMyy"), birth_block(block).isNull())))
     out = F.when(is_blank(raw), F.lit("MISSING"))
     for name, failed in checks:
         out = out.when(F.coalesce(failed, F.lit(False)), F.lit(name))
