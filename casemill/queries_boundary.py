@@ -13,7 +13,7 @@ from casemill.operators import boundary, context, evaluate, evidence, letters, r
 from casemill.plans import decisions
 from casemill.queries import LABELLED, QUERIES, SQL, _labelled, query
 from casemill.queries_intake import PROPOSED, _offered, _text_parts
-from casemill.session import shared_folder, stored
+from casemill.session import shared_folder, spread, stored
 from casemill.sources import config, stores, submissions
 
 
@@ -43,7 +43,7 @@ def seal_payload(t):
 def boundary_rejects(t):
     k = F.col("c_custkey")
     told = F.when(k % 5 == 0, F.concat(F.lit("write to a"), k.cast("string"), F.lit("@b.example please"))).when(k % 5 == 1, "nothing here").when(k % 5 == 2, "an [[PII|forged]] token").when(k % 5 == 3, "10.0.0.1 and x@y.example").otherwise(F.lit(None))
-    out = boundary.passed(t("customer").withColumn("told", told), "c_custkey", "told", "s")
+    out = boundary.passed(spread(t("customer").select("c_custkey")).withColumn("told", told), "c_custkey", "told", "s")
     return out.select("c_custkey", "outcome", F.size("entries").cast("long").alias("n_entries"))
 
 
@@ -215,7 +215,7 @@ def recognizer_recall(t):
             start = before - 8 if kind == "PHONE" else before
             labels.append(F.when(labelled, F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"))))
         before = end
-    items = t("customer").select(k.cast("string").alias("item_id"), F.concat(*[p[0] for p in parts]).alias("text"), F.filter(F.array(*labels), lambda x: x.isNotNull()).alias("labels"))
+    items = spread(t("customer").select("c_custkey")).select(k.cast("string").alias("item_id"), F.concat(*[p[0] for p in parts]).alias("text"), F.filter(F.array(*labels), lambda x: x.isNotNull()).alias("labels"))
     return recall.measured(recall.checked(items), gated=("EMAIL", "IBAN", "PHONE"))
 
 

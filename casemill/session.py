@@ -40,3 +40,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/casemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores: many short rows may be one split, so costly columns of them would be one task."""
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
