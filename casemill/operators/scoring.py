@@ -43,17 +43,29 @@ class Forest:
         return cls(tuple(_tree(x[rng.choice(len(x), sample, replace=False)], limit, rng) for _ in range(trees)), sample)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        depth = np.zeros(len(x))
+        """Rows step down one tree at a time, all together; a row in a leaf stays there."""
+        n = len(x)
+        depth, rows, flat = np.zeros(n), np.arange(n), np.ascontiguousarray(x.T).ravel()
         for feature, cut, left, right, length in self.trees:
-            at = np.zeros(len(x), np.int64)
-            while (inner := feature[at] >= 0).any():
-                f = np.where(inner, feature[at], 0)
-                goes = x[np.arange(len(x)), f] < cut[at]
-                at = np.where(inner, np.where(goes, left[at], right[at]), at)
-            depth += length[at]
+            nodes, leaf = np.arange(len(feature)), feature < 0
+            kids = np.column_stack([np.where(leaf, nodes, right), np.where(leaf, nodes, left)]).ravel()
+            column = np.where(leaf, 0, feature) * n
+            at = np.zeros(n, np.int64)
+            for _ in range(_height(feature, left, right)):
+                at = kids.take(2 * at + (flat.take(column.take(at) + rows) < cut.take(at)))
+            depth += length.take(at)
         return 2.0 ** (-(depth / len(self.trees)) / max(_mean_depth(self.sample), 1e-9))
 
 
+def _height(feature: np.ndarray, left: np.ndarray, right: np.ndarray) -> int:
+    """Steps from the root to the deepest leaf."""
+    level, steps = np.zeros(1, np.int64), -1
+    while len(level):
+        inner = level[feature[level] >= 0]
+        level, steps = np.concatenate([left[inner], right[inner]]), steps + 1
+    return steps
+
+
 def _mean_depth(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
