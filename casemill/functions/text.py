@@ -7,8 +7,9 @@ import math
 import re
 import textwrap
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -191,10 +192,25 @@ def normalized(raw: str) -> tuple[str, list[int], list[int]]:
     return "".join(out), starts, ends
 
 
+#: Texts whose normal form and way back a Python worker holds at once; an Arrow batch may have many more.
+PIECE = 200
+
+
 @F.pandas_udf(SEGMENTS)
-def normal_text_map(text: pd.Series) -> pd.DataFrame:
-    """Normal text with its way back; composition has no native function, and offsets need one walk over the text."""
-    return pd.DataFrame([(None, None, None) if x is None else normalized(x) for x in text], columns=["text", "starts", "ends"])
+def normal_text_map(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Normal text with its way back; composition has no native function, and offsets need one walk over the text.
+
+    Offsets of a piece of texts are handed on before those of the next one are made.
+    """
+    places = lambda xs: np.array(xs, np.int32)
+
+    def one(raw: str | None) -> tuple:
+        text, starts, ends = (None, None, None) if raw is None else normalized(raw)
+        return (text, None, None) if text is None else (text, places(starts), places(ends))
+
+    for batch in texts:
+        for at in range(0, len(batch), PIECE):
+            yield pd.DataFrame([one(x) for x in batch.iloc[at : at + PIECE]], columns=["text", "starts", "ends"])
 
 
 def raw_span(segments: Column, start: Column, end: Column) -> Column:
