@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, remainder, written
+from .shared import TEXT_BATCH, dropped, remainder, written
 
 #: Different words that a task counts before it hands them on.
 FLUSH = 300_000
@@ -165,6 +165,13 @@ def _flat(column: pd.Series, kind: str) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(parts) if parts else np.empty(0, kind)).astype(np.int64), np.array([len(x) for x in parts], np.int64)
 
 
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of ``TEXT_BATCH`` rows at most: numbers of 64 bits for each token are made of one piece at a time."""
+    for frame in frames:
+        for at in range(0, len(frame), TEXT_BATCH):
+            yield frame.iloc[at : at + TEXT_BATCH]
+
+
 def closed(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Texts one after the other, each closed by END."""
     whole = np.full(len(flat) + len(lengths), END, np.int64)
@@ -186,10 +193,11 @@ def core_bigrams(encoded: DataFrame, n_core: int) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(size * size, np.int64)
-        for frame in frames:
+        for frame in _pieces(frames):
             whole = closed(*_flat(frame["units"], "<u2"))
             whole = np.where(whole > n_core, n_core + 1, whole)
-            sums += np.bincount(_before(whole) * size + whole, minlength=size * size)
+            pairs, n = np.unique(_before(whole) * size + whole, return_counts=True)
+            sums[pairs] += n
         sums = sums.reshape(size, size)
         rows = [(i, zlib.compress(sums[i * width : (i + 1) * width].tobytes(), 1)) for i in range(slices)]
         yield pd.DataFrame(rows, columns=["slice", "data"])
@@ -277,18 +285,23 @@ def _contexts(encoded: DataFrame, head: Head, classes: np.ndarray, s: Settings)
         class_of[: h.n_core + 1] = own[:-1]
         first = len(h.words) + 1
         for frame in frames:
-            whole = closed(*_flat(frame["units"], "<u2"))
             lists = [np.asarray(x, object) for x in frame["tail_words"]]
             at, n_at = _flat(frame["tail_at"], "<u4")
             begin = np.cumsum([0, *[len(x) for x in lists]])[: len(lists)]
             codes, names = pd.factorize(np.concatenate(lists)) if lists else (np.empty(0, np.int64), np.empty(0, object))
-            ids = whole.copy()
-            ids[whole == TAIL] = first + codes[at + np.repeat(begin, n_at)]
-            cls = class_of[whole]
-            before, after = _before(cls), np.concatenate([cls[1:], [END]])[: len(cls)]
-            outside = np.flatnonzero(whole > h.n_core)
-            keys = np.concatenate([ids[outside] * 2 * c + before[outside], ids[outside] * 2 * c + c + after[outside]])
-            keys, n = np.unique(keys, return_counts=True)
+            tail, used, counted = first + codes[at + np.repeat(begin, n_at)], 0, []
+            for piece in _pieces(iter([frame[["units"]]])):
+                whole = closed(*_flat(piece["units"], "<u2"))
+                ids, places = whole.copy(), np.flatnonzero(whole == TAIL)
+                ids[places] = tail[used : used + len(places)]
+                used += len(places)
+                cls = class_of[whole]
+                before, after = _before(cls), np.concatenate([cls[1:], [END]])[: len(cls)]
+                outside = np.flatnonzero(whole > h.n_core)
+                counted.append(np.unique(np.concatenate([ids[outside] * 2 * c + before[outside], ids[outside] * 2 * c + c + after[outside]]), return_counts=True))
+            keys, at = np.unique(np.concatenate([k for k, _ in counted] or [np.empty(0, np.int64)]), return_inverse=True)
+            n = np.zeros(len(keys), np.int64)
+            np.add.at(n, at, np.concatenate([m for _, m in counted] or [np.empty(0, np.int64)]))
             words = np.concatenate([np.array([b"", *h.words], object), names])
             yield pd.DataFrame({"word": words[keys // (2 * c)], "code": (keys % (2 * c)).astype(np.int16), "n": n})
 
@@ -362,7 +375,7 @@ def _transitions(classed: DataFrame, s: Settings) -> np.ndarray:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(c * c, np.int64)
-        for frame in frames:
+        for frame in _pieces(frames):
             whole = closed(*_flat(frame["classes"], "u1"))
             sums += np.bincount(_before(whole) * c + whole, minlength=c * c)
         at = np.flatnonzero(sums)
@@ -403,12 +416,12 @@ class Model:
 def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
     learned = docs.where(remainder(F.col("doc_id"), s.folds) != s.held_out)
-    vocabulary = written(word_counts(learned), "vocabulary")
+    vocabulary = written(word_counts(learned), "vocabulary", TEXT_BATCH)
     head = _head(vocabulary, learned.count(), s)
     dropped(vocabulary)
-    encoded = written(_encoded(docs, head, s), "encoded")
+    encoded = written(_encoded(docs, head, s), "encoded", TEXT_BATCH)
     named, core = word_classes(encoded.where("not held_out"), head, s)
-    classed = written(_classed(encoded, named, head, core, s), "classed")
+    classed = written(_classed(encoded, named, head, core, s), "classed", TEXT_BATCH)
     dropped(encoded)
     types = np.bincount(core[1:-1], minlength=s.classes).astype(float)
     for cls, n in named.groupBy("cls").count().collect():
@@ -419,7 +432,7 @@ def scores(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in _pieces(frames):
             flat, lengths = _flat(frame["classes"], "u1")
             each = shared.value.of_tokens(closed(flat, lengths))
             sums = np.add.reduceat(each, np.cumsum(lengths + 1) - (lengths + 1)) if len(lengths) else each
