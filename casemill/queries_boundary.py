@@ -316,7 +316,9 @@ def _live_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casemill.streaming import live
 
     path = f"{shared_folder(spark)}/casemill/live-{uuid.uuid4().hex}"
-    return live.kept_stream(live.gone_entries(_in_time(spark, sf_dir, path), "user_id", "event_id", "ts", ttl_seconds=86_400, capacity=2), path)
+    events = _in_time(spark, sf_dir, path)
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.approx_count_distinct("user_id")).first()[0]
+    return live.kept_stream(live.gone_entries(events, "user_id", "event_id", "ts", ttl_seconds=86_400, capacity=2, shelves=users // 64 + 16), path)
 
 
 def _parties_met(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ A store (a key) holds a limited number of entries.  An entry that is put again l
 has lived for its time is gone, and so is the oldest one when a new one finds the store full.  What goes is told once, with
 its time and reason.
 
-The state is a map in Spark's state store, so a restart goes on where it stood; event-time timers end entries of stores
-that nothing is put into any more.  Times are those of the events, so micro-batches of any size tell the same, as long as
+The state is a value for each shelf of stores in Spark's state store, so a restart goes on where it stood; event-time timers end entries of
+stores that nothing is put into any more.  Times are those of the events, so micro-batches of any size tell the same, as long as
 no event is later than ``late``; later ones are left out.
 
 Cases: events of one time go by entry; repeated events put the entry again; null stores are a store, null entries and times are
@@ -20,7 +20,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructType
 
 from casemill.operators.context import correlated
 
@@ -49,56 +48,77 @@ class Entries:
             yield oldest, self.held.pop(oldest), now, "evicted"
 
 
-class LiveStore(StatefulProcessor):
+class LiveStores(StatefulProcessor):
+    """Many stores (a shelf) in one value: their entries, and when the shelf's timer is due (in milliseconds).
+
+    A value is read and written once for all rows of a micro-batch, and a shelf has one timer, for its oldest entry: each call of
+    the state store is a message to the JVM, and each group a Pandas frame.
+    """
+
     def __init__(self, ttl: int, capacity: int) -> None:
         self.ttl, self.capacity = ttl, capacity
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getMapState("entries", StructType().add("entry", StringType()), StructType().add("at", LongType()))
-
-    def _entries(self) -> Entries:
-        return Entries({k[0]: v[0] for k, v in self.state.iterator()}, self.ttl, self.capacity)
-
-    def _kept(self, before: dict[str, int], after: dict[str, int]) -> None:
-        for entry in before.keys() - after.keys():
-            self.state.removeKey((entry,))
-        for entry, at in after.items():
-            if before.get(entry) != at:
-                self.state.updateValue((entry,), (at,))
-                self.handle.registerTimer(-(-(at + self.ttl) // 1000))
-
-    def _told(self, key, gone: list) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        self.state = handle.getValueState("shelf", "store array<string>, entry array<string>, at array<bigint>, due bigint")
+
+    def _shelf(self) -> tuple[dict[str, Entries], int | None]:
+        store, entry, at, due = self.state.get() or ((), (), (), None)
+        shelf: dict[str, Entries] = {}
+        for s, e, t in zip(store, entry, at, strict=True):
+            self._of(shelf, s).held[e] = t
+        return shelf, due
+
+    def _of(self, shelf: dict[str, Entries], store: str) -> Entries:
+        if store not in shelf:
+            shelf[store] = Entries({}, self.ttl, self.capacity)
+        return shelf[store]
+
+    def _kept(self, shelf: dict[str, Entries], due: int | None) -> None:
+        """A timer that is due too early finds nothing, and sets the next one."""
+        held = [(s, e, t) for s, entries in shelf.items() for e, t in entries.held.items()]
+        if not held:
+            return self.state.clear()
+        store, entry, at = map(list, zip(*held, strict=True))
+        first = -(-(min(at) + self.ttl) // 1000)
+        if due is None or first < due:
+            due = first
+            self.handle.registerTimer(due)
+        self.state.update((store, entry, at, due))
+
+    def _told(self, gone: list) -> Iterator[pd.DataFrame]:
         if gone:
-            yield pd.DataFrame([(key[0], *x) for x in gone], columns=["store", "entry", "put_at", "gone_at", "reason"])
+            yield pd.DataFrame(gone, columns=["store", "entry", "put_at", "gone_at", "reason"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        entries, gone = self._entries(), []
-        before = dict(entries.held)
-        came = sorted((int(at), e) for batch in rows for at, e in zip(batch["put_at"], batch["entry"], strict=True))
-        for at, entry in came:
-            gone += entries.put(entry, at)
-        self._kept(before, entries.held)
-        yield from self._told(key, gone)
+        shelf, due = self._shelf()
+        came = sorted(row for batch in rows for row in zip(batch["put_at"].tolist(), batch["entry"].tolist(), batch["store"].tolist(), strict=True))
+        gone = [(store, *x) for at, entry, store in came for x in self._of(shelf, store).put(entry, at)]
+        self._kept(shelf, due)
+        yield from self._told(gone)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        entries = self._entries()
-        before = dict(entries.held)
-        gone = list(entries.expire(expiredTimerInfo.getExpiryTimeInMs() * 1000))
-        for entry in before.keys() - entries.held.keys():
-            self.state.removeKey((entry,))
-        yield from self._told(key, gone)
+        shelf, _ = self._shelf()
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        gone = [(store, *x) for store, entries in shelf.items() for x in entries.expire(now)]
+        self._kept(shelf, None)
+        yield from self._told(gone)
 
     def close(self) -> None:
         pass
 
 
-def gone_entries(events: DataFrame, store: str, entry: str, at: str, *, ttl_seconds: int, capacity: int = 64, late: str = "0 seconds") -> DataFrame:
-    """A stream of what goes: (store, entry, put_at, gone_at, reason), times in microseconds."""
+def gone_entries(events: DataFrame, store: str, entry: str, at: str, *, ttl_seconds: int, capacity: int = 64, late: str = "0 seconds", shelves: int = 1024) -> DataFrame:
+    """A stream of what goes: (store, entry, put_at, gone_at, reason), times in microseconds.
+
+    Stores are dealt over ``shelves`` by a hash; a micro-batch reads the shelves of its rows, so their number should grow with
+    that of the stores.  It belongs to the checkpoint: a restart must not change it.
+    """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     put = events.where(F.col(entry).isNotNull() & F.col(at).isNotNull()).withWatermark(at, late)
     put = put.select(F.coalesce(F.col(store).cast("string"), F.lit("")).alias("store"), F.col(entry).cast("string").alias("entry"), F.unix_micros(F.col(at).cast("timestamp")).alias("put_at"), at)
-    return put.groupBy("store").transformWithStateInPandas(LiveStore(ttl_seconds * 1_000_000, capacity), GONE, "Append", "eventTime")
+    shelf = F.pmod(F.xxhash64("store"), F.lit(shelves)).cast("int")
+    return put.withColumn("shelf", shelf).groupBy("shelf").transformWithStateInPandas(LiveStores(ttl_seconds * 1_000_000, capacity), GONE, "Append", "eventTime")
 
 
 def kept_stream(stream: DataFrame, path: str) -> DataFrame:
