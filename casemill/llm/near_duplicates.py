@@ -294,6 +294,13 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return pairs.distinct()
 
 
+def _without_bands(table: DataFrame, name: str) -> DataFrame:
+    """A written table anew without its bands; the old one is deleted."""
+    slim = written(table.drop("bands"), name)
+    dropped(table)
+    return slim
+
+
 def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, low, text_hash, n_shingles and rep (low and text_hash of the first row of the group; null without words)."""
     low = row_key()[0]
@@ -303,10 +310,13 @@ def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     banded = reps.select("cls", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").count().where("count > 1").select("band")
     members = written(banded.join(shared, "band", "left_semi").select("band", "cls"), "buckets")
+    # Nothing reads the bands any more, which are most of both tables.
+    rows, reps = _without_bands(rows, "rows"), _without_bands(reps, "classes")
     nodes = written(members.select(F.col("cls").alias("node")).distinct(), "nodes")
     wanted = reps.join(nodes, F.col("cls") == F.col("node"), "left_semi").select("cls", F.col("rep.low").alias("low"), F.col("rep.text_hash").alias("text_hash"))
     keyed = docs.select(low.alias("low"), row_key()[1].alias("text_hash"), "text")
-    texts = written(keyed.join(wanted, ["low", "text_hash"]).dropDuplicates(["cls"]).select("cls", "text"), "candidate-texts")
+    # A class has one low and text_hash, and they have one class, so texts stay where the join has brought them.
+    texts = written(keyed.join(wanted, ["low", "text_hash"]).dropDuplicates(["low", "text_hash"]).select("cls", "text"), "candidate-texts")
     roots = written(nodes.select("node", F.col("node").alias("root")), "roots")
     links: list[DataFrame] = []
     for turn in range(s.rounds + 1):
