@@ -15,8 +15,12 @@
    (hooking to smaller roots and pointer jumping, in Spark).
 5. Buckets that still hold several groups are worked off exactly: members outside
    the bucket's largest group are compared with all members on full sets, in blocks;
-   of the links that hold, one for each member and other group comes out.  No bucket
-   is cut or capped; a bucket of n members that are all unlike costs n * n / 256 sets.
+   of the links that hold, one for each member and other group comes out.  Of buckets
+   with the very same members, in several bands, one is worked off.  No bucket is cut
+   or capped; a bucket of n members that are all unlike costs n * n / 256 sets.
+
+Whole texts are shuffled only where a sieve (``shared.sieved``) says that a join by their
+row's key may find something.
 
 A pair at the threshold is missed only if no band agrees, with a chance below
 1e-6 at the defaults.  Nothing but counts reaches the driver.
@@ -42,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import TEXT_BATCH, WORD, dropped, free_name, small, written
+from .shared import TEXT_BATCH, WORD, dropped, free_name, sieved, small, written
 
 #: Stands for a null id while the smallest id of a group is found.
 NO_ID = (1 << 63) - 1
@@ -252,11 +256,15 @@ def _rest_pairs(members: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     Full sets are compared inside the block, and for each member and other group one link
     at most comes out, so the result is no larger than members and blocks.
     """
-    groups = members.groupBy("band", "root").count()
+    # 128 bits that tell sets of members apart, in any order.
+    prints = [F.bit_xor(F.xxhash64("cls", F.lit(seed))).alias(f"print{seed}") for seed in (0, 1)]
+    groups = members.groupBy("band", "root").agg(F.count("*").alias("count"), *prints)
     big = groups.groupBy("band").agg(
-        F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_small"), F.max_by("root", F.struct("count", "root")).alias("big")
-    )
-    big = small(written(big.where("n_small > 0"), "open"))
+        F.sum("count").alias("n"), (F.sum("count") - F.max("count")).alias("n_small"), F.max_by("root", F.struct("count", "root")).alias("big"),
+        F.bit_xor("print0").alias("print0"), F.bit_xor("print1").alias("print1"),
+    )
+    once = big.where("n_small > 0").groupBy("n", "n_small", "big", "print0", "print1").agg(F.min("band").alias("band"))
+    big = small(written(once.select("band", "n", "n_small", "big"), "open"))
     open_ = written(members.join(big, "band").withColumn("small", F.col("root") != F.col("big")), "open-buckets")
     held = written(_sets(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), s), "sets", TEXT_BATCH)
     sides = open_.join(held, "cls")
@@ -314,9 +322,11 @@ def _grouped(docs: DataFrame, s: Settings) -> DataFrame:
     rows, reps = _without_bands(rows, "rows"), _without_bands(reps, "classes")
     nodes = written(members.select(F.col("cls").alias("node")).distinct(), "nodes")
     wanted = reps.join(nodes, F.col("cls") == F.col("node"), "left_semi").select("cls", F.col("rep.low").alias("low"), F.col("rep.text_hash").alias("text_hash"))
+    wanted = written(wanted, "wanted")
     keyed = docs.select(low.alias("low"), row_key()[1].alias("text_hash"), "text")
+    near, _ = sieved(keyed, wanted, ["low", "text_hash"])
     # A class has one low and text_hash, and they have one class, so texts stay where the join has brought them.
-    texts = written(keyed.join(wanted, ["low", "text_hash"]).dropDuplicates(["low", "text_hash"]).select("cls", "text"), "candidate-texts")
+    texts = written(near.join(wanted, ["low", "text_hash"]).dropDuplicates(["low", "text_hash"]).select("cls", "text"), "candidate-texts")
     roots = written(nodes.select("node", F.col("node").alias("root")), "roots")
     links: list[DataFrame] = []
     for turn in range(s.rounds + 1):
@@ -370,10 +380,12 @@ def deduplicated(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     keyed = docs.withColumns(dict(zip((low, text_hash), row_key(), strict=True)))
     named = lambda df: small(df).withColumnsRenamed({"low": low, "text_hash": text_hash})
     worded = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    touched = written(lost.unionByName(repeated).withColumnsRenamed({"low": low, "text_hash": text_hash}), "touched")
+    keyed, plain = sieved(keyed, touched, [low, text_hash])
     # A row without words can have the key of no other row, as its text is another.
     kept = keyed.join(named(lost), [low, text_hash], "left_anti")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return plain.unionByName(kept).select(*docs.columns)
     once = kept.where(worded).join(named(repeated), [low, text_hash], "left_semi").dropDuplicates([low, text_hash])
     rest = kept.where(worded).join(named(repeated), [low, text_hash], "left_anti").unionByName(kept.where(~worded))
-    return rest.unionByName(once).select(*docs.columns)
+    return plain.unionByName(rest).unionByName(once).select(*docs.columns)

@@ -79,6 +79,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bits of a sieve for each key, and most words of 64 bits in one; it is broadcast.
+SIEVE_BITS = 16
+SIEVE_WORDS = 1 << 18
+
+
+def sieved(df: DataFrame, table: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``df`` whose keys ``table`` may have, and the rows whose keys it has not.
+
+    A Bloom filter of three bits a key, all in one word, so that wide rows which a join would drop or keep as they are
+    need no shuffle.  Some rows of other keys are among the first, more of them beyond ``SIEVE_WORDS`` words; so an
+    exact join follows.  ``table`` should be a written table, as it is counted.
+    """
+    n = max(1, min(SIEVE_WORDS, table.count() * SIEVE_BITS // 64))
+    hashed = lambda seed: F.xxhash64(*keys, F.lit(seed))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(hashed(1), 6 * i), F.lit(64)).cast("int"))
+    mask = bit(0).bitwiseOR(bit(1)).bitwiseOR(bit(2))
+    word, bits = free_name(df, "sieve_word"), free_name(df, "sieve_bits")
+    at = F.pmod(hashed(0), F.lit(n))
+    marks = written(table.select(at.alias(word), mask.alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits)), "sieve")
+    marked = df.withColumn(word, at).join(F.broadcast(marks), word, "left")
+    passes = F.coalesce(F.col(bits).bitwiseAND(mask) == mask, F.lit(False))
+    return marked.where(passes).drop(word, bits), marked.where(~passes).drop(word, bits)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
