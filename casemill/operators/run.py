@@ -157,17 +157,31 @@ def entries(submissions: DataFrame, plan: Plan) -> DataFrame:
     return df.select("case_id", F.explode(F.concat(kept("payload_entries"), F.coalesce(kept("text_entries"), F.expr("cast(array() as array<struct<kind:string,value:string,token:string>>)")))).alias("e")).select("case_id", "e.*")
 
 
-def journal_rows(cases: DataFrame) -> DataFrame:
-    """(case_id, sequence, type, detail, occurred_at, event_id) of every stage; the same for each run over the same cases."""
-    rows = cases.select("case_id", F.col("created_at").alias("occurred_at"), F.posexplode("events").alias("_i", "e"))
+def journal_rows(cases: DataFrame, held: Column | None = None) -> DataFrame:
+    """(case_id, sequence, type, detail, occurred_at, event_id) of every stage; the same for each run over the same cases.
+
+    Sequences in ``held``, an array, are left out before anything else is made of them.
+    """
+    rows = cases.select("case_id", F.col("created_at").alias("occurred_at"), F.posexplode("events").alias("_i", "e"), *([held.alias("_held")] if held is not None else []))
+    rows = rows.where(~F.coalesce(F.array_contains("_held", F.col("_i").cast("long")), F.lit(False))) if held is not None else rows
     return rows.select(
         "case_id", F.col("_i").cast("long").alias("sequence"), "e.type", "e.detail", "occurred_at", F.substring(F.sha2(F.concat_ws("|", "case_id", F.col("_i").cast("string")), 256), 1, 32).alias("event_id")
     )
 
 
 def append_journal(cases: DataFrame, path: str) -> int:
-    """Appends the events that the journal lacks; returns their number."""
-    return stores.append_missing(journal_rows(cases), path, "event_id")
+    """Appends the events that the journal lacks; returns their number.
+
+    An event id is made of case and sequence, so cases meet the journal as rows with all of their events; of rows with the same
+    case, the one with most events counts.
+    """
+    most = F.max_by(F.struct("created_at", "events"), F.size("events"))
+    once = cases.groupBy("case_id").agg(most.alias("_case")).select("case_id", "_case.*")
+    stored = stores.stored_like(journal_rows(cases), path, "event_id")
+    if stored is None:
+        return stores.append_counted(journal_rows(once), path, "event_id")
+    held = stored.groupBy(F.col("case_id").alias("_id")).agg(F.collect_set("sequence").alias("_sequences"))
+    return stores.append_counted(journal_rows(once.join(held, F.col("case_id").eqNullSafe(F.col("_id")), "left"), F.col("_sequences")), path, "event_id")
 
 
 def holds_raw(cases: DataFrame, values: Column) -> Column:

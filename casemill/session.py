@@ -42,6 +42,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores: many short rows may be one split, so costly columns of them would be one task."""
-    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt over all cores: many short rows may be one split, so costly columns of them would be one task.
+
+    Dealt by the key of a join that follows, rows are not shuffled once more for it.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism, *by)

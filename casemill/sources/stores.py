@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,23 +12,27 @@ from casemill.operators.journal import sequenced, violations
 #: Directories that cases are dealt into, so that an append reads those of its own cases only.
 BUCKETS = 64
 BUCKET = "case_bucket"
+#: Rows that are looked at first for the buckets of an append.
+FEW = 10_000
 
 
 def bucket(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(BUCKETS)).cast("int")
 
 
+def _is_there(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
     """The table at ``path``, or no rows if there is no such folder; other errors are raised."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return like.limit(0)
-    return spark.read.schema(like.schema).parquet(path)
+    return spark.read.schema(like.schema).parquet(path) if _is_there(spark, path) else like.limit(0)
 
 
-def _of_same_buckets(new: DataFrame, path: str) -> DataFrame:
+def _of_same_buckets(new: DataFrame, path: str, numbers: list[int] | None = None) -> DataFrame:
     """What is stored in the directories of the new rows' buckets."""
-    numbers = [r[0] for r in new.select(BUCKET).distinct().collect()]
+    numbers = numbers or [r[0] for r in new.select(BUCKET).distinct().collect()]
     return read_or_empty(new.sparkSession, path, new).where(F.col(BUCKET).isin(numbers))
 
 
@@ -45,6 +49,25 @@ def append_missing(new: DataFrame, path: str, key: str) -> int:
     return n
 
 
+def stored_like(new: DataFrame, path: str, key: str) -> DataFrame | None:
+    """What is stored in the directories of the new keys' buckets; None, without a look at the new rows, if there is no such folder.
+
+    Many new rows are in all buckets, which some of them show already.
+    """
+    if not _is_there(new.sparkSession, path):
+        return None
+    rows = new.withColumn(BUCKET, bucket(key))
+    some = [r[0] for r in rows.select(BUCKET).limit(FEW).distinct().collect()]
+    return _of_same_buckets(rows, path, some if len(some) == BUCKETS else None)
+
+
+def append_counted(rows: DataFrame, path: str, key: str) -> int:
+    """Appends rows that are known to lack, each key once; returns their number, which is counted while they are written."""
+    seen = Observation()
+    rows.withColumn(BUCKET, bucket(key)).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(BUCKET).parquet(path)
+    return seen.get["n"]
+
+
 def append_events(events: DataFrame, path: str, case: str = "case_id") -> None:
     """Appends to a journal; refuses a result with gaps or repeats in a case's sequence, or repeated event ids.
 
